@@ -1,0 +1,121 @@
+import itertools
+import random
+import re
+
+import numpy as np
+import pytest
+
+from termlake.llm import minhash
+
+
+def pairs_of(text):
+    words = re.findall(r"(?:[a-z0-9]|[^\x00-\x7f])+", text.lower())
+    return {tuple(words[i : i + 2]) for i in range(max(1, len(words) - 1))} if words else set()
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b) if a | b else 0.0
+
+
+def brute_groups(docs, threshold=minhash.THRESHOLD):
+    """docs: (id, text). Ids to the smallest id of their group."""
+    sets = [(i, pairs_of(t)) for i, t in docs if t is not None]
+    root = {i: i for i, _ in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for (i, a), (j, b) in itertools.combinations(sets, 2):
+        if a and b and min(len(a), len(b)) >= threshold * max(len(a), len(b)) and jaccard(a, b) >= threshold:
+            x, y = sorted((find(i), find(j)))
+            root[y] = x
+    return {i: find(i) for i, _ in sets}
+
+
+def as_bytes(text):
+    return np.frombuffer(text.lower().encode(), np.uint8)
+
+
+def test_sets_are_those_of_the_words():
+    texts = ["One two, three", "", "one", "ä b c!", "one  TWO three", " .", "x one two"]
+    owner, hashes = minhash.shingles([as_bytes(t) for t in texts])
+    got = [set(hashes[owner == i].tolist()) for i in range(len(texts))]
+    assert [len(g) for g in got] == [len(pairs_of(t)) for t in texts]
+    assert got[0] == got[4] and len(got[0] & got[6]) == 1 and not got[0] & got[2]
+
+
+def test_long_text_in_pieces(monkeypatch):
+    text = as_bytes(" ".join(f"w{i}" for i in range(3000)))
+    whole = set(minhash.shingles([text])[1].tolist())
+    monkeypatch.setattr(minhash, "CHUNK", 500)
+    owner, hashes = minhash.shingles([text, as_bytes("a b"), text])
+    assert set(hashes[owner == 0].tolist()) == whole == set(hashes[owner == 2].tolist())
+    assert (owner == 1).sum() == 1
+
+
+def test_every_coordinate_fills_and_equals_like_jaccard():
+    rng = np.random.default_rng(1)
+    base = rng.integers(0, 2**63, 2000).astype(np.uint64)
+    for n in (1, 2, 5, 60, 1000):
+        for share in (0.0, 0.5, 0.8, 1.0):
+            same = round(n * share)
+            a, b = base[:n], np.concatenate([base[:same], base[1000 : 1000 + n - same]])
+            s = minhash.sketches(np.repeat([0, 1], n), np.concatenate([a, b]), 2)
+            assert not (s == np.uint64(2**64 - 1)).any()
+            j = same / (2 * n - same)
+            assert abs((s[0] == s[1]).mean() - j) < 0.2
+    assert (minhash.sketches(np.zeros(0, np.int64), np.zeros(0, np.uint64), 1) == np.uint64(2**64 - 1)).all()
+
+
+def test_similarity_is_exact():
+    a = ["one two three four", "", "x y", "solo", "a b c d e f"]
+    b = ["one two three five", "", "y x", "solo", "a b c d e f g"]
+    got = minhash.similarity([as_bytes(t) for t in a], [as_bytes(t) for t in b])
+    assert got.tolist() == pytest.approx([jaccard(pairs_of(x), pairs_of(y)) for x, y in zip(a, b)])
+
+
+def test_components(spark):
+    edges = [(1, 2), (3, 2), (9, 3), (5, 6), (7, 7), (100, 9), (6, 5)] + [(200 + i, 201 + i) for i in range(40)]
+    got = {r.node: r.root for r in minhash.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 9: 1, 100: 1, 5: 5, 6: 5} | {200 + i: 200 for i in range(41)}
+    assert minhash.components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+def test_against_brute_force(spark):
+    rng = random.Random(7)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(400)]
+    docs, shared = [], [rng.choice(words) for _ in range(60)]
+    for g in range(25):
+        base = [rng.choice(words) for _ in range(rng.choice([4, 15, 80, 400]))] + (shared if g % 3 == 0 else [])
+        for k in range(rng.choice([1, 2, 5, 12])):
+            copy = [rng.choice(words) if rng.random() < k * 0.01 else w for w in base]
+            docs.append((len(docs), " ".join(copy) + (". " if k % 2 else "")))
+    docs += [(len(docs) + i, t) for i, t in enumerate(["", None, "!!", "!!", None, ""])]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3).checkpoint()
+    want = {(i, r) for i, r in brute_groups(docs).items() if i != r}
+    got = {(r.doc_id, r.duplicate_of) for r in minhash.near_copies(df).collect()}
+    assert len(got & want) >= 0.97 * len(want) and len(got - want) <= 0.02 * len(want)
+    left = {r.doc_id for r in minhash.near_dedup(df).collect()}
+    assert left == {i for i, _ in docs} - {i for i, _ in got}
+
+
+def test_table_against_brute_force(spark, sf_dir):
+    df = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = [(r.doc_id, r.text) for r in df.collect()]
+    want = {(i, r) for i, r in brute_groups(docs).items() if i != r}
+    got = {(r.doc_id, r.duplicate_of) for r in minhash.near_copies(df).collect()}
+    assert want and len(got & want) >= 0.9 * len(want) and not got - want
+
+
+def test_edges(spark):
+    schema = "doc_id bigint, text string, row int, bands string, h int"
+    assert minhash.near_copies(spark.createDataFrame([], schema)).count() == 0
+    text = "some words that are here for all to read and compare"
+    rows = [(4, text, 1, "x", 1), (2, text.upper() + "!", 1, "x", 1), (None, text, 1, "x", 1), (4, text, 1, "x", 1), (7, None, 1, "x", 1), (8, "", 1, None, None), (9, "", 1, "x", 1)]
+    df = spark.createDataFrame(rows, schema)
+    got = sorted(((r.doc_id, r.duplicate_of) for r in minhash.near_copies(df).collect()), key=str)
+    assert got == [(4, 2), (4, 2), (None, 2)]
+    kept = minhash.near_dedup(df)
+    assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == [2, 7, 8, 9]
