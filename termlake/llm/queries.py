@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from termlake.llm import exact_dedup, minhash, packing, pii
+from termlake.llm import exact_dedup, minhash, packing, pii, quality_model
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,13 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents kept, with the three probabilities."""
+    docs = table(spark, sf_dir, "documents")
+    scored = quality_model.score(docs, quality_model.train(docs, table(spark, sf_dir, "labels")))
+    return scored.where("quality >= 0.5").select("doc_id", "evidence", "prior", "quality")
+
+
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_copies(table(spark, sf_dir, "documents"))
 
@@ -30,7 +37,7 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_packing, op7_minhash, op8_pii)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_packing, op3_quality_classifier, op7_minhash, op8_pii)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -1,0 +1,44 @@
+import corpus_pipeline
+from termlake.llm import packing, pii, quality_model
+from tests.llm.test_minhash import brute_groups
+from tests.llm.test_packing import brute, spread
+
+
+def test_stages_equal_brute_force(spark, sf_dir, tmp_path):
+    """Each stage against plain Python over the rows that came into it."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        before = [r.asDict() for r in docs.collect()]
+        stage(spark, docs, sf_dir).write.parquet(str(tmp_path / str(k)))
+        out = spark.read.parquet(str(tmp_path / str(k)))
+        after = [r.asDict() for r in out.collect()]
+        if name == "quality classifier":
+            model = quality_model.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+            good = {r.doc_id for r in quality_model.score(docs, model).where("quality >= 0.5").collect()}
+            want = [r for r in before if r["doc_id"] in good]
+            assert 0.7 * len(before) < len(want) < len(before)
+        elif name == "exact dedup":
+            first = {}
+            for r in sorted(before, key=lambda r: r["doc_id"]):
+                first.setdefault(r["text"], r)
+            want = list(first.values())
+            assert len(want) < len(before)
+        elif name == "near dedup":
+            root = brute_groups([(r["doc_id"], r["text"]) for r in before])
+            want = [r for r in before if root[r["doc_id"]] == r["doc_id"]]
+            assert len(want) < len(before)
+        elif name == "pii":
+            want = [r | {"text": t, "n_chars": len(t)} for r in before for t in [pii.redacted(r["text"])]]
+            assert any("<EMAIL>" in r["text"] for r in want)
+        else:
+            assert spread(out.collect()) == brute([(r["doc_id"], r["text"]) for r in before], packing.WINDOW)
+            return
+        assert out.columns == docs.columns
+        assert sorted(after, key=lambda r: r["doc_id"]) == sorted(want, key=lambda r: r["doc_id"])
+        docs = out
+
+
+def test_run_applies_the_stages(spark, sf_dir):
+    got = corpus_pipeline.run(spark, sf_dir).collect()
+    assert [len(r.tokens) for r in sorted(got, key=lambda r: r.seq_id)][:-1] == [packing.WINDOW] * (len(got) - 1)
+    assert sorted(r.seq_id for r in got) == list(range(len(got)))
