@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from termlake.llm import exact_dedup, minhash, packing, pii, quality_model
+from termlake.llm import exact_dedup, minhash, packing, pii, quality_model, quality_rules
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,11 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.where("quality >= 0.5").select("doc_id", "evidence", "prior", "quality")
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents kept, with their measures."""
+    return quality_rules.keep(table(spark, sf_dir, "documents"), measures=True)
+
+
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_copies(table(spark, sf_dir, "documents"))
 
@@ -37,7 +42,7 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_packing, op3_quality_classifier, op7_minhash, op8_pii)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_packing, op3_quality_classifier, op4_quality_rules, op7_minhash, op8_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -48,4 +53,5 @@ def oracle_sql() -> dict[str, str]:
                      row_number() OVER (PARTITION BY text ORDER BY doc_id) AS nth
               FROM documents WHERE text IS NOT NULL)
             WHERE nth > 1""",
+        "op4_quality_rules": quality_rules.SQL,
     }
