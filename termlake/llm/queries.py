@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from termlake.llm import exact_dedup, minhash, packing, pii, quality_model, quality_rules
+from termlake.llm import chat, exact_dedup, minhash, packing, pii, quality_model, quality_rules, warc
+from termlake.llm.common import scratch_dir
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +36,11 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.keep(table(spark, sf_dir, "documents"), measures=True)
 
 
+def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The turns, streamed as a log of events, folded into conversations again and rendered."""
+    return chat.conversations(chat.log_of(table(spark, sf_dir, "conversations")))
+
+
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_copies(table(spark, sf_dir, "documents"))
 
@@ -41,8 +49,17 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages, written as compressed archives to the shared folder, as the reader finds them there."""
+    folder = f"{scratch_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
+    folder = folder if ":" in folder else f"file://{folder}"
+    warc.write(table(spark, sf_dir, "pages"), folder)
+    found = warc.read(spark, folder)
+    return found.select(F.col("headers")["x-page-id"].cast("bigint").alias("page_id"), F.col("target_uri").alias("url"), F.col("content").cast("string").alias("html"), "error")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_packing, op3_quality_classifier, op4_quality_rules, op7_minhash, op8_pii)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_packing, op3_quality_classifier, op4_quality_rules, op5_chat, op7_minhash, op8_pii, op9_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -54,4 +71,6 @@ def oracle_sql() -> dict[str, str]:
               FROM documents WHERE text IS NOT NULL)
             WHERE nth > 1""",
         "op4_quality_rules": quality_rules.SQL,
+        "op5_chat": chat.SQL,
+        "op9_warc": "SELECT page_id, url, html, CAST(NULL AS VARCHAR) AS error FROM pages",
     }
