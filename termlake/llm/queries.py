@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termlake.llm import chat, exact_dedup, minhash, packing, pii, quality_model, quality_rules, warc
+from termlake.llm import chat, exact_dedup, minhash, packing, pii, quality_model, quality_rules, sentencepiece_codec, warc
 from termlake.llm.common import scratch_dir
 
 
@@ -41,6 +41,10 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.conversations(chat.log_of(table(spark, sf_dir, "conversations")))
 
 
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_codec.encode(table(spark, sf_dir, "documents"))
+
+
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_copies(table(spark, sf_dir, "documents"))
 
@@ -59,7 +63,7 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_packing, op3_quality_classifier, op4_quality_rules, op5_chat, op7_minhash, op8_pii, op9_warc)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_packing, op3_quality_classifier, op4_quality_rules, op5_chat, op6_sentencepiece, op7_minhash, op8_pii, op9_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
