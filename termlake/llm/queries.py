@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termlake.llm import chat, exact_dedup, minhash, packing, pii, quality_model, quality_rules, sentencepiece_codec, warc
+from termlake.llm import chat, exact_dedup, lm_scoring, minhash, packing, pii, quality_model, quality_rules, sentencepiece_codec, warc
 from termlake.llm.common import scratch_dir
 
 
@@ -62,8 +62,12 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("headers")["x-page-id"].cast("bigint").alias("page_id"), F.col("target_uri").alias("url"), F.col("content").cast("string").alias("html"), "error")
 
 
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_packing, op3_quality_classifier, op4_quality_rules, op5_chat, op6_sentencepiece, op7_minhash, op8_pii, op9_warc)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_packing, op3_quality_classifier, op4_quality_rules, op5_chat, op6_sentencepiece, op7_minhash, op8_pii, op9_warc, op10_lm_scoring)}
 
 
 def oracle_sql() -> dict[str, str]:

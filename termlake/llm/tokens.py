@@ -15,8 +15,8 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 END = 50256
 #: The pre-tokenization rule published with this vocabulary.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Bound on a worker's memory only: a full cache is emptied, and results stay the same.
-CACHE_PIECES = 400_000
+#: Bound on a worker's memory only: a full cache stays as it is, with the words that came first, so the frequent ones.
+CACHE_PIECES = 500_000
 
 _run_with_space = re.compile(r"\s \s|\s \Z").search
 _encoders: dict[str, "Encoder"] = {}
@@ -29,10 +29,8 @@ class _Pieces(dict):
         self.encode = encode
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) >= CACHE_PIECES:
-            self.clear()
         ids = self.encode(" " + piece)
-        if len(piece) < 64:
+        if len(piece) < 64 and len(self) < CACHE_PIECES:
             self[piece] = ids
         return ids
 
