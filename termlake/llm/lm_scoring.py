@@ -31,7 +31,7 @@ from termlake.llm.packing import _joined, encoded
 CLASSES, WIDTH, HIDDEN = 128, 32, 48
 CONTEXT, STRIDE = 32, 64
 PLACES = CONTEXT + STRIDE
-EPOCHS, BATCH, RATE = 1, 16, 4e-3
+EPOCHS, BATCH, RATE = 1, 16, 1e-2
 #: Averages of replicas that reach the driver in an epoch, at most.
 GROUPS = 32
 EPS = 1e-5
