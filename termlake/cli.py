@@ -9,7 +9,7 @@ import sys
 
 from pyspark.sql import SparkSession
 
-from termlake import __version__
+import termlake
 from termlake.engine import Engine
 from termlake.params import checked_k
 from termlake.sources import corpus
@@ -29,7 +29,7 @@ def arguments(args: list[str] | None = None) -> argparse.Namespace:
     parser.add_argument("-c", "--corpus", help="JSON lines of id, title, content and metadata; goes before --dataset")
     parser.add_argument("-k", "--top-k", type=int, default=10)
     parser.add_argument("--stats", action="store_true", help="show the size of the index and end")
-    parser.add_argument("--version", action="version", version=f"%(prog)s {__version__}")
+    parser.add_argument("--version", action="version", version=f"%(prog)s {termlake.__version__}")
     return parser.parse_args(args)
 
 

@@ -1,0 +1,80 @@
+import re
+
+import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from termlake.functions import text as T
+
+
+def plain_tokens(s):
+    return re.findall(r"\b[a-z0-9]+\b", s.lower())
+
+
+def values(spark, column, *rows, schema="s string"):
+    return [r[0] for r in spark.createDataFrame([(r,) for r in rows], schema).select(column).collect()]
+
+
+CASES = ["Hello, World! How are you?", "There are 42 items", "", "the and is a", "café foo_bar naïve x_1 abc² 日本語abc it's", "ábc é x", "tab\tnew\nline", "ЖУК bug 7up"]
+
+
+def test_tokens_are_whole_words_of_letters_and_digits(spark):
+    assert values(spark, T.tokens(F.col("s")), *CASES, None) == [*map(plain_tokens, CASES), []]
+
+
+@settings(max_examples=15, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.text(alphabet="abcXYZ019 _-é中\n'", max_size=40), min_size=1, max_size=20))
+def test_tokens_as_in_python(spark, texts):
+    assert values(spark, T.tokens(F.col("s")), *texts) == [*map(plain_tokens, texts)]
+
+
+def test_terms(spark):
+    got = values(spark, T.terms(F.col("s")), "The Cat and the cat is a CAT")
+    assert got == [["cat", "cat", "cat"]]
+    assert values(spark, T.terms(F.col("s"), stop=False), "The cat") == [["the", "cat"]]
+    assert values(spark, T.terms(F.col("s"), normalize=lambda w: F.substring(w, 1, 2)), "query queen") == [["qu", "qu"]]
+
+
+def test_runs_count_terms_however_many(spark):
+    text = "b a bb " * 3 + "a" + " zz" * 30_000
+    runs = F.explode(T.term_runs(T.tokens(F.col("s")))).alias("run")
+    rows = spark.createDataFrame([(text,), ("",), (None,)], "s string").select(runs).select(T.run_term(F.col("run")), T.run_count(F.col("run"))).collect()
+    assert {tuple(r) for r in rows} == {("a", 4), ("b", 3), ("bb", 3), ("zz", 30_000)}
+
+
+def plain_snippet(content, terms, size):
+    if not content:
+        return ""
+    low, start = content.lower(), 0
+    for t in terms:
+        at = low.find(t.lower())
+        if at >= 0:
+            start = max(0, at - 40)
+            break
+    body = content[start : start + size]
+    if start:
+        blank = body.find(" ")
+        body = "..." + (body[blank + 1 :] if 0 < blank < 20 else body)
+    if len(content) > start + size:
+        last = body.rfind(" ")
+        body = (body[:last] if last > len(body) - 20 else body) + "..."
+    return body
+
+
+@pytest.mark.parametrize("terms", [["target"], ["none", "target"], ["none"], []])
+def test_snippets(spark, terms):
+    long = "word " * 30 + "the Target lies here " + "more words follow " * 20
+    rows = [long, "short target", "", None, "x" * 400, "a" * 15, "nospace" * 2 + "target" + "z" * 300]
+    for size in (200, 12):
+        assert values(spark, T.snippet(F.col("s"), terms, size), *rows) == [plain_snippet(r, terms, size) for r in rows]
+
+
+def test_highlight_strip_lead_fragment(spark):
+    assert values(spark, T.highlight(F.col("s"), ["cat"]), "cat Cat CAT cAt concat") == ["**cat** **Cat** **CAT** cAt con**cat**"]
+    assert values(spark, T.highlight(F.col("s"), []), "cat") == ["cat"]
+    assert values(spark, T.strip_markup(F.col("s")), "[bold red]hi[/] [x]y") == ["hi y"]
+    assert values(spark, T.lead(F.col("s")), "a\nb", "x" * 201) == ["a b", "x" * 200 + "..."]
+    text = "one two three four five six " * 10
+    words = text[len(text) // 2 :][:200].split()
+    assert values(spark, T.fragment(F.col("s")), text, "short") == [" ".join(words[1:6]), None]
