@@ -1,0 +1,58 @@
+import random
+
+import pytest
+
+from termlake.llm import exact_dedup
+
+SCHEMA = "doc_id bigint, text string"
+
+
+def brute(rows):
+    """(doc_id, duplicate_of) of every row whose text an earlier one has; null ids last."""
+    first, out = {}, []
+    for i, t in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
+        if t is None:
+            continue
+        if t in first:
+            out.append((i, first[t]))
+        else:
+            first[t] = i
+    return sorted(out, key=str)
+
+
+def found(df, **options):
+    return sorted((tuple(r) for r in exact_dedup.copies(df, **options).collect()), key=str)
+
+
+@pytest.mark.parametrize("block", [1, 3, 8, 1024])
+def test_equals_brute_force(spark, block):
+    rng = random.Random(block)
+    texts = ["".join(rng.choice("ab") for _ in range(rng.randrange(0, 12))) for _ in range(80)] + ["x" * 40, "x" * 41, "x" * 40, "é🎉\n" * 5, "é🎉\n" * 5]
+    rows = list(enumerate(texts))
+    rng.shuffle(rows)
+    assert found(spark.createDataFrame(rows, SCHEMA).repartition(3), block_chars=block) == brute(rows)
+
+
+def test_names_are_free_of_collisions_by_construction(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "BUCKETS", 1)  # every block in one bucket: names still differ where texts do
+    rows = [(i, f"text {i % 17} " * (1 + i % 5)) for i in range(120)]
+    assert found(spark.createDataFrame(rows, SCHEMA), block_chars=4) == brute(rows)
+
+
+def test_empty_null_repeated_long_and_clashing(spark):
+    rows = [(1, ""), (2, ""), (3, None), (4, None), (None, "a"), (5, "a"), (5, "a"), (None, "a"), (7, "L" * 300_000), (6, "L" * 300_000), (8, "L" * 299_999 + "M")]
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert found(df) == sorted([(2, 1), (5, 5), (None, 5), (None, 5), (7, 6)], key=str)
+    clash = df.selectExpr("doc_id", "text", "1 as row", "2 as name", "'x' as block", "3 as n", "4 as pos", "5 as round", "6 as doc", "7 as `a.b`")
+    kept = exact_dedup.dedup(clash)
+    assert kept.columns == clash.columns
+    assert sorted((r.doc_id, (r.text or "-")[:2]) for r in kept.collect()) == [(1, "-"), (3, "-"), (4, "-"), (5, "a"), (6, "LL"), (8, "LL")]
+    empty = spark.createDataFrame([], SCHEMA)
+    assert found(empty) == [] and exact_dedup.dedup(empty).count() == 0
+
+
+def test_table(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    assert found(docs) == brute(rows) and brute(rows)
+    assert exact_dedup.dedup(docs).count() == len({t for _, t in rows})
