@@ -184,6 +184,26 @@ SQL["query_fragments"] = r"""
     SELECT doc_id, array_to_string(w[2:least(6, len(w) - 1)], ' ') AS fragment FROM w WHERE len(w) >= 5"""
 
 
+@query
+def sampled_queries(spark, sf_dir):
+    """A sample of 25 queries from the middles of documents; the limit is the operator's."""
+    return corpus.sampled_queries(documents(spark, sf_dir), 25).select("query_id", "query", "doc_id")
+
+
+SQL["sampled_queries"] = f"""
+    SELECT 'q' || doc_id AS query_id, fragment AS query, doc_id FROM ({SQL["query_fragments"]})
+    WHERE len(regexp_split_to_array(fragment, '\\s+')) >= 3 ORDER BY md5('42|' || doc_id), doc_id LIMIT 25"""
+
+
+@query
+def corpus_prefix(spark, sf_dir):
+    """The first 100 documents by id; the limit is the operator's."""
+    return corpus.first(documents(spark, sf_dir), 100).select(F.col("id").alias("doc_id"), "content")
+
+
+SQL["corpus_prefix"] = "SELECT doc_id, text AS content FROM documents ORDER BY doc_id LIMIT 100"
+
+
 # The index
 
 

@@ -91,7 +91,7 @@ class Prompt:
 def main(args: list[str] | None = None) -> int:
     """0 when done, 1 after an error, 130 when interrupted."""
     options = arguments(args)
-    logging.basicConfig(level=os.environ.get("TERMLAKE_LOG_LEVEL", "WARNING"), stream=sys.stderr)
+    logging.basicConfig(level=os.environ.get("TERMLAKE_LOG_LEVEL", "WARNING"), format=os.environ.get("TERMLAKE_LOG_FORMAT", logging.BASIC_FORMAT), stream=sys.stderr)
     try:
         checked_k(options.top_k)
         spark = SparkSession.builder.appName("termlake").getOrCreate()

@@ -110,7 +110,20 @@ def sampled_queries(docs: DataFrame, n: int, seed: int = 42) -> DataFrame:
     titled = F.length(F.trim("title")) > 3
     query = F.when(titled, F.trim("title")).otherwise(fragment(F.col("content")))
     asked = docs.select(F.col("id").alias("doc_id"), query.alias("query")).where(F.size(F.split("query", r"\s+")) >= 3)
-    return asked.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(n).select(F.concat(F.lit("q"), F.col("doc_id").cast("string")).alias("query_id"), "query", "doc_id")
+    place = F.md5(F.concat(F.lit(f"{seed}|"), F.col("doc_id").cast("string")))
+    return asked.orderBy(place, "doc_id").limit(n).select(F.concat(F.lit("q"), F.col("doc_id").cast("string")).alias("query_id"), "query", "doc_id")
+
+
+def first(docs: DataFrame, n: int, order: str = "id") -> DataFrame:
+    """The first ``n`` documents in the order of a column."""
+    return docs.orderBy(order).limit(n)
+
+
+def read_dump(spark: SparkSession, path: str, max_docs: int | None = None) -> DataFrame:
+    """A dump of articles, JSON lines of ``id, title, text`` (or ``content``), from a local or shared path; its first ``max_docs`` lines."""
+    raw = spark.read.schema("id string, title string, text string, content string").json(path)
+    docs = raw.select("id", F.coalesce("title", F.lit("")).alias("title"), F.coalesce("content", "text").alias("content"), F.lit(None).cast("variant").alias("metadata"))
+    return docs if max_docs is None else docs.limit(max_docs)
 
 
 _TOPICS = {
