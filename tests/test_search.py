@@ -20,6 +20,11 @@ def docs(spark, rows=FOUR):
     return spark.createDataFrame([(i, t, c) for i, t, c in rows], "id string, title string, content string")
 
 
+@pytest.fixture(scope="module")
+def held(spark):
+    return index.build(docs(spark))
+
+
 def words(text):
     return [w for w in plain_tokens(text) if w not in STOP_WORDS]
 
@@ -46,9 +51,8 @@ def expected(scores, k=10):
     return [(n, i, round(s, 6)) for n, (i, s) in enumerate(order, 1)]
 
 
-def test_a_score_by_hand(spark):
+def test_a_score_by_hand(held):
     # N = 4, lengths 3 3 7 0, mean 3.25; "apple" is in two documents, once in each, both of length 3
-    held = index.build(docs(spark))
     idf = math.log((4 - 2 + 0.5) / (2 + 0.5) + 1)
     score = round(idf * 2.5 / (1 + 1.5 * (0.25 + 0.75 * 3 / 3.25)), 6)
     assert pairs(search.search(held, "apple")) == [(1, "d1", score), (2, "d2", score)]
@@ -56,11 +60,12 @@ def test_a_score_by_hand(spark):
     assert {r.doc_id: r.dl for r in held.doc_stats.collect()} == {"d1": 3, "d2": 3, "d3": 7, "d4": 0}
 
 
-@pytest.mark.parametrize("query", ["red", "red red apple", "green sky barn", "the red", "zzz red", "Apple PIE!"])
 @pytest.mark.parametrize("p", [BM25Params(), BM25Params(2.0, 0.3), BM25Params(0.0, 0.0)])
-def test_brute_force(spark, query, p):
-    held = index.build(docs(spark), params=p)
-    assert pairs(search.search(held, query)) == expected(brute(FOUR, query, p))
+def test_brute_force(spark, held, p):
+    asked = ["red", "red red apple", "green sky barn", "the red", "zzz red", "Apple PIE!"]
+    found = search.search_batch(held, spark.createDataFrame(list(enumerate(asked)), "query_id int, query string"), params=p).collect()
+    for i, q in enumerate(asked):
+        assert sorted((r["rank"], r.doc_id, r.score) for r in found if r.query_id == i) == expected(brute(FOUR, q, p))
 
 
 def test_stored_and_on_demand_scores_agree(spark, tmp_path):
@@ -74,8 +79,7 @@ def test_stored_and_on_demand_scores_agree(spark, tmp_path):
         index.load(spark, str(tmp_path / "none"))
 
 
-def test_no_terms_no_results(spark):
-    held = index.build(docs(spark))
+def test_no_terms_no_results(spark, held):
     for q in ("", "the and of", "xyzzy", None, "!!!"):
         assert search.search(held, q).count() == 0
     for k in (0, -1, 1.5, True):
@@ -105,8 +109,7 @@ def test_ties_go_by_id_and_pages_follow(spark):
     assert [d for _, d, _ in pairs(search.search(held, "words", 4, exclude=first))] == ["t4", "t5", "t6", "t7"]
 
 
-def test_a_batch_is_its_single_searches(spark):
-    held = index.build(docs(spark))
+def test_a_batch_is_its_single_searches(spark, held):
     asked = ["red apple", "", "green", "red apple", "zzz"]
     rows = spark.createDataFrame(list(enumerate(asked)), "query_id int, query string")
     batch = search.search_batch(held, rows, 3)
@@ -114,15 +117,13 @@ def test_a_batch_is_its_single_searches(spark):
         assert pairs(batch.where(F.col("query_id") == i)) == pairs(search.search(held, q, 3))
 
 
-def test_scores_add_up_over_queries(spark):
-    held = index.build(docs(spark))
+def test_scores_add_up_over_queries(spark, held):
     score = lambda q: {d: s for _, d, s in pairs(search.search(held, q))}
     a, b, both = score("red sky"), score("red green"), score("red sky red green")
     assert both == pytest.approx({d: a.get(d, 0) + b.get(d, 0) for d in a.keys() | b.keys()}, abs=3e-6)
 
 
-def test_explanations(spark):
-    held = index.build(docs(spark))
+def test_explanations(spark, held):
     asked = spark.createDataFrame([(0, "red red apple zzz")], "query_id int, query string")
     wanted = spark.createDataFrame([(0, "d1"), (0, "d4"), (0, "none")], "query_id int, doc_id string")
     got = {(r.doc_id, r.term): r.term_score for r in search.explain(held, asked, wanted).collect()}
@@ -131,8 +132,7 @@ def test_explanations(spark):
     assert sum(v for (d, _), v in got.items() if d == "d1") == pytest.approx(once, abs=2e-6)
 
 
-def test_given_documents_are_all_ranked(spark):
-    held = index.build(docs(spark))
+def test_given_documents_are_all_ranked(spark, held):
     asked = spark.createDataFrame([(0, "red")], "query_id int, query string")
     wanted = spark.createDataFrame([(0, d) for d in ("d2", "d1", "d4")], "query_id int, doc_id string")
     assert [d for _, d, _ in pairs(search.rank_documents(held, asked, wanted))] == ["d1", "d2", "d4"]
@@ -143,7 +143,7 @@ def test_changes(spark):
     grown = maintain.added(docs(spark), more)
     assert pairs(search.search(index.build(grown), "red")) == expected(brute([*FOUR, ("n1", "red red red", "")], "red"))
     back = maintain.removed(grown, spark.createDataFrame([("n1",)], "id string"))
-    assert pairs(search.search(index.build(back), "red apple")) == pairs(search.search(index.build(docs(spark)), "red apple"))
+    assert pairs(search.search(index.build(back), "red apple")) == expected(brute(FOUR, "red apple"))
     with pytest.raises(ValueError):
         maintain.added(docs(spark), docs(spark, FOUR[:1]))
     with pytest.raises(ValueError):
@@ -187,7 +187,7 @@ def test_quality_metrics(spark):
     assert got[2] == got[3] == (0.0, 0.0, 0.0)
 
 
-@pytest.mark.parametrize("n", [0, 1, 2, 19, 20, 21, 1000])
+@pytest.mark.parametrize("n", [0, 1, 20, 21, 1000])
 def test_latency(spark, n):
     sample = [((i * 7919) % 1000) / 7 for i in range(n)]
     row = evaluate.latency_summary(spark.createDataFrame([(v,) for v in [*sample, None]], "v double"), "v").first()
