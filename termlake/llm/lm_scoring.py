@@ -168,15 +168,25 @@ def cut(stream: np.ndarray, starts: np.ndarray, lengths: np.ndarray, doc: np.nda
 
 
 class Scorer:
-    """The model for scoring: tables of what each class at each place contributes."""
+    """The model for scoring: tables of what each class at each place contributes.
+
+    The output projection is in the table of values, which has a column of ones for the softmax's sum; so has what goes into
+    the last layer, for the bias. Early and late queries of a window are taken apart, since the early ones see fewer places.
+    """
 
     def __init__(self, w: Weights):
         x = w["emb"][:, None, :] + w["pos"]
         a, _ = _norm(x)
         self.x, self.q = (np.ascontiguousarray(t[:, CONTEXT:]).reshape(-1, WIDTH) for t in (x, a @ w["wq"] * np.float32(WIDTH**-0.5)))
-        self.k, self.v = ((a @ w[n]).reshape(-1, WIDTH) for n in ("wk", "wv"))
+        self.k = (a @ w["wk"]).reshape(-1, WIDTH)
+        v = (a @ w["wv"] @ w["wo"]).reshape(-1, WIDTH)
+        self.v = np.concatenate([v, np.ones((len(v), 1), np.float32)], 1)
+        self.out = np.concatenate([w["out"], w["bias"][None]])
         self.w = w
-        self.mask = np.exp(_MASK)
+        half = STRIDE // 2
+        self.parts = [(slice(0, half), CONTEXT + half), (slice(half, STRIDE), PLACES)]
+        self.masks = [np.exp(_MASK[rows, :seen]) for rows, seen in self.parts]
+        self.ones = np.ones(CLASSES, np.float32)
         self.small = float(np.sqrt((self.q**2).sum(1).max() * (self.k**2).sum(1).max())) < 60
 
     def __call__(self, inputs: np.ndarray, before: np.ndarray, targets: np.ndarray) -> np.ndarray:
@@ -185,29 +195,39 @@ class Scorer:
         every = inputs * PLACES + np.arange(PLACES)
         late = inputs[:, CONTEXT:] * STRIDE + np.arange(STRIDE)
         q, k, v = np.take(self.q, late, 0), np.take(self.k, every, 0), np.take(self.v, every, 0)
-        s = q @ k.transpose(0, 2, 1)
-        if not self.small:  # else exp can't overflow
-            s -= s.max(-1, keepdims=True)
-        np.exp(s, out=s)
-        s *= self.mask
-        if before.any():
-            s *= (np.arange(PLACES) >= before[:, None, None]).astype(np.float32)
-        m = s @ v
-        m /= s.sum(-1, keepdims=True)
-        h = np.take(self.x, late.reshape(-1), 0) + m.reshape(-1, WIDTH) @ w["wo"]
-        b, _ = _norm(h)
-        g = b @ w["w1"]
+        begun = np.flatnonzero(before)
+        there = (np.arange(PLACES) >= before[begun, None, None]).astype(np.float32)
+        h = np.take(self.x, late, 0)
+        for (rows, seen), mask in zip(self.parts, self.masks):
+            s = q[:, rows] @ k[:, :seen].transpose(0, 2, 1)
+            if not self.small:  # else exp can't overflow
+                s += _MASK[rows, :seen]
+                s[begun] -= np.float32(1e9) * (1 - there[:, :, :seen])
+                s -= s.max(-1, keepdims=True)
+            np.exp(s, out=s)
+            s *= mask
+            if len(begun):
+                s[begun] *= there[:, :, :seen]
+            m = s @ v[:, :seen]
+            h[:, rows] += m[..., :WIDTH] / m[..., WIDTH:]
+        h = h.reshape(-1, WIDTH)
+        g = _scaled(h) @ w["w1"]
         g += w["b1"]
         np.maximum(g, 0, out=g)
-        z, _ = _norm(h + g @ w["w2"])
-        logits = z @ w["out"]
-        logits += w["bias"]
+        h += g @ w["w2"]
+        z = np.ones((len(h), WIDTH + 1), np.float32)
+        z[:, :WIDTH] = _scaled(h)
+        logits = z @ self.out
         at = logits[np.arange(len(logits)), targets.reshape(-1)]
-        top = float(logits.max())
-        if top < 80:  # else exp overflows
-            return (at - np.log(np.exp(logits, out=logits).sum(-1))).reshape(n, STRIDE)
+        if float(logits.max()) < 80:  # else exp overflows
+            return (at - np.log(np.exp(logits, out=logits) @ self.ones)).reshape(n, STRIDE)
         high = logits.max(-1)
-        return (at - high - np.log(np.exp(logits - high[:, None]).sum(-1))).reshape(n, STRIDE)
+        return (at - high - np.log(np.exp(logits - high[:, None]) @ self.ones)).reshape(n, STRIDE)
+
+
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """``_norm`` of rows, without the factor."""
+    return x * (1 / np.sqrt(np.einsum("ij,ij->i", x, x) / np.float32(WIDTH) + np.float32(EPS)))[:, None]
 
 
 def counts(stream: DataFrame, vocabulary: int) -> np.ndarray:
