@@ -148,7 +148,7 @@ class Codec:
         plain = self.model
         self.plain = not plain.charsmap and not plain.collapse and plain.dummy_prefix and plain.escape
         self.splits = plain.escape and plain.dummy_prefix and not any(MARK in p.lstrip(MARK) for p, _, k in plain.pieces if k in (NORMAL, USER))
-        self.cache: dict[str, tuple[bytes, bool]] = {}
+        self.cache: dict[str, tuple[bytes, bool, str]] = {}
 
     def _parts(self, text: str) -> list[str] | None:
         """Words that each stand for the marker and themselves, or None where the text can't be split so."""
@@ -164,6 +164,11 @@ class Codec:
 
     def encode(self, texts: list[str]) -> list[tuple[bytes, bool]]:
         """Ids of each text, as 32-bit numbers, and whether SentencePiece has the same."""
+        return [found[:2] for found in self.there_and_back(texts)]
+
+    def there_and_back(self, texts: list[str]) -> list[tuple[bytes, bool, str]]:
+        """As ``encode``, and the text that the ids give. That of words, each of which begins with the marker, is their
+        texts with blanks between, so words are decoded once too."""
         split = [self._parts(t) for t in texts]
         if len(self.cache) > CACHE_PIECES:
             self.cache.clear()
@@ -171,19 +176,22 @@ class Codec:
         if new:
             # a word that the normalizer already went over is the same after another time
             want = self.peer.encode(new if self.plain else [w.replace(MARK, " ") for w in new], num_threads=1)
-            for word, ids, peer in zip(new, self._encode([MARK + w for w in new]), want):
-                self.cache[word] = ids, (ids == np.array(peer, "<i4").tobytes()) if word else True
+            own = self._encode([MARK + w for w in new])
+            back = self.decode([np.frombuffer(ids, "<i4").tolist() for ids in own])
+            for word, ids, peer, text in zip(new, own, want, back):
+                self.cache[word] = ids, (ids == np.array(peer, "<i4").tobytes()) if word else True, text
         out: list = [None] * len(texts)
         whole = [i for i, p in enumerate(split) if p is None]
         if whole:
             own = self._encode([self.normalizer.normalize_str(texts[i]) if texts[i] else "" for i in whole])
-            for i, ids, peer in zip(whole, own, self.peer.encode([texts[i] for i in whole], num_threads=1)):
-                out[i] = ids, ids == np.array(peer, "<i4").tobytes()
+            back = self.decode([np.frombuffer(ids, "<i4").tolist() for ids in own])
+            for i, ids, peer, text in zip(whole, own, self.peer.encode([texts[i] for i in whole], num_threads=1), back):
+                out[i] = ids, ids == np.array(peer, "<i4").tobytes(), text
         get = self.cache.__getitem__
         for i, parts in enumerate(split):
             if parts is not None:
-                ids, same = zip(*map(get, parts))
-                out[i] = b"".join(ids), all(same)
+                ids, same, back = zip(*map(get, parts))
+                out[i] = b"".join(ids), all(same), " ".join(back)
         return out
 
     def decode(self, ids: list[list[int]]) -> list[str]:
@@ -221,20 +229,18 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
             every = batch.column(1).to_pylist()
             for start, stop in _chunks([len(t or "") for t in every]):
                 texts = every[start:stop]
-                found = iter(one.encode([t for t in texts if t is not None]))
+                found = iter(one.there_and_back([t for t in texts if t is not None]))
                 rows = [None if t is None else next(found) for t in texts]
                 flat = np.frombuffer(b"".join(r[0] for r in rows if r), "<i4")
                 sizes = np.array([len(r[0]) // 4 if r else 0 for r in rows], np.int64)
                 offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-                numbers = flat.tolist()
-                back = one.decode([numbers[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())])
                 null = pa.array([r is None for r in rows])
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(start, stop - start),
                         pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat), mask=null),
                         pa.array([r and r[1] for r in rows], pa.bool_()),
-                        pa.array([None if t is None else t == b for t, b in zip(texts, back)], pa.bool_()),
+                        pa.array([None if t is None else t == r[2] for t, r in zip(texts, rows)], pa.bool_()),
                     ],
                     ["doc_id", "ids", "parity", "round_trip"],
                 )
