@@ -1,17 +1,20 @@
 """LM scoring: a causal self-attention model in numpy on subword ids.
 
 Documents are encoded once. Counts of all ids over the corpus choose the model's classes: the most frequent ids have one each,
-all others share one, in which an id has its share of the counts. So the probabilities of all ids of the vocabulary add up to
-one, and every token gets its own.
+all others share one. In that class the ids, by falling counts, form groups of SIZE: the model gives the group in the class and
+the id in the group, both from what came before, and each id has its own embedding and its own output weights. So the
+probabilities of all ids of the vocabulary add up to one, and every token gets its own. What stands for an id is its symbol: its rank by
+counts, so a symbol from CLASSES - 1 on is one of the shared class. Weights without tables for these have shares of the counts instead.
 
 Training covers the corpus: in each epoch each document gives one window, at a place that its id and the epoch determine. A
 partition trains a replica of the model on its own documents; the replicas are averaged, weighted by tokens, in groups by the
-executors and at last on the driver, which holds a fixed number of them however many partitions there are.
+executors and at last on the driver, which holds one model however many partitions there are. Of the shared class's tables a replica
+gives the groups that it met, and an id's rows are weighted by how often it met them.
 
 Scoring cuts a document into windows of CONTEXT + STRIDE places that overlap by CONTEXT: each scores its last STRIDE tokens, so each token is
 scored once, and after at least CONTEXT others where the document has as many. Windows of all documents go through the model in
-batches, with a mask for what is later and what is before the document's beginning. What a class at a place contributes as query,
-key and value is looked up in tables that the weights determine, not computed again.
+batches, with a mask for what is later and what is before the document's beginning. What a class of one id at a place contributes as
+query, key and value is looked up in tables that the weights determine, not computed again.
 """
 
 from __future__ import annotations
@@ -32,16 +35,25 @@ CLASSES, WIDTH, HIDDEN = 128, 32, 48
 CONTEXT, STRIDE = 32, 64
 PLACES = CONTEXT + STRIDE
 EPOCHS, BATCH, RATE = 1, 16, 1e-2
-#: Averages of replicas that reach the driver in an epoch, at most.
+#: Ids in a group of the shared class, and the rate for their rows, which few batches have.
+SIZE, ROW_RATE = 64, 3e-2
+#: Averages of replicas that are averaged once more, at most.
 GROUPS = 32
 EPS = 1e-5
 _MASK = np.where(np.arange(PLACES)[None, :] <= np.arange(CONTEXT, PLACES)[:, None], 0, -1e9).astype(np.float32)
 SHAPES = {"emb": (CLASSES, WIDTH), "pos": (PLACES, WIDTH), "wq": (WIDTH, WIDTH), "wk": (WIDTH, WIDTH), "wv": (WIDTH, WIDTH), "wo": (WIDTH, WIDTH), "w1": (WIDTH, HIDDEN), "b1": (HIDDEN,), "w2": (HIDDEN, WIDTH), "out": (WIDTH, CLASSES), "bias": (CLASSES,)}
 Weights = dict[str, np.ndarray]
+#: Symbol of the first id of the shared class.
+REST = CLASSES - 1
 
 
-def initial(counts: np.ndarray, seed: int = 7) -> Weights:
-    """Weights to begin with: the probabilities are those of the classes' counts."""
+def tables(groups: int) -> dict[str, tuple[int, ...]]:
+    """Shapes of the shared class's weights; the last row of ``groups`` and the last column of ``leaves`` are biases."""
+    return {"groups": (WIDTH + 1, groups), "ids": (groups, SIZE, WIDTH), "leaves": (groups, SIZE, WIDTH + 1)}
+
+
+def initial(counts: np.ndarray, seed: int = 7, rest: np.ndarray | None = None) -> Weights:
+    """Weights to begin with: the probabilities are those of the counts of classes, and of the shared class's ids (``rest``, falling)."""
     rng = np.random.default_rng(seed)
     w = {k: (rng.standard_normal(s) / np.sqrt(WIDTH if k not in ("emb", "pos") else 4)).astype(np.float32) for k, s in SHAPES.items()}
     w["out"] *= np.float32(0.05)
@@ -49,16 +61,23 @@ def initial(counts: np.ndarray, seed: int = 7) -> Weights:
     w["wo"] *= np.float32(0.2)
     w["b1"][:] = 0
     w["bias"] = np.log((counts + 1) / (counts + 1).sum()).astype(np.float32)
+    if rest is not None and len(rest):
+        w |= {k: np.zeros(s, np.float32) for k, s in tables(-(-len(rest) // SIZE)).items()}
+        padded = np.zeros(w["leaves"].shape[:2])
+        padded.reshape(-1)[: len(rest)] = rest + 1.0
+        w["leaves"][..., -1] = np.where(padded > 0, np.log(np.maximum(padded, 1)), -1e9)
+        w["groups"][-1] = np.log(padded.sum(1))
     return w
 
 
 def packed(w: Weights) -> bytes:
-    return b"".join(w[k].astype("<f4").tobytes() for k in SHAPES)
+    return b"".join(w[k].astype("<f4").tobytes() for k in (*SHAPES, *tables(0)) if k in w)
 
 
 def unpacked(data: bytes) -> Weights:
     out, flat, at = {}, np.frombuffer(data, "<f4"), 0
-    for k, s in SHAPES.items():
+    more = len(flat) - sum(int(np.prod(s)) for s in SHAPES.values())
+    for k, s in (SHAPES | (tables(more // sum(int(np.prod(s)) for s in tables(1).values())) if more else {})).items():
         n = int(np.prod(s))
         out[k], at = flat[at : at + n].reshape(s).copy(), at + n
     return out
@@ -73,9 +92,58 @@ def _norm_back(dy: np.ndarray, y: np.ndarray, r: np.ndarray) -> np.ndarray:
     return r * (dy - y * (dy * y).mean(-1, keepdims=True))
 
 
+class Inner:
+    """The shared class from inside: probabilities of its ids ``number`` after states ``z`` (with a column of ones)."""
+
+    def __init__(self, w: Weights, z: np.ndarray, number: np.ndarray):
+        group, place = np.divmod(number, SIZE)
+        self.order = np.argsort(group, kind="stable")
+        self.w, self.z, self.group, self.place = w, z[self.order], group[self.order], place[self.order]
+        firsts = np.flatnonzero(np.concatenate([[True], self.group[1:] != self.group[:-1]])) if len(z) else np.zeros(0, int)
+        self.runs = list(zip(self.group[firsts].tolist(), firsts.tolist(), [*firsts[1:].tolist(), len(z)]))
+        leaf = np.empty((len(z), SIZE), z.dtype)
+        for g, a, b in self.runs:
+            np.matmul(self.z[a:b], w["leaves"][g].T, out=leaf[a:b])
+        rows = np.arange(len(z))
+        self.levels, found = [], 0
+        for logits, at in ((self.z @ w["groups"], self.group), (leaf, self.place)):
+            logits -= logits.max(-1, keepdims=True)
+            here = logits[rows, at]
+            np.exp(logits, out=logits)
+            total = logits.sum(-1)
+            found = found + here - np.log(total)
+            self.levels.append((logits, total, at))
+        self.logs = np.empty_like(found)
+        self.logs[self.order] = found
+
+    def gradient(self, n: int) -> tuple[np.ndarray, Weights]:
+        """Of the mean over ``n`` targets: by the states, and by the tables, for ``leaves`` as groups and their rows."""
+        for e, total, at in self.levels:
+            e /= total[:, None]
+            e[np.arange(len(e)), at] -= 1
+            e /= n
+        groups, leaf = self.levels[0][0], self.levels[1][0]
+        dz = groups @ self.w["groups"][:-1].T
+        rows = np.empty((len(self.runs), SIZE, WIDTH + 1), self.z.dtype)
+        for i, (g, a, b) in enumerate(self.runs):
+            rows[i] = leaf[a:b].T @ self.z[a:b]
+            dz[a:b] += leaf[a:b] @ self.w["leaves"][g][:, :-1]
+        out = np.empty_like(dz)
+        out[self.order] = dz
+        return out, {"groups": self.z.T @ groups, "leaves": (np.array([g for g, _, _ in self.runs], int), rows)}
+
+
+def embedded(w: Weights, inputs: np.ndarray) -> np.ndarray:
+    x = w["emb"][np.minimum(inputs, REST)]
+    if "ids" in w:
+        far = inputs >= REST
+        x[far] += w["ids"].reshape(-1, WIDTH)[inputs[far] - REST]
+    return x
+
+
 def forward(w: Weights, inputs: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, tuple]:
-    """Logits (n, STRIDE, CLASSES) for windows of PLACES classes, of which the first ``before`` don't exist."""
-    x = w["emb"][inputs] + w["pos"]
+    """Logits (n, STRIDE, CLASSES) for windows of PLACES symbols, of which the first ``before`` don't exist."""
+    x = embedded(w, inputs) + w["pos"]
     a, ra = _norm(x)
     q, k, v = a[:, CONTEXT:] @ w["wq"], a @ w["wk"], a @ w["wv"]
     s = q @ k.transpose(0, 2, 1) * np.float32(WIDTH**-0.5) + _MASK
@@ -93,12 +161,13 @@ def forward(w: Weights, inputs: np.ndarray, before: np.ndarray) -> tuple[np.ndar
 
 
 def loss_and_gradient(w: Weights, inputs: np.ndarray, before: np.ndarray, targets: np.ndarray, valid: np.ndarray) -> tuple[float, Weights]:
-    """Mean negative log probability of the valid targets, and its gradient."""
+    """Mean negative log probability of the valid targets, and its gradient; of ``ids`` and ``leaves`` as rows and what they have."""
     logits, (a, ra, q, k, v, p, m, b, rb, u, g, z, rz) = forward(w, inputs, before)
     n = max(1, int(valid.sum()))
     logits -= logits.max(-1, keepdims=True)
     e = np.exp(logits)
     total = e.sum(-1, keepdims=True)
+    symbols, targets = targets, np.minimum(targets, REST)
     at = np.take_along_axis(logits, targets[..., None], -1)[..., 0] - np.log(total[..., 0])
     loss = -float((at * valid).sum()) / n
     d = e / total
@@ -106,7 +175,16 @@ def loss_and_gradient(w: Weights, inputs: np.ndarray, before: np.ndarray, target
     d *= (valid / n)[..., None].astype(d.dtype)
     flat = lambda t: t.reshape(-1, t.shape[-1])
     grad = {"out": flat(z).T @ flat(d), "bias": flat(d).sum(0)}
-    dy = _norm_back(d @ w["out"].T, z, rz)
+    dz = d @ w["out"].T
+    if "ids" in w:
+        far = (symbols >= REST) & valid
+        states = z[far]
+        inner = Inner(w, np.concatenate([states, np.ones((len(states), 1), states.dtype)], 1), symbols[far] - REST)
+        loss -= float(inner.logs.sum()) / n
+        more, of_tables = inner.gradient(n)
+        dz[far] += more
+        grad |= of_tables
+    dy = _norm_back(dz, z, rz)
     grad["w2"] = flat(g).T @ flat(dy)
     du = dy @ w["w2"].T * (u > 0)
     grad["w1"], grad["b1"] = flat(b).T @ flat(du), flat(du).sum(0)
@@ -127,17 +205,31 @@ def loss_and_gradient(w: Weights, inputs: np.ndarray, before: np.ndarray, target
     of = inputs.reshape(-1)[order]
     firsts = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
     grad["emb"] = np.zeros_like(w["emb"])
-    grad["emb"][of[firsts]] = np.add.reduceat(flat(dx)[order], firsts, axis=0)
+    symbol, sums = of[firsts], np.add.reduceat(flat(dx)[order], firsts, axis=0)
+    own = symbol < REST
+    grad["emb"][symbol[own]] = sums[own]
+    grad["emb"][REST] = sums[~own].sum(0)
+    if "ids" in w:
+        grad["ids"] = (symbol[~own] - REST, sums[~own])
     return loss, grad
 
 
 class Adam:
+    """For what all batches have; rows of the shared class's ids go by Adagrad, one size for each row."""
+
     def __init__(self, w: Weights):
         self.w, self.t = w, 0
-        self.m, self.v = ({k: np.zeros_like(x) for k, x in w.items()} for _ in range(2))
+        self.rows = {k: np.zeros(w[k].shape[:2], np.float32) for k in ("ids", "leaves") if k in w}
+        self.m, self.v = ({k: np.zeros_like(x) for k, x in w.items() if k not in self.rows} for _ in range(2))
 
     def step(self, grad: Weights, rate: float) -> None:
         self.t += 1
+        grad = dict(grad)
+        for k in self.rows:
+            at, g = grad.pop(k)
+            w, v = (self.w[k], self.rows[k]) if k == "leaves" else (self.w[k].reshape(-1, WIDTH), self.rows[k].reshape(-1))
+            v[at] += (g * g).mean(-1)
+            w[at] -= (ROW_RATE * rate / RATE * g / (np.sqrt(v[at]) + 1e-8)[..., None]).astype(np.float32)
         size = np.sqrt(sum(float((g * g).sum()) for g in grad.values()))
         for k, g in grad.items():
             g = g * min(1.0, 1 / max(size, 1e-9))
@@ -187,20 +279,37 @@ class Scorer:
         self.parts = [(slice(0, half), CONTEXT + half), (slice(half, STRIDE), PLACES)]
         self.masks = [np.exp(_MASK[rows, :seen]) for rows, seen in self.parts]
         self.ones = np.ones(CLASSES, np.float32)
-        self.small = float(np.sqrt((self.q**2).sum(1).max() * (self.k**2).sum(1).max())) < 60
+        self.high = float((self.q**2).sum(1).max()), float((self.k**2).sum(1).max())
+        self.whole = "ids" in w
+        self.wq, self.wv = w["wq"] * np.float32(WIDTH**-0.5), w["wv"] @ w["wo"]
 
     def __call__(self, inputs: np.ndarray, before: np.ndarray, targets: np.ndarray) -> np.ndarray:
         """Log probabilities of the targets."""
         n, w = len(inputs), self.w
-        every = inputs * PLACES + np.arange(PLACES)
-        late = inputs[:, CONTEXT:] * STRIDE + np.arange(STRIDE)
+        known = np.minimum(inputs, REST)
+        every = known * PLACES + np.arange(PLACES)
+        late = known[:, CONTEXT:] * STRIDE + np.arange(STRIDE)
         q, k, v = np.take(self.q, late, 0), np.take(self.k, every, 0), np.take(self.v, every, 0)
+        h = np.take(self.x, late, 0)
+        high_q, high_k = self.high
+        if self.whole:
+            row, place = np.nonzero(inputs >= REST)
+            x = w["emb"][REST] + w["ids"].reshape(-1, WIDTH)[inputs[row, place] - REST] + w["pos"][place]
+            a = _scaled(x)
+            own = a @ w["wk"]
+            k[row, place], v[row, place, :WIDTH] = own, a @ self.wv
+            high_k = max(high_k, float((own * own).sum(1).max(initial=0)))
+            there = place >= CONTEXT
+            row, place = row[there], place[there] - CONTEXT
+            own = a[there] @ self.wq
+            q[row, place], h[row, place] = own, x[there]
+            high_q = max(high_q, float((own * own).sum(1).max(initial=0)))
+        small = (high_q * high_k) ** 0.5 < 60
         begun = np.flatnonzero(before)
         there = (np.arange(PLACES) >= before[begun, None, None]).astype(np.float32)
-        h = np.take(self.x, late, 0)
         for (rows, seen), mask in zip(self.parts, self.masks):
             s = q[:, rows] @ k[:, :seen].transpose(0, 2, 1)
-            if not self.small:  # else exp can't overflow
+            if not small:  # else exp can't overflow
                 s += _MASK[rows, :seen]
                 s[begun] -= np.float32(1e9) * (1 - there[:, :, :seen])
                 s -= s.max(-1, keepdims=True)
@@ -218,7 +327,11 @@ class Scorer:
         z = np.ones((len(h), WIDTH + 1), np.float32)
         z[:, :WIDTH] = _scaled(h)
         logits = z @ self.out
-        at = logits[np.arange(len(logits)), targets.reshape(-1)]
+        symbols = targets.reshape(-1)
+        at = logits[np.arange(len(logits)), np.minimum(symbols, REST)]
+        if self.whole:
+            far = np.flatnonzero(symbols >= REST)
+            at[far] += Inner(w, z[far], symbols[far] - REST).logs
         if float(logits.max()) < 80:  # else exp overflows
             return (at - np.log(np.exp(logits, out=logits) @ self.ones)).reshape(n, STRIDE)
         high = logits.max(-1)
@@ -259,6 +372,13 @@ def classes(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return of, share
 
 
+def symbols(of: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """Symbol of each id, by its class and its share in the class."""
+    out, rest = of.copy(), np.flatnonzero(of == REST)
+    out[rest[np.argsort(-share[rest], kind="stable")]] = REST + np.arange(len(rest))
+    return out
+
+
 def _hash(x: np.ndarray) -> np.ndarray:
     x = x.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
@@ -268,20 +388,28 @@ def _hash(x: np.ndarray) -> np.ndarray:
 def train(stream: DataFrame, of: np.ndarray, found: np.ndarray, first: int = tokens.END, epochs: int = EPOCHS) -> Weights:
     """Weights after ``epochs`` passes over all documents; the same for the same partitions."""
     spark = stream.sparkSession.sparkContext
-    weights = initial(np.bincount(of, found, CLASSES))
+    symbol = symbols(of, found)
+    weights = initial(np.bincount(of, found, CLASSES), rest=-np.sort(-found[of == REST]))
+    groups = len(weights["ids"]) if "ids" in weights else 0
     for epoch in range(epochs):
-        shared = spark.broadcast((packed(weights), of))
+        shared = spark.broadcast((packed(weights), symbol))
 
         def task(batches: Iterator[pa.RecordBatch], shared=shared, epoch=epoch) -> Iterator[pa.RecordBatch]:
-            data, of = shared.value
+            data, symbol = shared.value
             model = Adam(unpacked(data))
             seen, held = 0, []
+            met = np.zeros((groups, SIZE + 1), np.float32)  # of the ids as inputs, of the group as a target
 
             def learn() -> None:
                 inputs, before, targets, valid = (np.concatenate([h[i][:BATCH] for h in [tuple(np.concatenate(c) for c in zip(*held))]]) for i in range(4))
                 rest = [tuple(np.concatenate(c)[BATCH:] for c in zip(*held))]
                 held.clear()
                 held.extend(r for r in rest if len(r[0]))
+                if groups:
+                    far = inputs[inputs >= REST] - REST
+                    np.add.at(met, (far // SIZE, far % SIZE), 1)
+                    far = targets[(targets >= REST) & valid] - REST
+                    np.add.at(met, (far // SIZE, SIZE), 1)
                 _, grad = loss_and_gradient(model.w, inputs, before, targets, valid)
                 model.step(grad, RATE / (1 + 0.5 * epoch))
 
@@ -289,12 +417,12 @@ def train(stream: DataFrame, of: np.ndarray, found: np.ndarray, first: int = tok
                 ids, lengths, doc_ids = _joined(batch)
                 if not len(ids):
                     continue
-                mapped = of[ids]
+                mapped = symbol[ids]
                 starts = np.cumsum(lengths) - lengths
                 each = np.maximum(1, -(-lengths // STRIDE))
                 key = np.array([0 if d is None else d for d in doc_ids.to_pylist()], np.int64)
                 number = (_hash(key * 4 + epoch) % each.astype(np.uint64)).astype(np.int64)
-                inputs, before, places, valid = cut(mapped, starts, lengths, np.arange(len(lengths)), number, of[first])
+                inputs, before, places, valid = cut(mapped, starts, lengths, np.arange(len(lengths)), number, symbol[first])
                 targets = mapped[places]
                 for i in range(0, len(inputs), BATCH):
                     held.append((inputs[i : i + BATCH], before[i : i + BATCH], targets[i : i + BATCH], valid[i : i + BATCH]))
@@ -304,19 +432,36 @@ def train(stream: DataFrame, of: np.ndarray, found: np.ndarray, first: int = tok
             if held:
                 learn()
             if seen:
-                yield pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId()], pa.int32()), "seen": pa.array([seen], pa.int64()), "weights": pa.array([packed(model.w)], pa.binary())})
-
-        def mean(key: tuple, group: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            rows = sorted((r for b in group for r in b.to_pylist()), key=lambda r: r["part"])
-            seen = sum(r["seen"] for r in rows)
-            total = sum(np.frombuffer(r["weights"], "<f4") * np.float64(r["seen"] / seen) for r in rows)
-            yield pa.RecordBatch.from_pydict({"seen": pa.array([seen], pa.int64()), "weights": pa.array([total.astype("<f4").tobytes()], pa.binary())})
-
-        replicas = stream.mapInArrow(task, "part int, seen bigint, weights binary")
-        means = replicas.groupBy((F.col("part") % GROUPS).alias("g")).applyInArrow(lambda key, table: pa.Table.from_batches(list(mean(key, iter(table.to_batches())))), "seen bigint, weights binary").collect()
-        if means:
-            seen = sum(r.seen for r in means)
-            weights = unpacked(sum(np.frombuffer(r.weights, "<f4") * np.float64(r.seen / seen) for r in sorted(means, key=lambda r: bytes(r.weights))).astype("<f4").tobytes())
+                part = TaskContext.get().partitionId()
+                core = packed({k: x for k, x in model.w.items() if k not in model.rows})
+                rows = [(part, -1, np.float32([seen]).tobytes(), core)]
+                for g in np.flatnonzero(met.any(1)).tolist():
+                    rows.append((part, g, met[g].tobytes(), b"".join(model.w[k][g].tobytes() for k in ("ids", "leaves"))))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.binary(), pa.binary()))], ["part", "piece", "seen", "weights"])
+
+        def mean(key: tuple, table: pa.Table) -> pa.Table:
+            rows = sorted(table.to_pylist(), key=lambda r: r["part"])
+            seen, total = 0, 0
+            for r in rows:
+                own = np.frombuffer(r["seen"], "<f4").astype(float)
+                seen, total = seen + own, total + each(own) * np.frombuffer(r["weights"], "<f4")
+            share = each(seen)
+            out = np.where(share > 0, total / np.maximum(share, 1e-9), np.frombuffer(rows[0]["weights"], "<f4"))  # rows nobody met are as they were
+            return pa.table({"part": pa.array([rows[0]["part"]], pa.int32()), "piece": pa.array([rows[0]["piece"]], pa.int32()), "seen": pa.array([seen.astype("<f4").tobytes()], pa.binary()), "weights": pa.array([out.astype("<f4").tobytes()], pa.binary())})
+
+        def each(seen: np.ndarray) -> np.ndarray:
+            """For each weight of a piece how much was seen of it."""
+            return seen if len(seen) == 1 else np.concatenate([np.repeat(seen[:SIZE], WIDTH), np.full(SIZE * (WIDTH + 1), seen[SIZE])])
+
+        kind = "part int, piece int, seen binary, weights binary"
+        replicas = stream.mapInArrow(task, kind)
+        some = replicas.groupBy("piece", (F.col("part") % GROUPS).alias("g")).applyInArrow(lambda key, table: mean(key, table), kind)
+        for r in some.groupBy("piece").applyInArrow(lambda key, table: mean(key, table), kind).collect():
+            flat, at = np.frombuffer(r.weights, "<f4"), 0
+            for k in ("ids", "leaves") if r.piece >= 0 else [k for k in (*SHAPES, "groups") if k in weights]:
+                to = weights[k][r.piece] if r.piece >= 0 else weights[k]
+                to[...] = flat[at : at + to.size].reshape(to.shape)
+                at += to.size
     return weights
 
 
@@ -325,15 +470,17 @@ def scored(ids: np.ndarray, lengths: np.ndarray, model: Scorer, of: np.ndarray,
     total = np.zeros(len(lengths))
     if not len(ids):
         return total
-    mapped = of[ids]
+    symbol = symbols(of, share)
+    mapped = symbol[ids]
     starts = np.cumsum(lengths) - lengths
     doc, number = windows(starts + lengths, lengths)
     for i in range(0, len(doc), batch):
         d = doc[i : i + batch]
-        inputs, before, places, valid = cut(mapped, starts, lengths, d, number[i : i + batch], of[first])
+        inputs, before, places, valid = cut(mapped, starts, lengths, d, number[i : i + batch], symbol[first])
         found = model(inputs, before, mapped[places]) * valid
         total += np.bincount(d, found.sum(1, dtype=np.float64), len(lengths))
-    total += np.bincount(np.repeat(np.arange(len(lengths)), lengths), share[ids], len(lengths))
+    if not model.whole:
+        total += np.bincount(np.repeat(np.arange(len(lengths)), lengths), share[ids], len(lengths))
     return total
 
 
@@ -348,7 +495,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
     found = counts(stream, end + 1)
     of, share = classes(found)
     weights = train(stream, of, found, end)
-    shared = docs.sparkSession.sparkContext.broadcast((packed(weights), of, share))  # about 1 MB, whatever the corpus
+    shared = docs.sparkSession.sparkContext.broadcast((packed(weights), of, share))  # about 14 MB, whatever the corpus
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data, of, share = shared.value

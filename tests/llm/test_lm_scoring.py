@@ -111,3 +111,53 @@ def test_edges(spark):
     assert sorted((r.doc_id is None, r.doc_id, r.n_tokens > 1) for r in got) == [(False, 2, False), (False, 3, True), (False, 3, True), (True, None, True)]
     assert all(np.isfinite(r.log_prob) and r.log_prob < 0 for r in got)
     assert len({r.log_prob for r in got if r.doc_id == 3}) == 1
+
+
+def whole(rest=150, scale=0.4):
+    w = lm.initial(RNG.integers(1, 90, lm.CLASSES), rest=-np.sort(-RNG.integers(0, 90, rest)))
+    return w | {k: w[k] + (RNG.standard_normal(w[k].shape) * scale).astype(np.float32) for k in w}
+
+
+def test_ids_of_the_shared_class_have_their_own_probabilities():
+    w, n = whole(), lm.REST + 150
+    of, share = np.minimum(np.arange(n), lm.REST), -np.arange(n) / 1e6
+    before = [5, 140, 200, 260, 131]
+    every = [before + [i] for i in range(n)]
+    lengths = np.full(n, 6)
+    whole_texts = lm.scored(np.concatenate(every), lengths, lm.Scorer(w), of, share, first=3)
+    starts = lm.scored(np.array(before), np.array([5]), lm.Scorer(w), of, share, first=3)[0]
+    assert np.exp(whole_texts - starts).sum() == pytest.approx(1, abs=1e-3)
+    other = lm.scored(np.array([5, 260, 140, 131, 200]), np.array([5]), lm.Scorer(w), of, share, first=3)[0]
+    assert abs(other - starts) > 1e-2  # the same ids in another order
+
+
+def test_scores_of_the_shared_class_are_those_training_sees():
+    w = whole()
+    ids = RNG.integers(0, lm.REST + 150, 64)
+    of, share = np.minimum(np.arange(lm.REST + 150), lm.REST), -np.arange(lm.REST + 150) / 1e6
+    got = lm.scored(ids, np.array([64]), lm.Scorer(w), of, share, first=3)[0]
+    inputs, before, places, valid = lm.cut(ids, np.array([0]), np.array([64]), np.array([0]), np.array([0]), 3)
+    assert got == pytest.approx(-64 * lm.loss_and_gradient(w, inputs, before, ids[places], valid)[0], rel=1e-4)
+
+
+def test_gradient_of_the_shared_class():
+    w = {k: v.astype(np.float64) for k, v in whole().items()}
+    n = lm.REST + 150
+    inputs, before = RNG.integers(0, n, (3, lm.PLACES)), np.array([0, lm.CONTEXT, 5])
+    targets, valid = RNG.integers(0, n, (3, lm.STRIDE)), RNG.random((3, lm.STRIDE)) < 0.8
+    _, grad = lm.loss_and_gradient(w, inputs, before, targets, valid)
+    for k in ("ids", "leaves", "groups", "emb", "out", "wk"):
+        g = grad[k]
+        if k in ("ids", "leaves"):
+            g = np.zeros_like(w[k])
+            (g.reshape(-1, lm.WIDTH) if k == "ids" else g)[grad[k][0]] = grad[k][1]
+        for _ in range(6):
+            at = tuple(RNG.integers(0, m) for m in w[k].shape)
+            if k in ("ids", "leaves") and at[0] * lm.SIZE + at[1] >= 150:
+                continue
+            both = []
+            for step in (1e-5, -1e-5):
+                moved = {m: v.copy() for m, v in w.items()}
+                moved[k][at] += step
+                both.append(lm.loss_and_gradient(moved, inputs, before, targets, valid)[0])
+            assert g[at] == pytest.approx((both[0] - both[1]) / 2e-5, rel=2e-3, abs=1e-6), k
