@@ -6,10 +6,11 @@ the id in the group, both from what came before, and each id has its own embeddi
 probabilities of all ids of the vocabulary add up to one, and every token gets its own. What stands for an id is its symbol: its rank by
 counts, so a symbol from CLASSES - 1 on is one of the shared class. Weights without tables for these have shares of the counts instead.
 
-Training covers the corpus: in each epoch each document gives one window, at a place that its id and the epoch determine. A
-partition trains a replica of the model on its own documents; the replicas are averaged, weighted by tokens, in groups by the
-executors and at last on the driver, which holds one model however many partitions there are. Of the shared class's tables a replica
-gives the groups that it met, and an id's rows are weighted by how often it met them.
+Training covers the corpus: each epoch takes all windows of each document, so every token is a target once; those of a batch of
+rows come in an order that ids and the epoch determine. A partition trains a replica of the model on its own documents; the
+replicas are averaged, weighted by tokens, in groups by the executors and at last on the driver, which holds one model however many
+partitions there are. Of the shared class's tables a replica gives the groups that it met, and an id's rows are weighted by how often
+it met them.
 
 Scoring cuts a document into windows of CONTEXT + STRIDE places that overlap by CONTEXT: each scores its last STRIDE tokens, so each token is
 scored once, and after at least CONTEXT others where the document has as many. Windows of all documents go through the model in
@@ -419,13 +420,13 @@ def train(stream: DataFrame, of: np.ndarray, found: np.ndarray, first: int = tok
                     continue
                 mapped = symbol[ids]
                 starts = np.cumsum(lengths) - lengths
-                each = np.maximum(1, -(-lengths // STRIDE))
                 key = np.array([0 if d is None else d for d in doc_ids.to_pylist()], np.int64)
-                number = (_hash(key * 4 + epoch) % each.astype(np.uint64)).astype(np.int64)
-                inputs, before, places, valid = cut(mapped, starts, lengths, np.arange(len(lengths)), number, symbol[first])
-                targets = mapped[places]
-                for i in range(0, len(inputs), BATCH):
-                    held.append((inputs[i : i + BATCH], before[i : i + BATCH], targets[i : i + BATCH], valid[i : i + BATCH]))
+                doc, number = windows(starts + lengths, lengths)
+                order = np.argsort(_hash(_hash(key[doc] * 4 + epoch) + number.astype(np.uint64)), kind="stable")
+                for i in range(0, len(order), BATCH):
+                    some = order[i : i + BATCH]
+                    inputs, before, places, valid = cut(mapped, starts, lengths, doc[some], number[some], symbol[first])
+                    held.append((inputs, before, mapped[places], valid))
                     seen += int(held[-1][3].sum())
                     if sum(len(h[0]) for h in held) >= BATCH:
                         learn()
@@ -489,7 +490,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
 
     ``n_tokens`` counts the end token, which is scored too; so an empty text has one. ``log_prob`` is the sum of natural
     logarithms over all tokens, ``perplexity`` the exponential of its negative mean. Null texts have no row. Repeated rows have a
-    row, and a window in training, each; null ids stay null. Other columns are ignored. An empty table gives an empty result.
+    row, and are trained on, each; null ids stay null. Other columns are ignored. An empty table gives an empty result.
     """
     stream = settled(encoded(docs, id_col, text_col, path, end))
     found = counts(stream, end + 1)

@@ -161,3 +161,13 @@ def test_gradient_of_the_shared_class():
                 moved[k][at] += step
                 both.append(lm.loss_and_gradient(moved, inputs, before, targets, valid)[0])
             assert g[at] == pytest.approx((both[0] - both[1]) / 2e-5, rel=2e-3, abs=1e-6), k
+
+
+def test_all_of_a_long_text_is_trained_on(spark):
+    text = "the model reads every part of a long text and not only one window of it " * 4000
+    stream = lm.settled(lm.encoded(spark.createDataFrame([(1, text)], "doc_id bigint, text string")))
+    found = lm.counts(stream, tokens.END + 1)
+    of, share = lm.classes(found)
+    ids = np.append(np.frombuffer(tokens.encoder().encode(text), "<u2"), tokens.END)
+    start, trained = (lm.scored(ids, np.array([len(ids)]), lm.Scorer(w), of, share)[0] / len(ids) for w in (lm.initial(np.bincount(of, found, lm.CLASSES)), lm.train(stream, of, found)))
+    assert trained > start + 1.5  # nats a token
