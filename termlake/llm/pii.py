@@ -5,6 +5,9 @@ the others reach Python, in Arrow batches. A span's score starts at its kind's b
 cards, mod 97 for IBANs, octets and the like for the rest) is required where the kind has one; context words within
 a few dozen characters raise the score, words that speak for something else lower it. Spans of at least ``MIN_SCORE``
 count. Where spans overlap the best score wins, then the longer, then the earlier.
+
+A match that fails its check is tried with nearer ends, the farthest first, wherever the pattern still matches up to there; then
+the search goes on behind the span, or one character on where there is none.
 """
 
 from __future__ import annotations
@@ -104,6 +107,30 @@ class Span(NamedTuple):
     score: float
 
 
+#: Kinds of which a shorter match can hold where the longest doesn't.
+TAILS = ("card", "iban", "phone")
+
+
+def candidates(kind: Kind, text: str) -> Iterator[tuple[int, int]]:
+    """Start and end of the matches of a kind's pattern that hold, without overlap."""
+    at = 0
+    while m := kind.pattern.search(text, at):
+        start, end = m.span()
+        if not kind.holds(m[0]):
+            end = next((e for e in _ends(kind, text, start, end) if kind.holds(text[start:e])), None)
+        if end is not None:
+            yield start, end
+        at = start + 1 if end is None else end
+
+
+def _ends(kind: Kind, text: str, start: int, end: int) -> Iterator[int]:
+    """Nearer ends at which the pattern still matches: first those that cut no dotted or hyphenated word, the farthest first."""
+    if kind.name not in TAILS:
+        return
+    found = [e for e in range(end - 1, start, -1) if text[e - 1].isalnum() and not (text[e].isalnum() or text[e] in ("_" if kind.name == "iban" else "_-")) and kind.pattern.fullmatch(text, start, e)]
+    yield from sorted(found, key=lambda e: text[e] in ".-" and text[e + 1 : e + 2].isalnum())
+
+
 def _words(words: tuple[str, ...]) -> Callable | None:
     return re.compile(r"(?<![^\W_])(?:" + "|".join(map(re.escape, words)) + r")", re.I).search if words else None
 
@@ -117,15 +144,13 @@ def spans(text: str, min_score: float = MIN_SCORE) -> list[Span]:
     for kind, (near, against) in zip(KINDS, _CONTEXT):
         if kind.name == "email" and "@" not in text:
             continue
-        for m in kind.pattern.finditer(text):
-            if not kind.holds(m[0]):
-                continue
-            around = (text[max(0, m.start() - NEAR) : m.start()], text[m.end() : m.end() + NEAR])
+        for start, end in candidates(kind, text):
+            around = (text[max(0, start - NEAR) : start], text[end : end + NEAR])
             score = kind.base
             score += RAISE * (near is not None and any(map(near, around)))
             score -= LOWER * (against is not None and any(map(against, around)))
             if (score := round(min(1.0, score), 2)) >= min_score:
-                found.append(Span(kind.name, m.start(), m.end(), score))
+                found.append(Span(kind.name, start, end, score))
     found.sort(key=lambda s: (-s.score, s.start - s.end, s.start))
     kept: list[Span] = []
     taken = bytearray(len(text)) if len(found) > 1 else bytearray()

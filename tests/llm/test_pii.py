@@ -66,3 +66,20 @@ def test_edges(spark):
     out = pii.redact(df).collect()
     assert len(out) == 5 and [r.n_chars for r in out] == [5, 0, 9, 1_000_007, 1_000_007] and out[0].text is None and out[2].text == "x <EMAIL>"
     assert pii.redact(df).columns == df.columns
+
+
+TAILS = [
+    ("at +1 (826) 555-4081 190.137.223.204 now", [("phone", "+1 (826) 555-4081"), ("ip", "190.137.223.204")]),
+    ("DE89 3704 0044 0532 0130 00 for payment", [("iban", "DE89 3704 0044 0532 0130 00")]),
+    ("DE89370400440532013000 for payment", [("iban", "DE89370400440532013000")]),
+    ("AB12 DE89 3704 0044 0532 0130 00 for payment", [("iban", "DE89 3704 0044 0532 0130 00")]),
+    (f"{CARD} 123", [("card", CARD)]),
+    (f"1234 {CARD} 123", [("card", CARD)]),
+    ("4111 1111 1111 1112 123", []),
+    ("DE88 3704 0044 0532 0130 00 for payment", []),
+]
+
+
+@pytest.mark.parametrize("text,want", TAILS)
+def test_what_follows_or_precedes_hides_nothing(text, want):
+    assert [(s.kind, text[s.start : s.end]) for s in pii.spans(text)] == want
