@@ -29,6 +29,8 @@ MANDATORY = ("warc-type", "warc-record-id", "warc-date", "content-length")
 OUT = "file string, offset bigint, warc_type string, record_id string, warc_date string, target_uri string, content_type string, headers map<string,string>, content binary, error string"
 #: The dictionary is trained on pages that their hashes choose, this many at most.
 SAMPLE, DICTIONARY_BYTES = 2_000, 64 << 10
+#: Characters of each of these pages that train it, at most: it bounds what reaches the driver. Archives hold whole pages.
+PREFIX = 1 << 16
 
 
 class Broken(ValueError):
@@ -167,8 +169,8 @@ def write_archive(file, items: Iterator[bytes], dictionary: bytes | None = None,
     return n
 
 
-def train(pages: DataFrame, html_col: str = "html", sample: int = SAMPLE, size: int = DICTIONARY_BYTES) -> bytes | None:
-    """A dictionary from at most ``sample`` pages; None if they are too few for one.
+def train(pages: DataFrame, html_col: str = "html", sample: int = SAMPLE, size: int = DICTIONARY_BYTES, prefix: int = PREFIX) -> bytes | None:
+    """A dictionary from the first ``prefix`` characters of at most ``sample`` pages; None if they are too few for one.
 
     A count sets the share of hashes that gives about as many pages, so each partition sends only its part of the sample.
     """
@@ -176,7 +178,7 @@ def train(pages: DataFrame, html_col: str = "html", sample: int = SAMPLE, size:
 
     text = quoted(html_col).cast("string").alias("html")
     share = min(1.0, 1.2 * sample / max(1, pages.count()))
-    texts = pages.select(F.substring(text, 1, 1 << 16).alias("html")).where("html IS NOT NULL")
+    texts = pages.select(F.substring(text, 1, prefix).alias("html")).where("html IS NOT NULL")
     chosen = texts.where(F.pmod(F.xxhash64("html"), F.lit(1 << 40)) < F.lit(int(share * (1 << 40)))).orderBy(F.xxhash64("html"), "html").limit(sample)
     samples = [r.html.encode() for r in chosen.collect()]
     if len(samples) < 8:

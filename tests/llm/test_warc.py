@@ -96,3 +96,9 @@ def test_edges(spark, tmp_path):
     assert got[3].content.decode() == long and "x-page-id" not in got[1].headers
     open(tmp_path / "b" / "zero.warc.zst", "wb").close()
     assert warc.read(spark, f"file://{tmp_path}/b").count() == 4
+
+
+def test_prefix_of_the_sample_is_a_parameter(spark):
+    pages = spark.createDataFrame([(f"<p>{i}</p>" * 50 + f"<footer class='marker-of-the-end-{i % 3}'>" * 40,) for i in range(200)], "html string")
+    whole, start = (warc.train(pages, prefix=n) for n in (warc.PREFIX, 300))
+    assert b"marker-of-the-end" in whole and b"marker-of-the-end" not in (start or b"")
