@@ -112,13 +112,11 @@ def pack(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col
     totals = np.array(sorted((r.part, r.total) for r in edge.select("part", "total").collect()), np.int64).reshape(-1, 2)
     if not len(totals):
         return edge.sparkSession.createDataFrame([], f"seq_id bigint, {ROW}")
-    offsets = np.zeros(int(totals[-1, 0]) + 2, np.int64)
-    offsets[totals[:, 0] + 1] = totals[:, 1]
-    offset = edge.sparkSession.sparkContext.broadcast(np.cumsum(offsets))
+    offset = edge.sparkSession.sparkContext.broadcast((totals[:, 0], np.concatenate([[0], np.cumsum(totals[:, 1])])))
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The windows that start and end in this partition."""
-        base = int(offset.value[TaskContext.get().partitionId()])
+        base = _before(*offset.value, TaskContext.get().partitionId())
         skip, seq = -base % window, -(-base // window)
         ids, lengths, doc = np.zeros(0, "<u2"), np.zeros(0, np.int64), pa.array([], pa.int64())
         for batch in batches:
@@ -138,7 +136,7 @@ def pack(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col
         """Boundary records: what a partition has of a window that it shares with others."""
         for batch in batches:
             for row in batch.to_pylist():
-                base, total = int(offset.value[row["part"]]), row["total"]
+                base, total = _before(*offset.value, row["part"]), row["total"]
                 stop = base + total
                 lead = min(-base % window, total)
                 rest = stop % window if stop // window * window >= base + lead and stop // window >= -(-base // window) else 0
@@ -162,6 +160,11 @@ _ENDS = pa.schema([("part", pa.int32()), ("total", pa.int64()), *((f"{p}_{n}", t
 _FRAGMENT = pa.schema([("seq_id", pa.int64()), ("start", pa.int64()), *_LISTS])
 
 
+def _before(parts: np.ndarray, sums: np.ndarray, part: int) -> int:
+    """Tokens of all partitions before ``part``, whether or not that one, or any, has tokens."""
+    return int(sums[np.searchsorted(parts, part)])
+
+
 def _after(ids: np.ndarray, lengths: np.ndarray, doc: pa.Array, cut: int) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """What follows the first ``cut`` ids."""
     ends = np.cumsum(lengths)

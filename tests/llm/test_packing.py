@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from hypothesis import example, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from termlake.llm import packing, tokens
 
@@ -59,3 +60,17 @@ def test_empty_null_repeated_and_clashing(spark):
 def test_pieces_give_the_same_ids(text):
     e = tokens.encoder()
     assert e.encode(text) == e.whole(text)
+
+
+PATTERNS = [(4, tuple(p for p in range(4) if bits >> p & 1)) for bits in range(16)] + [(1, (0,)), (8, (0, 1)), (8, (7,)), (8, (3, 4)), (8, (0, 7)), (8, (0, 2, 5))]
+
+
+@pytest.mark.parametrize("parts,full", PATTERNS)
+def test_partitions_without_tokens(spark, parts, full):
+    """Leading, middle and trailing partitions without any text."""
+    text = F.expr("CASE doc_id % 3 WHEN 0 THEN '' WHEN 1 THEN 'one two three' ELSE repeat('word ', 30) END")
+    rows = spark.range(0, 3 * parts, 1, parts).where(F.floor(F.col("id") / 3).isin(*full) if full else F.lit(False))
+    docs = rows.select(F.col("id").alias("doc_id")).withColumn("text", text)
+    assert docs.rdd.getNumPartitions() == parts
+    order = [(r.doc_id, r.text) for r in docs.collect()]
+    assert spread(packing.pack(docs, 16).collect()) == brute(order, 16)
