@@ -1,25 +1,31 @@
-"""LM scoring: a causal self-attention model in numpy on subword ids.
+"""LM scoring: a causal self-attention model in numpy on subword ids, with a memory of the corpus.
 
-Documents are encoded once. Counts of all ids over the corpus choose the model's classes: the most frequent ids have one each,
-all others share one. In that class the ids, by falling counts, form groups of SIZE: the model gives the group in the class and
-the id in the group, both from what came before, and each id has its own embedding and its own output weights. So the
-probabilities of all ids of the vocabulary add up to one, and every token gets its own. What stands for an id is its symbol: its rank by
-counts, so a symbol from CLASSES - 1 on is one of the shared class. Weights without tables for these have shares of the counts instead.
+Documents are encoded once. Counts of all ids over the corpus order the vocabulary, of which every id is a symbol of its own
+(``lm_model``).
 
-Training covers the corpus: each epoch takes all windows of each document, so every token is a target once; those of a batch of
-rows come in an order that ids and the epoch determine. A partition trains a replica of the model on its own documents; the
-replicas are averaged, weighted by tokens, in groups by the executors and at last on the driver, which holds one model however many
-partitions there are. Of the shared class's tables a replica gives the groups that it met, and an id's rows are weighted by how often
-it met them.
+Training covers the corpus: an epoch takes all windows of each document, so every token is a target once; those of a batch of
+rows come in an order that ids and the epoch determine. A partition trains a replica of the model on its own documents; replicas are
+averaged, weighted by tokens, FANIN at a time in as many rounds as it takes, and the driver gets one model. Of embeddings and leaves a
+replica gives the blocks that it met, weighted by how often.
 
 Scoring cuts a document into windows of CONTEXT + STRIDE places that overlap by CONTEXT: each scores its last STRIDE tokens, so each token is
 scored once, and after at least CONTEXT others where the document has as many. Windows of all documents go through the model in
-batches, with a mask for what is later and what is before the document's beginning. What a class of one id at a place contributes as
-query, key and value is looked up in tables that the weights determine, not computed again.
+batches, with a mask for what is later and what is before the document's beginning.
+
+A model of fixed size can't know what a growing corpus repeats, so there is also a memory, which grows with the corpus. The text itself
+cuts a document into chunks of about CHUNK tokens: one ends where a hash of its last KEY ids says so. The memory counts how often each
+chunk comes after the KEY ids before it, a document's own use left out. At each cut the next chunk is either recalled, with probability RECALL if
+the place is known from elsewhere, or made token by token by the model: so the probability of a chunk is
+
+    RECALL * (uses elsewhere after these ids) / (places elsewhere after these ids) + (1 - RECALL) * (the model's)
+
+and the model's alone at a place that nothing else shares. What is shuffled is a row of a few numbers for each chunk; counts are summed
+before they are shuffled, so a chunk that a third of all documents have is one row from each partition.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,320 +34,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from termlake.llm import lm_model as M
 from termlake.llm import tokens
 from termlake.llm.common import settled
 from termlake.llm.packing import _joined, encoded
 
-CLASSES, WIDTH, HIDDEN = 128, 32, 48
-CONTEXT, STRIDE = 32, 64
-PLACES = CONTEXT + STRIDE
-EPOCHS, BATCH, RATE = 1, 16, 1e-2
-#: Ids in a group of the shared class, and the rate for their rows, which few batches have.
-SIZE, ROW_RATE = 64, 3e-2
-#: Averages of replicas that are averaged once more, at most.
-GROUPS = 32
-EPS = 1e-5
-_MASK = np.where(np.arange(PLACES)[None, :] <= np.arange(CONTEXT, PLACES)[:, None], 0, -1e9).astype(np.float32)
-SHAPES = {"emb": (CLASSES, WIDTH), "pos": (PLACES, WIDTH), "wq": (WIDTH, WIDTH), "wk": (WIDTH, WIDTH), "wv": (WIDTH, WIDTH), "wo": (WIDTH, WIDTH), "w1": (WIDTH, HIDDEN), "b1": (HIDDEN,), "w2": (HIDDEN, WIDTH), "out": (WIDTH, CLASSES), "bias": (CLASSES,)}
-Weights = dict[str, np.ndarray]
-#: Symbol of the first id of the shared class.
-REST = CLASSES - 1
-
-
-def tables(groups: int) -> dict[str, tuple[int, ...]]:
-    """Shapes of the shared class's weights; the last row of ``groups`` and the last column of ``leaves`` are biases."""
-    return {"groups": (WIDTH + 1, groups), "ids": (groups, SIZE, WIDTH), "leaves": (groups, SIZE, WIDTH + 1)}
-
-
-def initial(counts: np.ndarray, seed: int = 7, rest: np.ndarray | None = None) -> Weights:
-    """Weights to begin with: the probabilities are those of the counts of classes, and of the shared class's ids (``rest``, falling)."""
-    rng = np.random.default_rng(seed)
-    w = {k: (rng.standard_normal(s) / np.sqrt(WIDTH if k not in ("emb", "pos") else 4)).astype(np.float32) for k, s in SHAPES.items()}
-    w["out"] *= np.float32(0.05)
-    w["w2"] *= np.float32(0.2)
-    w["wo"] *= np.float32(0.2)
-    w["b1"][:] = 0
-    w["bias"] = np.log((counts + 1) / (counts + 1).sum()).astype(np.float32)
-    if rest is not None and len(rest):
-        w |= {k: np.zeros(s, np.float32) for k, s in tables(-(-len(rest) // SIZE)).items()}
-        padded = np.zeros(w["leaves"].shape[:2])
-        padded.reshape(-1)[: len(rest)] = rest + 1.0
-        w["leaves"][..., -1] = np.where(padded > 0, np.log(np.maximum(padded, 1)), -1e9)
-        w["groups"][-1] = np.log(padded.sum(1))
-    return w
-
-
-def packed(w: Weights) -> bytes:
-    return b"".join(w[k].astype("<f4").tobytes() for k in (*SHAPES, *tables(0)) if k in w)
-
-
-def unpacked(data: bytes) -> Weights:
-    out, flat, at = {}, np.frombuffer(data, "<f4"), 0
-    more = len(flat) - sum(int(np.prod(s)) for s in SHAPES.values())
-    for k, s in (SHAPES | (tables(more // sum(int(np.prod(s)) for s in tables(1).values())) if more else {})).items():
-        n = int(np.prod(s))
-        out[k], at = flat[at : at + n].reshape(s).copy(), at + n
-    return out
-
-
-def _norm(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    r = 1 / np.sqrt((x * x).mean(-1, keepdims=True) + EPS)
-    return x * r, r
-
-
-def _norm_back(dy: np.ndarray, y: np.ndarray, r: np.ndarray) -> np.ndarray:
-    return r * (dy - y * (dy * y).mean(-1, keepdims=True))
-
-
-class Inner:
-    """The shared class from inside: probabilities of its ids ``number`` after states ``z`` (with a column of ones)."""
-
-    def __init__(self, w: Weights, z: np.ndarray, number: np.ndarray):
-        group, place = np.divmod(number, SIZE)
-        self.order = np.argsort(group, kind="stable")
-        self.w, self.z, self.group, self.place = w, z[self.order], group[self.order], place[self.order]
-        firsts = np.flatnonzero(np.concatenate([[True], self.group[1:] != self.group[:-1]])) if len(z) else np.zeros(0, int)
-        self.runs = list(zip(self.group[firsts].tolist(), firsts.tolist(), [*firsts[1:].tolist(), len(z)]))
-        leaf = np.empty((len(z), SIZE), z.dtype)
-        for g, a, b in self.runs:
-            np.matmul(self.z[a:b], w["leaves"][g].T, out=leaf[a:b])
-        rows = np.arange(len(z))
-        self.levels, found = [], 0
-        for logits, at in ((self.z @ w["groups"], self.group), (leaf, self.place)):
-            logits -= logits.max(-1, keepdims=True)
-            here = logits[rows, at]
-            np.exp(logits, out=logits)
-            total = logits.sum(-1)
-            found = found + here - np.log(total)
-            self.levels.append((logits, total, at))
-        self.logs = np.empty_like(found)
-        self.logs[self.order] = found
-
-    def gradient(self, n: int) -> tuple[np.ndarray, Weights]:
-        """Of the mean over ``n`` targets: by the states, and by the tables, for ``leaves`` as groups and their rows."""
-        for e, total, at in self.levels:
-            e /= total[:, None]
-            e[np.arange(len(e)), at] -= 1
-            e /= n
-        groups, leaf = self.levels[0][0], self.levels[1][0]
-        dz = groups @ self.w["groups"][:-1].T
-        rows = np.empty((len(self.runs), SIZE, WIDTH + 1), self.z.dtype)
-        for i, (g, a, b) in enumerate(self.runs):
-            rows[i] = leaf[a:b].T @ self.z[a:b]
-            dz[a:b] += leaf[a:b] @ self.w["leaves"][g][:, :-1]
-        out = np.empty_like(dz)
-        out[self.order] = dz
-        return out, {"groups": self.z.T @ groups, "leaves": (np.array([g for g, _, _ in self.runs], int), rows)}
-
-
-def embedded(w: Weights, inputs: np.ndarray) -> np.ndarray:
-    x = w["emb"][np.minimum(inputs, REST)]
-    if "ids" in w:
-        far = inputs >= REST
-        x[far] += w["ids"].reshape(-1, WIDTH)[inputs[far] - REST]
-    return x
-
-
-def forward(w: Weights, inputs: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, tuple]:
-    """Logits (n, STRIDE, CLASSES) for windows of PLACES symbols, of which the first ``before`` don't exist."""
-    x = embedded(w, inputs) + w["pos"]
-    a, ra = _norm(x)
-    q, k, v = a[:, CONTEXT:] @ w["wq"], a @ w["wk"], a @ w["wv"]
-    s = q @ k.transpose(0, 2, 1) * np.float32(WIDTH**-0.5) + _MASK
-    s = np.where(np.arange(PLACES) < before[:, None, None], np.float32(-1e9), s)
-    p = np.exp(s - s.max(-1, keepdims=True))
-    p /= p.sum(-1, keepdims=True)
-    m = p @ v
-    h = x[:, CONTEXT:] + m @ w["wo"]
-    b, rb = _norm(h)
-    u = b @ w["w1"] + w["b1"]
-    g = np.maximum(u, 0)
-    y = h + g @ w["w2"]
-    z, rz = _norm(y)
-    return z @ w["out"] + w["bias"], (a, ra, q, k, v, p, m, b, rb, u, g, z, rz)
-
-
-def loss_and_gradient(w: Weights, inputs: np.ndarray, before: np.ndarray, targets: np.ndarray, valid: np.ndarray) -> tuple[float, Weights]:
-    """Mean negative log probability of the valid targets, and its gradient; of ``ids`` and ``leaves`` as rows and what they have."""
-    logits, (a, ra, q, k, v, p, m, b, rb, u, g, z, rz) = forward(w, inputs, before)
-    n = max(1, int(valid.sum()))
-    logits -= logits.max(-1, keepdims=True)
-    e = np.exp(logits)
-    total = e.sum(-1, keepdims=True)
-    symbols, targets = targets, np.minimum(targets, REST)
-    at = np.take_along_axis(logits, targets[..., None], -1)[..., 0] - np.log(total[..., 0])
-    loss = -float((at * valid).sum()) / n
-    d = e / total
-    np.put_along_axis(d, targets[..., None], np.take_along_axis(d, targets[..., None], -1) - 1, -1)
-    d *= (valid / n)[..., None].astype(d.dtype)
-    flat = lambda t: t.reshape(-1, t.shape[-1])
-    grad = {"out": flat(z).T @ flat(d), "bias": flat(d).sum(0)}
-    dz = d @ w["out"].T
-    if "ids" in w:
-        far = (symbols >= REST) & valid
-        states = z[far]
-        inner = Inner(w, np.concatenate([states, np.ones((len(states), 1), states.dtype)], 1), symbols[far] - REST)
-        loss -= float(inner.logs.sum()) / n
-        more, of_tables = inner.gradient(n)
-        dz[far] += more
-        grad |= of_tables
-    dy = _norm_back(dz, z, rz)
-    grad["w2"] = flat(g).T @ flat(dy)
-    du = dy @ w["w2"].T * (u > 0)
-    grad["w1"], grad["b1"] = flat(b).T @ flat(du), flat(du).sum(0)
-    dh = dy + _norm_back(du @ w["w1"].T, b, rb)
-    grad["wo"] = flat(m).T @ flat(dh)
-    dm = dh @ w["wo"].T
-    dv = p.transpose(0, 2, 1) @ dm
-    dp = dm @ v.transpose(0, 2, 1)
-    ds = p * (dp - (dp * p).sum(-1, keepdims=True)) * np.float32(WIDTH**-0.5)
-    dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-    grad["wq"], grad["wk"], grad["wv"] = flat(np.ascontiguousarray(a[:, CONTEXT:])).T @ flat(dq), flat(a).T @ flat(dk), flat(a).T @ flat(dv)
-    da = dk @ w["wk"].T + dv @ w["wv"].T
-    da[:, CONTEXT:] += dq @ w["wq"].T
-    dx = _norm_back(da, a, ra)
-    dx[:, CONTEXT:] += dh
-    grad["pos"] = dx.sum(0)
-    order = np.argsort(inputs, axis=None, kind="stable")
-    of = inputs.reshape(-1)[order]
-    firsts = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
-    grad["emb"] = np.zeros_like(w["emb"])
-    symbol, sums = of[firsts], np.add.reduceat(flat(dx)[order], firsts, axis=0)
-    own = symbol < REST
-    grad["emb"][symbol[own]] = sums[own]
-    grad["emb"][REST] = sums[~own].sum(0)
-    if "ids" in w:
-        grad["ids"] = (symbol[~own] - REST, sums[~own])
-    return loss, grad
-
-
-class Adam:
-    """For what all batches have; rows of the shared class's ids go by Adagrad, one size for each row."""
-
-    def __init__(self, w: Weights):
-        self.w, self.t = w, 0
-        self.rows = {k: np.zeros(w[k].shape[:2], np.float32) for k in ("ids", "leaves") if k in w}
-        self.m, self.v = ({k: np.zeros_like(x) for k, x in w.items() if k not in self.rows} for _ in range(2))
-
-    def step(self, grad: Weights, rate: float) -> None:
-        self.t += 1
-        grad = dict(grad)
-        for k in self.rows:
-            at, g = grad.pop(k)
-            w, v = (self.w[k], self.rows[k]) if k == "leaves" else (self.w[k].reshape(-1, WIDTH), self.rows[k].reshape(-1))
-            v[at] += (g * g).mean(-1)
-            w[at] -= (ROW_RATE * rate / RATE * g / (np.sqrt(v[at]) + 1e-8)[..., None]).astype(np.float32)
-        size = np.sqrt(sum(float((g * g).sum()) for g in grad.values()))
-        for k, g in grad.items():
-            g = g * min(1.0, 1 / max(size, 1e-9))
-            self.m[k] += 0.1 * (g - self.m[k])
-            self.v[k] += 0.01 * (g * g - self.v[k])
-            self.w[k] -= (rate * (self.m[k] / (1 - 0.9**self.t)) / (np.sqrt(self.v[k] / (1 - 0.99**self.t)) + 1e-8)).astype(np.float32)
-
-
-def windows(ends: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Document and number of each window of documents with these lengths."""
-    each = -(-lengths // STRIDE)
-    doc = np.repeat(np.arange(len(lengths)), each)
-    return doc, np.arange(len(doc)) - np.repeat(np.cumsum(each) - each, each)
-
-
-def cut(stream: np.ndarray, starts: np.ndarray, lengths: np.ndarray, doc: np.ndarray, number: np.ndarray, first: int) -> tuple[np.ndarray, ...]:
-    """Inputs, places before the document, places of the targets in the stream, and which of those there are.
-
-    The input at a place is the token before the target there; at a document's beginning, ``first``.
-    """
-    at = (number * STRIDE - CONTEXT)[:, None] + np.arange(PLACES)
-    length = lengths[doc][:, None]
-    inputs = stream[np.clip(starts[doc][:, None] + at - 1, 0, len(stream) - 1)]
-    inputs = np.where(at == 0, first, inputs)
-    before = np.maximum(0, -at[:, 0])
-    places = at[:, CONTEXT:]
-    return inputs, before, np.minimum(starts[doc][:, None] + places, len(stream) - 1), places < length
-
-
-class Scorer:
-    """The model for scoring: tables of what each class at each place contributes.
-
-    The output projection is in the table of values, which has a column of ones for the softmax's sum; so has what goes into
-    the last layer, for the bias. Early and late queries of a window are taken apart, since the early ones see fewer places.
-    """
-
-    def __init__(self, w: Weights):
-        x = w["emb"][:, None, :] + w["pos"]
-        a, _ = _norm(x)
-        self.x, self.q = (np.ascontiguousarray(t[:, CONTEXT:]).reshape(-1, WIDTH) for t in (x, a @ w["wq"] * np.float32(WIDTH**-0.5)))
-        self.k = (a @ w["wk"]).reshape(-1, WIDTH)
-        v = (a @ w["wv"] @ w["wo"]).reshape(-1, WIDTH)
-        self.v = np.concatenate([v, np.ones((len(v), 1), np.float32)], 1)
-        self.out = np.concatenate([w["out"], w["bias"][None]])
-        self.w = w
-        half = STRIDE // 2
-        self.parts = [(slice(0, half), CONTEXT + half), (slice(half, STRIDE), PLACES)]
-        self.masks = [np.exp(_MASK[rows, :seen]) for rows, seen in self.parts]
-        self.ones = np.ones(CLASSES, np.float32)
-        self.high = float((self.q**2).sum(1).max()), float((self.k**2).sum(1).max())
-        self.whole = "ids" in w
-        self.wq, self.wv = w["wq"] * np.float32(WIDTH**-0.5), w["wv"] @ w["wo"]
-
-    def __call__(self, inputs: np.ndarray, before: np.ndarray, targets: np.ndarray) -> np.ndarray:
-        """Log probabilities of the targets."""
-        n, w = len(inputs), self.w
-        known = np.minimum(inputs, REST)
-        every = known * PLACES + np.arange(PLACES)
-        late = known[:, CONTEXT:] * STRIDE + np.arange(STRIDE)
-        q, k, v = np.take(self.q, late, 0), np.take(self.k, every, 0), np.take(self.v, every, 0)
-        h = np.take(self.x, late, 0)
-        high_q, high_k = self.high
-        if self.whole:
-            row, place = np.nonzero(inputs >= REST)
-            x = w["emb"][REST] + w["ids"].reshape(-1, WIDTH)[inputs[row, place] - REST] + w["pos"][place]
-            a = _scaled(x)
-            own = a @ w["wk"]
-            k[row, place], v[row, place, :WIDTH] = own, a @ self.wv
-            high_k = max(high_k, float((own * own).sum(1).max(initial=0)))
-            there = place >= CONTEXT
-            row, place = row[there], place[there] - CONTEXT
-            own = a[there] @ self.wq
-            q[row, place], h[row, place] = own, x[there]
-            high_q = max(high_q, float((own * own).sum(1).max(initial=0)))
-        small = (high_q * high_k) ** 0.5 < 60
-        begun = np.flatnonzero(before)
-        there = (np.arange(PLACES) >= before[begun, None, None]).astype(np.float32)
-        for (rows, seen), mask in zip(self.parts, self.masks):
-            s = q[:, rows] @ k[:, :seen].transpose(0, 2, 1)
-            if not small:  # else exp can't overflow
-                s += _MASK[rows, :seen]
-                s[begun] -= np.float32(1e9) * (1 - there[:, :, :seen])
-                s -= s.max(-1, keepdims=True)
-            np.exp(s, out=s)
-            s *= mask
-            if len(begun):
-                s[begun] *= there[:, :, :seen]
-            m = s @ v[:, :seen]
-            h[:, rows] += m[..., :WIDTH] / m[..., WIDTH:]
-        h = h.reshape(-1, WIDTH)
-        g = _scaled(h) @ w["w1"]
-        g += w["b1"]
-        np.maximum(g, 0, out=g)
-        h += g @ w["w2"]
-        z = np.ones((len(h), WIDTH + 1), np.float32)
-        z[:, :WIDTH] = _scaled(h)
-        logits = z @ self.out
-        symbols = targets.reshape(-1)
-        at = logits[np.arange(len(logits)), np.minimum(symbols, REST)]
-        if self.whole:
-            far = np.flatnonzero(symbols >= REST)
-            at[far] += Inner(w, z[far], symbols[far] - REST).logs
-        if float(logits.max()) < 80:  # else exp overflows
-            return (at - np.log(np.exp(logits, out=logits) @ self.ones)).reshape(n, STRIDE)
-        high = logits.max(-1)
-        return (at - high - np.log(np.exp(logits - high[:, None]) @ self.ones)).reshape(n, STRIDE)
-
-
-def _scaled(x: np.ndarray) -> np.ndarray:
-    """``_norm`` of rows, without the factor."""
-    return x * (1 / np.sqrt(np.einsum("ij,ij->i", x, x) / np.float32(WIDTH) + np.float32(EPS)))[:, None]
+#: Windows in a training step and in a scoring step.
+BATCH, SCORE_BATCH = 128, 256
+EPOCHS = 1
+#: Replicas averaged at a time.
+FANIN = 32
+CHUNK, KEY, RECALL = 128, 8, 0.5
+_U = np.uint64
 
 
 def counts(stream: DataFrame, vocabulary: int) -> np.ndarray:
@@ -361,58 +65,48 @@ def counts(stream: DataFrame, vocabulary: int) -> np.ndarray:
     return out
 
 
-def classes(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Class of each id, and the log of its share in its class."""
-    top = np.lexsort((np.arange(len(found)), -found))[: CLASSES - 1]
-    of = np.full(len(found), CLASSES - 1, np.int64)
-    of[top] = np.arange(len(top))
-    share = np.log(found + 1.0)
-    rest = of == CLASSES - 1
-    share -= np.log((found[rest] + 1.0).sum()) if rest.any() else 0
-    share[top] = 0
-    return of, share
-
-
-def symbols(of: np.ndarray, share: np.ndarray) -> np.ndarray:
-    """Symbol of each id, by its class and its share in the class."""
-    out, rest = of.copy(), np.flatnonzero(of == REST)
-    out[rest[np.argsort(-share[rest], kind="stable")]] = REST + np.arange(len(rest))
+def symbols(found: np.ndarray) -> np.ndarray:
+    """Symbol of each id: its rank by counts, ties by id."""
+    out = np.empty(len(found), np.int64)
+    out[np.lexsort((np.arange(len(found)), -found))] = np.arange(len(found))
     return out
 
 
-def _hash(x: np.ndarray) -> np.ndarray:
-    x = x.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return x ^ (x >> np.uint64(32))
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
+    return x ^ (x >> _U(31))
 
 
-def train(stream: DataFrame, of: np.ndarray, found: np.ndarray, first: int = tokens.END, epochs: int = EPOCHS) -> Weights:
+def train(stream: DataFrame, found: np.ndarray, first: int = tokens.END, epochs: int = EPOCHS) -> M.Weights:
     """Weights after ``epochs`` passes over all documents; the same for the same partitions."""
     spark = stream.sparkSession.sparkContext
-    symbol = symbols(of, found)
-    weights = initial(np.bincount(of, found, CLASSES), rest=-np.sort(-found[of == REST]))
-    groups = len(weights["ids"]) if "ids" in weights else 0
+    symbol, size = symbols(found), len(found)
+    weights = M.initial(-np.sort(-found))
+    blocks = len(weights["emb"])
+    partitions = stream.rdd.getNumPartitions()
     for epoch in range(epochs):
-        shared = spark.broadcast((packed(weights), symbol))
+        shared = spark.broadcast((M.packed(weights), symbol))  # a few MB, whatever the corpus
 
         def task(batches: Iterator[pa.RecordBatch], shared=shared, epoch=epoch) -> Iterator[pa.RecordBatch]:
             data, symbol = shared.value
-            model = Adam(unpacked(data))
-            seen, held = 0, []
-            met = np.zeros((groups, SIZE + 1), np.float32)  # of the ids as inputs, of the group as a target
+            model = M.Adam(M.unpacked(data, size))
+            met = np.zeros((2, blocks), np.int64)  # of a block's symbols as inputs, as targets
+            seen, held, n_held = 0, [], 0
 
             def learn() -> None:
-                inputs, before, targets, valid = (np.concatenate([h[i][:BATCH] for h in [tuple(np.concatenate(c) for c in zip(*held))]]) for i in range(4))
-                rest = [tuple(np.concatenate(c)[BATCH:] for c in zip(*held))]
+                nonlocal n_held, seen
+                inputs, before, targets, valid = (np.concatenate(c) for c in zip(*held))
                 held.clear()
-                held.extend(r for r in rest if len(r[0]))
-                if groups:
-                    far = inputs[inputs >= REST] - REST
-                    np.add.at(met, (far // SIZE, far % SIZE), 1)
-                    far = targets[(targets >= REST) & valid] - REST
-                    np.add.at(met, (far // SIZE, SIZE), 1)
-                _, grad = loss_and_gradient(model.w, inputs, before, targets, valid)
-                model.step(grad, RATE / (1 + 0.5 * epoch))
+                if len(inputs) > BATCH:
+                    held.append((inputs[BATCH:], before[BATCH:], targets[BATCH:], valid[BATCH:]))
+                inputs, before, targets, valid = inputs[:BATCH], before[:BATCH], targets[:BATCH], valid[:BATCH]
+                n_held -= len(inputs)
+                seen += int(valid.sum())
+                for k, of in ((0, inputs), (1, targets[valid])):
+                    met[k] += np.bincount(M.block(of).reshape(-1) // M.SIZE, minlength=blocks)
+                _, grad = M.loss_and_gradient(model.w, inputs, before, targets, valid)
+                model.step(grad, M.RATE / (1 + 0.5 * epoch))
 
             for batch in batches:
                 ids, lengths, doc_ids = _joined(batch)
@@ -420,90 +114,140 @@ def train(stream: DataFrame, of: np.ndarray, found: np.ndarray, first: int = tok
                     continue
                 mapped = symbol[ids]
                 starts = np.cumsum(lengths) - lengths
-                key = np.array([0 if d is None else d for d in doc_ids.to_pylist()], np.int64)
-                doc, number = windows(starts + lengths, lengths)
-                order = np.argsort(_hash(_hash(key[doc] * 4 + epoch) + number.astype(np.uint64)), kind="stable")
+                key = np.array([0 if d is None else d for d in doc_ids.to_pylist()], np.int64).astype(_U)
+                doc, number = M.windows(lengths)
+                order = np.argsort(_mix(_mix(key[doc] * _U(4) + _U(epoch + 1)) + number.astype(_U)), kind="stable")
                 for i in range(0, len(order), BATCH):
                     some = order[i : i + BATCH]
-                    inputs, before, places, valid = cut(mapped, starts, lengths, doc[some], number[some], symbol[first])
+                    inputs, before, places, valid = M.cut(mapped, starts, lengths, doc[some], number[some], symbol[first])
                     held.append((inputs, before, mapped[places], valid))
-                    seen += int(held[-1][3].sum())
-                    if sum(len(h[0]) for h in held) >= BATCH:
+                    n_held += len(some)
+                    if n_held >= BATCH:
                         learn()
-            if held:
+            if n_held:
                 learn()
             if seen:
                 part = TaskContext.get().partitionId()
-                core = packed({k: x for k, x in model.w.items() if k not in model.rows})
-                rows = [(part, -1, np.float32([seen]).tobytes(), core)]
-                for g in np.flatnonzero(met.any(1)).tolist():
-                    rows.append((part, g, met[g].tobytes(), b"".join(model.w[k][g].tobytes() for k in ("ids", "leaves"))))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.binary(), pa.binary()))], ["part", "piece", "seen", "weights"])
-
-        def mean(key: tuple, table: pa.Table) -> pa.Table:
-            rows = sorted(table.to_pylist(), key=lambda r: r["part"])
-            seen, total = 0, 0
-            for r in rows:
-                own = np.frombuffer(r["seen"], "<f4").astype(float)
-                seen, total = seen + own, total + each(own) * np.frombuffer(r["weights"], "<f4")
-            share = each(seen)
-            out = np.where(share > 0, total / np.maximum(share, 1e-9), np.frombuffer(rows[0]["weights"], "<f4"))  # rows nobody met are as they were
-            return pa.table({"part": pa.array([rows[0]["part"]], pa.int32()), "piece": pa.array([rows[0]["piece"]], pa.int32()), "seen": pa.array([seen.astype("<f4").tobytes()], pa.binary()), "weights": pa.array([out.astype("<f4").tobytes()], pa.binary())})
-
-        def each(seen: np.ndarray) -> np.ndarray:
-            """For each weight of a piece how much was seen of it."""
-            return seen if len(seen) == 1 else np.concatenate([np.repeat(seen[:SIZE], WIDTH), np.full(SIZE * (WIDTH + 1), seen[SIZE])])
-
-        kind = "part int, piece int, seen binary, weights binary"
-        replicas = stream.mapInArrow(task, kind)
-        some = replicas.groupBy("piece", (F.col("part") % GROUPS).alias("g")).applyInArrow(lambda key, table: mean(key, table), kind)
-        for r in some.groupBy("piece").applyInArrow(lambda key, table: mean(key, table), kind).collect():
+                rows = [(part, -1, float(seen), 0.0, b"".join(model.w[k].tobytes() for k in M.CORE))]
+                for b in np.flatnonzero(met.any(0)).tolist():
+                    rows.append((part, b, float(met[0, b]), float(met[1, b]), b"".join(model.w[k][i].tobytes() for k, i in _at(b))))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _PIECES.types)], schema=_PIECES)
+
+        some = stream.mapInArrow(task, _pieces)
+        for _ in range(max(1, math.ceil(math.log(max(2, partitions), FANIN)))):
+            some = some.withColumn("part", F.floor(F.col("part") / FANIN).cast("int")).groupBy("piece", "part").applyInArrow(lambda table: _mean(table), _pieces)
+        for r in some.collect():  # a row for each block of the vocabulary
             flat, at = np.frombuffer(r.weights, "<f4"), 0
-            for k in ("ids", "leaves") if r.piece >= 0 else [k for k in (*SHAPES, "groups") if k in weights]:
-                to = weights[k][r.piece] if r.piece >= 0 else weights[k]
+            for k, i in _at(r.piece) if r.piece >= 0 else [(k, ...) for k in M.CORE]:
+                to = weights[k][i]
                 to[...] = flat[at : at + to.size].reshape(to.shape)
                 at += to.size
     return weights
 
 
-def scored(ids: np.ndarray, lengths: np.ndarray, model: Scorer, of: np.ndarray, share: np.ndarray, first: int = tokens.END, batch: int = 32) -> np.ndarray:
-    """Sum of the log probabilities of each document's tokens."""
-    total = np.zeros(len(lengths))
-    if not len(ids):
-        return total
-    symbol = symbols(of, share)
-    mapped = symbol[ids]
+_pieces = "part int, piece int, inputs double, targets double, weights binary"
+_PIECES = pa.schema([("part", pa.int32()), ("piece", pa.int32()), ("inputs", pa.float64()), ("targets", pa.float64()), ("weights", pa.binary())])
+
+
+def _at(block: int) -> list[tuple[str, int]]:
+    """What a block's piece has: its embeddings, and its leaves unless they are the head's."""
+    return [("emb", block)] + ([("leaves", block - 1)] if block else [])
+
+
+def _mean(table: pa.Table) -> pa.Table:
+    """The average of at most FANIN replicas of a piece: of its first part by inputs (or tokens), of its second by targets."""
+    rows = sorted(table.to_pylist(), key=lambda r: (r["inputs"], r["targets"], r["weights"]))
+    edge = len(np.frombuffer(rows[0]["weights"], "<f4")) if rows[0]["piece"] < 0 else M.SIZE * M.WIDTH
+    out = []
+    for weight, part in (("inputs", slice(0, edge)), ("targets", slice(edge, None))):
+        n = sum(r[weight] for r in rows)
+        each = [r[weight] / n if n else 1 / len(rows) for r in rows]
+        out.append(sum(e * np.frombuffer(r["weights"], "<f4")[part].astype(float) for e, r in zip(each, rows)))
+    return pa.Table.from_pylist([{"part": rows[0]["part"], "piece": rows[0]["piece"], "inputs": sum(r["inputs"] for r in rows), "targets": sum(r["targets"] for r in rows), "weights": np.concatenate(out).astype("<f4").tobytes()}], schema=_PIECES)
+
+
+def token_scores(mapped: np.ndarray, lengths: np.ndarray, model: M.Scorer, first: int) -> np.ndarray:
+    """Log probability of each token of documents in a row; ``first`` is the symbol before a document."""
+    out = np.zeros(len(mapped), np.float32)
     starts = np.cumsum(lengths) - lengths
-    doc, number = windows(starts + lengths, lengths)
-    for i in range(0, len(doc), batch):
-        d = doc[i : i + batch]
-        inputs, before, places, valid = cut(mapped, starts, lengths, d, number[i : i + batch], symbol[first])
-        found = model(inputs, before, mapped[places]) * valid
-        total += np.bincount(d, found.sum(1, dtype=np.float64), len(lengths))
-    if not model.whole:
-        total += np.bincount(np.repeat(np.arange(len(lengths)), lengths), share[ids], len(lengths))
-    return total
+    doc, number = M.windows(lengths)
+    for i in range(0, len(doc), SCORE_BATCH):
+        inputs, before, places, valid = M.cut(mapped, starts, lengths, doc[i : i + SCORE_BATCH], number[i : i + SCORE_BATCH], first)
+        out[places[valid]] = model(inputs, before, mapped[places])[valid]
+    return out
+
+
+_ODD = 0x9E3779B97F4A7C15
+_powers: list[np.ndarray] = [np.ones(1, _U), np.ones(1, _U)]
+
+
+def chunks(ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of documents in a row: document, end, place hash and content hash of each chunk.
+
+    The place hash is that of the KEY ids before the chunk, or of all there are, and how many those are; chunks don't cross documents.
+    """
+    n = len(ids)
+    if len(_powers[0]) <= n:
+        for k, base in enumerate((_ODD, pow(_ODD, -1, 1 << 64))):
+            steps = np.full(2 * n + 1, base, _U)
+            steps[0] = 1
+            _powers[k] = np.multiply.accumulate(steps)
+    total = np.concatenate([np.zeros(1, _U), np.cumsum(_mix(ids.astype(_U) + _U(1)) * _powers[0][:n], dtype=_U)])
+    of = lambda start, stop: _mix((total[stop] - total[start]) * _powers[1][start] + (stop - start).astype(_U))
+    ends = np.cumsum(lengths)
+    doc = np.repeat(np.arange(len(lengths)), lengths)
+    stop = np.arange(1, n + 1)
+    begin = (ends - lengths)[doc]
+    cut = of(np.maximum(begin, stop - KEY), stop) % _U(CHUNK) == 0
+    cut[ends[lengths > 0] - 1] = True
+    last = np.flatnonzero(cut) + 1
+    doc = doc[last - 1]
+    start = np.concatenate([[0], last[:-1]]) if len(last) else last
+    return doc, last, of(np.maximum((ends - lengths)[doc], start - KEY), start), of(start, last)
+
+
+def recalled(made: DataFrame, recall: float = RECALL) -> DataFrame:
+    """``made`` (place, chunk, log_prob of the model, and any more) with ``log_prob`` as the memory of all of it makes it."""
+    uses = made.groupBy("place", "chunk").agg(F.count(F.lit(1)).alias("uses"))
+    places = uses.groupBy("place").agg(F.sum("uses").alias("places")).where("places > 1")
+    known = uses.join(places, "place").where("places > 1").select(F.col("place").alias("p"), F.col("chunk").alias("c"), "uses", "places")
+    joined = made.join(known, (F.col("place") == F.col("p")) & (F.col("chunk") == F.col("c")), "left")
+    share = (F.col("uses") - 1) / (F.col("places") - 1) * recall
+    own = F.col("log_prob") + math.log(1 - recall)
+    high = F.greatest(own, F.log(share))  # null shares, of chunks used once, don't count
+    mixed = F.when(F.col("places").isNull(), F.col("log_prob")).when(F.col("uses") < 2, own).otherwise(high + F.log(F.exp(own - high) + F.exp(F.log(share) - high)))
+    return joined.select(*[c for c in made.columns if c != "log_prob"], mixed.alias("log_prob"))
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str = tokens.VOCABULARY, end: int = tokens.END) -> DataFrame:
-    """``doc_id, n_tokens, log_prob, perplexity`` for each document with a text.
+    """``doc_id, n_tokens, model_log_prob, log_prob, perplexity`` for each document with a text.
 
-    ``n_tokens`` counts the end token, which is scored too; so an empty text has one. ``log_prob`` is the sum of natural
-    logarithms over all tokens, ``perplexity`` the exponential of its negative mean. Null texts have no row. Repeated rows have a
-    row, and are trained on, each; null ids stay null. Other columns are ignored. An empty table gives an empty result.
+    ``n_tokens`` counts the end token, which is scored too; so an empty text has one. ``model_log_prob`` is the sum of natural
+    logarithms over all tokens as the attention model alone has them, ``log_prob`` the same with the memory of the corpus, and
+    ``perplexity`` the exponential of the negative mean of that. Null texts have no row. Repeated rows have a
+    row, are trained on, and remember each other; null ids stay null. A long text is scored to its end, in windows like any other.
+    Other columns are ignored, whatever their names. An empty table gives an empty result.
     """
     stream = settled(encoded(docs, id_col, text_col, path, end))
     found = counts(stream, end + 1)
-    of, share = classes(found)
-    weights = train(stream, of, found, end)
-    shared = docs.sparkSession.sparkContext.broadcast((packed(weights), of, share))  # about 14 MB, whatever the corpus
+    size = len(found)
+    shared = docs.sparkSession.sparkContext.broadcast((M.packed(train(stream, found, end)), symbols(found)))  # a few MB, whatever the corpus
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        data, of, share = shared.value
-        model = Scorer(unpacked(data))
+        data, symbol = shared.value
+        model, row = M.Scorer(M.unpacked(data, size)), TaskContext.get().partitionId() << 33
         for batch in batches:
-            ids, lengths, doc = _joined(batch)
-            total = scored(ids, lengths, model, of, share, end)
-            yield pa.RecordBatch.from_arrays([doc, pa.array(lengths), pa.array(np.round(total, 4)), pa.array(np.exp(-total / np.maximum(1, lengths)))], ["doc_id", "n_tokens", "log_prob", "perplexity"])
-
-    return stream.mapInArrow(task, "doc_id bigint, n_tokens bigint, log_prob double, perplexity double")
+            ids, lengths, doc_ids = _joined(batch)
+            if not len(ids):
+                continue
+            each = np.concatenate([[0.0], np.cumsum(token_scores(symbol[ids], lengths, model, symbol[end]), dtype=np.float64)])
+            doc, last, place, chunk = chunks(ids, lengths)
+            first = np.concatenate([[0], last[:-1]])
+            columns = [pa.array(row + doc), doc_ids.take(pa.array(doc)), pa.array((last - first).astype(np.int32)), pa.array(place.view(np.int64)), pa.array(chunk.view(np.int64)), pa.array(each[last] - each[first])]
+            yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "n", "place", "chunk", "log_prob"])
+            row += len(lengths)
+
+    made = settled(stream.mapInArrow(task, "row bigint, doc_id bigint, n int, place bigint, chunk bigint, log_prob double"))
+    each = recalled(made.withColumn("own", F.col("log_prob"))).groupBy("row")
+    summed = each.agg(F.first("doc_id").alias("doc_id"), F.sum("n").alias("n_tokens"), F.sum("own").alias("own"), F.sum("log_prob").alias("all"))
+    return summed.select("doc_id", "n_tokens", F.round("own", 4).alias("model_log_prob"), F.round("all", 4).alias("log_prob"), F.round(F.exp(-F.col("all") / F.col("n_tokens")), 6).alias("perplexity"))
