@@ -45,6 +45,8 @@ EPOCHS = 1
 #: Replicas averaged at a time.
 FANIN = 32
 CHUNK, KEY, RECALL = 128, 8, 0.5
+#: Tokens worked on at once in a worker.
+PART = 1 << 19
 _U = np.uint64
 
 
@@ -65,6 +67,17 @@ def counts(stream: DataFrame, vocabulary: int) -> np.ndarray:
     return out
 
 
+def _parts(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, pa.Array]]:
+    """As ``_joined``, about PART tokens at a time and never less than a document."""
+    ids, lengths, docs = _joined(batch)
+    ends = np.cumsum(lengths)
+    at = first = 0
+    while first < len(lengths):
+        stop = max(first + 1, int(np.searchsorted(ends, at + PART, "right")))
+        yield ids[at : ends[stop - 1]], lengths[first:stop], docs.slice(first, stop - first)
+        first, at = stop, int(ends[stop - 1])
+
+
 def symbols(found: np.ndarray) -> np.ndarray:
     """Symbol of each id: its rank by counts, ties by id."""
     out = np.empty(len(found), np.int64)
@@ -108,10 +121,7 @@ def train(stream: DataFrame, found: np.ndarray, first: int = tokens.END, epochs:
                 _, grad = M.loss_and_gradient(model.w, inputs, before, targets, valid)
                 model.step(grad, M.RATE / (1 + 0.5 * epoch))
 
-            for batch in batches:
-                ids, lengths, doc_ids = _joined(batch)
-                if not len(ids):
-                    continue
+            for ids, lengths, doc_ids in (p for batch in batches for p in _parts(batch)):
                 mapped = symbol[ids]
                 starts = np.cumsum(lengths) - lengths
                 key = np.array([0 if d is None else d for d in doc_ids.to_pylist()], np.int64).astype(_U)
@@ -236,10 +246,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data, symbol = shared.value
         model, row = M.Scorer(M.unpacked(data, size)), TaskContext.get().partitionId() << 33
-        for batch in batches:
-            ids, lengths, doc_ids = _joined(batch)
-            if not len(ids):
-                continue
+        for ids, lengths, doc_ids in (p for batch in batches for p in _parts(batch)):
             each = np.concatenate([[0.0], np.cumsum(token_scores(symbol[ids], lengths, model, symbol[end]), dtype=np.float64)])
             doc, last, place, chunk = chunks(ids, lengths)
             first = np.concatenate([[0], last[:-1]])
