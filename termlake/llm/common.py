@@ -28,7 +28,8 @@ def scratch_dir(spark: SparkSession) -> str:
 
 def settled(df: DataFrame) -> DataFrame:
     """``df`` computed once and kept on shared storage, with its partitions and their order, so that it
-    survives the loss of executors; the files go when the result is no longer referenced."""
+    survives the loss of executors. The files stay, unless ``spark.cleaner.referenceTracking.cleanCheckpoints`` is on: then
+    they go when the result is no longer referenced."""
     scratch_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
@@ -45,6 +46,22 @@ def fresh(df: DataFrame, *wanted: str) -> list[str]:
     return out
 
 
+#: Plans that yield their rows in the same places each time: tables and checkpoints, read, cut to columns and filtered.
+_STEADY = {"LogicalRelation", "Relation", "DataSourceV2ScanRelation", "LogicalRDD", "LocalRelation", "Project", "Filter", "Range", "SerializeFromObject", "ExternalRDD"}
+
+
+def steady(df: DataFrame) -> DataFrame:
+    """``df`` itself if it is read as it lies; any other plan, whose rows may come in another order the next time, is stored."""
+    held = [df._jdf.queryExecution().optimizedPlan()]
+    while held:
+        node = held.pop()
+        if node.nodeName().split(" ")[0] not in _STEADY:
+            return settled(df)
+        below = node.children()
+        held += [below.apply(i) for i in range(below.size())]
+    return df
+
+
 def numbered(df: DataFrame, name: str) -> DataFrame:
     """``df`` with a number for each row. It depends on the place of the row in its partition, so ``df``
     should be a stored table or another plan that yields its rows in the same order each time."""

@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from termlake.llm import exact_dedup
 
@@ -39,6 +40,32 @@ def test_names_are_free_of_collisions_by_construction(spark, monkeypatch):
     assert found(spark.createDataFrame(rows, SCHEMA), block_chars=4) == brute(rows)
 
 
+def test_digests_that_collide(spark, monkeypatch):
+    """With a digest of four values nearly all blocks share theirs with others."""
+    monkeypatch.setattr(exact_dedup, "_digest", lambda block: [F.pmod(F.xxhash64(block), F.lit(2)), F.pmod(F.length(block), F.lit(2)).cast("bigint")])
+    rows = [(i, f"text {i % 37} " * (1 + i % 5)) for i in range(200)]
+    assert found(spark.createDataFrame(rows, SCHEMA), block_chars=4) == brute(rows)
+
+
+def test_one_text_that_nearly_all_rows_have(spark):
+    """Occurrences of the hot text are one row a partition when names are given: the largest sort group stays small."""
+    rows = spark.range(0, 20_000, 1, 8).selectExpr("id AS doc_id", "CASE WHEN id % 10 = 0 THEN concat('text ', id) ELSE repeat('the same for all ', 200) END AS text")
+    named = exact_dedup.identities(rows).groupBy("round", "name").count()
+    assert sorted(r["count"] for r in named.collect())[-2:] == [1, 18_000]
+    blocks = rows.select(F.col("doc_id").alias("row"), F.col("doc_id").alias("doc"), F.lit(1).alias("n"), F.lit(0).alias("pos"), F.col("text").alias("block"))
+    plan = exact_dedup._first_names(blocks)._jdf.queryExecution().executedPlan().toString()
+    below = plan[plan.index("Window ") :]
+    assert "HashAggregate" in below[: below.index("Exchange", below.index("Exchange") + 1)]  # rows are counted before what the window sees
+    got = exact_dedup.dedup(rows)
+    assert got.count() == 2_001 and got.where("text LIKE 'the same%'").first().doc_id == 1
+
+
+def test_rows_of_a_plan_that_may_change_their_order(spark):
+    rows = spark.range(0, 4000, 1, 4).selectExpr("id % 1000 AS doc_id", "concat('t', id % 700) AS text").groupBy("doc_id", "text").agg(F.count(F.lit(1)).alias("n"))
+    want = {r.text: r.doc_id for r in rows.groupBy("text").agg(F.min("doc_id").alias("doc_id")).collect()}
+    assert {r.text: r.doc_id for r in exact_dedup.dedup(rows).collect()} == want
+
+
 def test_empty_null_repeated_long_and_clashing(spark):
     rows = [(1, ""), (2, ""), (3, None), (4, None), (None, "a"), (5, "a"), (5, "a"), (None, "a"), (7, "L" * 300_000), (6, "L" * 300_000), (8, "L" * 299_999 + "M")]
     df = spark.createDataFrame(rows, SCHEMA)
