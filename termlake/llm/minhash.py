@@ -7,12 +7,17 @@ at coordinate j, so 2 T rounds always do, and the share of equal coordinates is
 similarity as for T independent hash functions, in time O(n + T log T) rather than O(n T).
 
 Banding: documents that agree in all coordinates of one of the bands meet in a bucket. Each candidate is compared,
-on the whole sets, with the earlier document that it shares most buckets with; then with every document in any of its
-buckets that isn't in its group by then. So all candidate pairs are settled: those inside a group are linked
-already, all others are compared, and a group of m copies costs m comparisons, not m squared. Groups are the
-components of the pairs found similar.
-"""
+on the whole sets, with the first document of the bucket that it shares most buckets with. Documents found similar form
+groups, and every pair of a bucket that isn't in one group by then is still to be settled:
+
+* where these pairs are at most HOT times the bucket's documents, they are compared, each of them;
+* elsewhere all pairs that can be similar are found by their rarest elements (prefix filter): of sets of n elements, in one order from
+  rare to frequent, two that are similar by the threshold t share one of the first n - ceil(t n) + 1 of each. Only elements that different
+  groups have are joined. A passage that a third of all documents share is frequent, so it joins nothing.
 
+Either way no similar pair of a bucket is left out, a group of m copies costs m comparisons, and no bucket is gathered in one place.
+Groups are the components of the pairs found similar.
+"""
 from __future__ import annotations
 
 from collections.abc import Iterator
@@ -23,7 +28,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from termlake.llm.common import fresh, numbered, quoted, settled
+from termlake.llm.common import fresh, numbered, quoted, settled, steady
+from termlake.storage import if_small
 
 WORDS = 2
 COORDINATES = 128
@@ -33,6 +39,8 @@ THRESHOLD = 0.6
 CHUNK = 1 << 21
 #: Candidates are broadcast to filter the documents up to this number of rows, and joined by shuffle beyond it.
 BROADCAST_ROWS = 2_000_000
+#: Pairs to be compared for each document of a bucket up to which a bucket's pairs are all compared; beyond, by rare elements.
+HOT = 32
 
 _U = np.uint64
 _MAX = _U(0xFFFFFFFFFFFFFFFF)
@@ -59,13 +67,51 @@ def _power(n: int) -> list[np.ndarray]:
     return _powers
 
 
+def _bounds(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and stop of each word of texts in UTF-8, with a byte that is no word after each.
+
+    A word is a run of letters, digits and marks; punctuation and spaces of Unicode's common blocks end it, like those of ASCII. In scripts
+    that don't part words by spaces (Han, kana, Thai and its neighbours) each character is one.
+    """
+    word = _IS_WORD[data]
+    alone = None
+    if len(data) > 2 and (data >= 0xC2).any():
+        at = np.flatnonzero(data == 0xC2)  # U+0080 to U+00BF, of which three are letters
+        at = at[~np.isin(data[at + 1], (0xAA, 0xB5, 0xBA))]
+        for off in (at, at + 1):
+            word[off] = False
+        three = np.flatnonzero(data >= 0xE0)
+        three = three[data[three] < 0xF0]
+        lead, second = data[three], data[three + 1]
+        last = data[three + 2]
+        full = (lead == 0xEF) & ((second == 0xBC) & ((last < 0x90) | (last > 0x99)) & ((last < 0xA1) | (last > 0xBA)) | (second == 0xBD) & ((last < 0x81) | (last > 0x9A)) & (last < 0xA6))
+        mark = (lead == 0xE2) & (second <= 0xAF) & ~np.isin(second, (0x84, 0x85, 0x86, 0xB0, 0xB1)) | (lead == 0xE3) & (second == 0x80) | full
+        for k in range(3):
+            word[three[mark] + k] = False
+        own = ~mark & ((lead == 0xE3) & (second >= 0x81) | (lead >= 0xE4) & (lead <= 0xE9) | (lead == 0xE0) & (second >= 0xB8) & (second <= 0xBB) | (lead == 0xE1) & (second >= 0x80) & (second <= 0x82) | (lead == 0xE1) & (second >= 0x9E) & (second <= 0x9F))
+        alone = three[own]
+    if alone is None or not len(alone):
+        edge = np.flatnonzero(word[1:] != word[:-1]) + 1
+        if word[0]:
+            edge = np.concatenate([[0], edge])
+        return edge[::2], edge[1::2]
+    begin = word & ~np.concatenate([[False], word[:-1]])
+    begin[alone] = True
+    after = alone + 3
+    begin[after] |= word[after]
+    end = ~word & np.concatenate([[False], word[:-1]])
+    edge = np.flatnonzero(begin | end)
+    is_start = begin[edge]
+    start = np.flatnonzero(is_start)
+    return edge[start], edge[start + 1]
+
+
 def _pieces(data: np.ndarray, words: int) -> Iterator[np.ndarray]:
     """A long text in pieces that overlap by words - 1 words, so that no run of words is lost."""
     if len(data) <= CHUNK:
         yield data
         return
-    word = _IS_WORD[data]
-    starts = np.flatnonzero(word & ~np.concatenate([[False], word[:-1]]))
+    starts, _ = _bounds(np.concatenate([data, np.zeros(3, np.uint8)]))
     at = 0
     while at < len(starts):
         stop = max(int(np.searchsorted(starts, starts[at] + CHUNK)), at + words)
@@ -78,7 +124,7 @@ def _pieces(data: np.ndarray, words: int) -> Iterator[np.ndarray]:
 def shingles(texts: list[np.ndarray], words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
     """For lower-case texts as bytes: number of the text and hash of each run of ``words`` words, in order.
 
-    Words are runs of ASCII letters, digits and any other characters than ASCII. A text of fewer words is one run.
+    Words are those of ``_bounds``. A text of fewer words is one run.
     """
     owner, parts = [], []
     for i, text in enumerate(texts):
@@ -89,11 +135,7 @@ def shingles(texts: list[np.ndarray], words: int = WORDS) -> tuple[np.ndarray, n
         return np.zeros(0, np.int64), np.zeros(0, _U)
     sizes = np.array([len(p) + 1 for p in parts])
     data = np.concatenate([x for p in parts for x in (p, np.zeros(1, np.uint8))])
-    word = _IS_WORD[data]
-    edge = np.flatnonzero(word[1:] != word[:-1]) + 1
-    if word[0]:
-        edge = np.concatenate([[0], edge])
-    start, stop = edge[::2], edge[1::2]  # every part ends in a byte that is no word
+    start, stop = _bounds(np.concatenate([data, np.zeros(2, np.uint8)]))  # every part ends in a byte that is no word
     power, inverse = _power(len(data))
     total = np.concatenate([np.zeros(1, _U), np.cumsum(data * power[: len(data)], dtype=_U)])
     each = _mix((total[stop] - total[start]) * inverse[start] + (stop - start).astype(_U))
@@ -142,11 +184,11 @@ def _lower(texts: pa.Array) -> Iterator[tuple[int, list[np.ndarray]]]:
 
 
 def _signatures(docs: DataFrame, words: int, coordinates: int, bands: int) -> DataFrame:
-    """row, doc, digest (of the text as it is), and a hash for each band; documents without words are left out."""
+    """row, doc, digest (of the text as it is, 256 bits of a cryptographic hash), and a hash for each band; documents without words are left out."""
     per = coordinates // bands
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
+        from hashlib import blake2b
 
         salt = _mix(np.arange(1, bands + 1).astype(_U) * _U(0xD6E8FEB86659FD93))
         for batch in batches:
@@ -158,13 +200,13 @@ def _signatures(docs: DataFrame, words: int, coordinates: int, bands: int) -> Da
                 for k in range(per):
                     key = _mix(key * _U(5) + sketch[:, :, k])
                 full = np.flatnonzero(np.bincount(owner, minlength=len(held)))
-                digest = [xxhash.xxh3_128_digest(texts[at + i].as_buffer()) for i in full.tolist()]
+                digest = [blake2b(texts[at + i].as_buffer(), digest_size=32).digest() for i in full.tolist()]
                 rows = batch.slice(at, len(held)).take(pa.array(full))
                 flat = pa.array(key[full].reshape(-1).view(np.int64))
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(full) + 1, dtype=np.int32) * bands), flat)
                 yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(digest, pa.binary()), lists], ["row", "doc", "digest", "bands"])
 
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc", "text").where("text IS NOT NULL")
+    rows = numbered(docs.select("doc", "text"), "row").select("row", "doc", "text").where("text IS NOT NULL")
     return rows.mapInArrow(sign, "row bigint, doc bigint, digest binary, bands array<bigint>")
 
 
@@ -222,52 +264,97 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
+def _elements(texts: DataFrame, words: int) -> DataFrame:
+    """row, size and element: the distinct elements of each text."""
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, held in _lower(batch.column(1)):
+                owner, hashes = shingles(held, words)
+                order = np.lexsort((hashes, owner))
+                owner, hashes = owner[order], hashes[order]
+                new = np.ones(len(owner), bool)
+                new[1:] = (owner[1:] != owner[:-1]) | (hashes[1:] != hashes[:-1])
+                owner, hashes = owner[new], hashes[new]
+                size = np.bincount(owner, minlength=len(held)).astype(np.int32)
+                rows = batch.column(0).slice(at, len(held)).take(pa.array(owner))
+                yield pa.RecordBatch.from_arrays([rows, pa.array(size[owner]), pa.array(hashes.view(np.int64))], ["row", "size", "element"])
+
+    return texts.select("row", "text").mapInArrow(split, "row bigint, size int, element bigint")
+
+
+def by_rare_elements(member: DataFrame, texts: DataFrame, words: int, threshold: float) -> DataFrame:
+    """All pairs (a, b) of rows of different groups (row, root) that can be as similar as the threshold."""
+    each = settled(_elements(texts.join(member.select("row").distinct(), "row", "left_semi"), words))
+    often = each.groupBy("element").agg(F.count(F.lit(1)).alias("often"))
+    place = F.row_number().over(Window.partitionBy("row").orderBy("often", "element"))
+    rare = each.join(often, "element").withColumn("place", place).where(F.col("place") <= F.col("size") - F.ceil(F.col("size") * threshold - 1e-9) + 1)
+    known = settled(rare.join(member.distinct(), "row").select("element", "row", "root", "size"))
+    mixed = known.groupBy("element").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("element")
+    x = known.join(mixed, "element")
+    y = x.select("element", F.col("row").alias("row2"), F.col("root").alias("root2"), F.col("size").alias("size2"))
+    alike = (F.least("size", "size2") >= F.greatest("size", "size2") * threshold - 1e-9) & (F.col("root") != F.col("root2")) & (F.col("row") > F.col("row2"))
+    return x.join(y, "element").where(alike).select(F.col("row").alias("a"), F.col("row2").alias("b")).distinct()
+
+
 def _groups(docs: DataFrame, id_col: str, text_col: str, words: int, coordinates: int, bands: int, threshold: float) -> DataFrame:
-    """row, doc, first (the group's smallest id) and nth in its group, for each document in a group."""
+    """row, doc and first (the group's smallest id), for each document in a group but the first."""
     named = docs.select(quoted(id_col).cast("bigint").alias("doc"), quoted(text_col).cast("string").alias("text"))
     signed = settled(_signatures(named, words, coordinates, bands))
-    kinds = signed.groupBy("digest").agg(F.min("row").alias("row"), F.min_by("bands", "row").alias("bands"))
-    meet = kinds.select("row", F.explode("bands").alias("h")).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("h"))).where("n > 1")
-    buckets = settled(meet.groupBy("h").agg(F.sort_array(F.collect_list("row")).alias("rows")).groupBy("rows").agg(F.count(F.lit(1)).alias("times")))
+    kinds = settled(signed.groupBy("digest").agg(F.min("row").alias("row"), F.min_by("bands", "row").alias("bands")))
+    every = kinds.select("row", F.explode("bands").alias("h"))
+    shared = every.groupBy("h").agg(F.min("row").alias("low"), F.max("row").alias("high")).where("low < high").select("h", "low")
+    meet = settled(every.join(shared, "h").select("h", "row", "low"))
 
-    wanted = buckets.select(F.explode("rows").alias("row")).distinct()
-    if buckets.agg(F.coalesce(F.sum(F.size("rows")), F.lit(0))).first()[0] <= BROADCAST_ROWS:
-        wanted = F.broadcast(wanted)
-    texts = settled(numbered(named, "row").select("row", "text").join(wanted, "row", "left_semi"))
+    wanted = meet.select("row").distinct()
+    texts = settled(numbered(named, "row").select("row", "text").join(if_small(wanted, BROADCAST_ROWS), "row", "left_semi"))
 
-    star = buckets.select("times", F.col("rows")[0].alias("b"), F.explode(F.slice("rows", F.lit(2), F.size("rows"))).alias("a")).groupBy("a", "b").agg(F.sum("times").alias("times"))
+    star = meet.where("row > low").groupBy(F.col("row").alias("a"), F.col("low").alias("b")).agg(F.count(F.lit(1)).alias("times"))
     closest = star.groupBy("a").agg(F.max(F.struct("times", (-F.col("b")).alias("b"))).alias("x")).select("a", (-F.col("x.b")).alias("b"))
     tried = settled(closest)
     links = settled(_verified(tried, texts, words, threshold))
 
-    root = components(links)
-    member = buckets.select(F.monotonically_increasing_id().alias("bucket"), F.explode("rows").alias("node")).join(root, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
-    mixed = member.withColumn("low", F.min("root").over(Window.partitionBy("bucket"))).withColumn("high", F.max("root").over(Window.partitionBy("bucket"))).where("low < high")
-    x = settled(mixed.select("bucket", "node", "root"))
-    rest = x.alias("x").join(x.alias("y"), F.expr("x.bucket = y.bucket AND x.node > y.node AND x.root <> y.root")).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    more = settled(_verified(rest.join(tried, ["a", "b"], "left_anti"), texts, words, threshold))
-    root = components(links.unionByName(more)) if not more.isEmpty() else root
+    root = settled(components(links))
+    member = meet.select("h", "row").join(root.withColumnRenamed("node", "row"), "row", "left").select("h", "row", F.coalesce("root", "row").alias("root"))
+    sizes = member.groupBy("h", "root").agg(F.count(F.lit(1)).alias("k"))
+    buckets = sizes.groupBy("h").agg(F.sum("k").alias("n"), F.sum(F.col("k") * F.col("k")).alias("squares"), F.count(F.lit(1)).alias("roots"), F.max(F.struct("k", "root")).alias("most")).where("roots > 1")
+    pairs = (F.col("n") * F.col("n") - F.col("squares")) / 2
+    open_ = settled(member.join(buckets.select("h", F.col("most.root").alias("most"), (pairs > HOT * F.col("n")).alias("hot")), "h"))
+    cool = open_.where(~F.col("hot"))
+    few = cool.where("root <> most").select("h", F.col("row").alias("row2"), F.col("root").alias("root2"))  # one side of each pair isn't of the largest group
+    rest = cool.join(few, "h").where("root <> root2").select(F.greatest("row", "row2").alias("a"), F.least("row", "row2").alias("b"))
+    hot = open_.where("hot").select("row", "root")
+    if not hot.isEmpty():
+        rest = rest.unionByName(by_rare_elements(hot, texts, words, threshold))
+    more = settled(_verified(rest.distinct().join(tried, ["a", "b"], "left_anti"), texts, words, threshold))
+    root = settled(components(links.unionByName(more))) if not more.isEmpty() else root
 
     kind = kinds.select("digest", "row").join(root.select(F.col("node").alias("row"), "root"), "row", "left").select("digest", F.coalesce("root", "row").alias("root"))
-    order = Window.partitionBy("root").orderBy(F.col("doc").asc_nulls_last(), "row")
-    every = signed.select("row", "doc", "digest").join(kind, "digest")
-    return every.select("row", "doc", F.first("doc").over(order).alias("first"), F.row_number().over(order).alias("nth"))
+    grouped = settled(signed.select("row", "doc", "digest").join(kind, "digest").select("row", "doc", "root"))
+    place = F.struct(F.col("doc").isNull().alias("last"), "doc", "row")
+    firsts = grouped.groupBy("root").agg(F.min(place).alias("x"), F.count(F.lit(1)).alias("k")).where("k > 1")
+    joined = grouped.join(firsts.select("root", F.col("x.doc").alias("first"), F.col("x.row").alias("first_row")), "root")
+    return joined.where("row <> first_row").select("row", "doc", "first")
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, coordinates: int = COORDINATES, bands: int = BANDS, threshold: float = THRESHOLD) -> DataFrame:
     """``doc_id, duplicate_of``: each document that is, directly or by a chain of others, similar to an earlier one.
 
     ``duplicate_of`` is the smallest id of the group; null ids come last, and rows that agree go by their place in
-    the table. Equal texts are similar whatever they hold, unless they have no words: such texts (empty ones too), and
+    the table. Equal texts (of one digest) are similar whatever they hold, unless they have no words: such texts (empty ones too), and
     null texts, are in no group. A row repeated as a whole is a copy. Similarity is that of the whole texts, in lower
     case, punctuation aside. Other columns are ignored. An empty table gives an empty result.
     """
-    found = _groups(docs, id_col, text_col, words, coordinates, bands, threshold).where("nth > 1")
+    found = _groups(steady(docs), id_col, text_col, words, coordinates, bands, threshold)
     return found.select(F.col("doc").alias("doc_id"), F.col("first").alias("duplicate_of"))
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, coordinates: int = COORDINATES, bands: int = BANDS, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs``, all columns, with one document of each group: without the rows that ``near_copies`` lists."""
+    """``docs``, all columns, with one document of each group: without the rows that ``near_copies`` lists.
+
+    Rows are told apart by their places, so ``docs`` is stored first unless it is read as it lies (``common.steady``).
+    """
+    docs = steady(docs)
     (row,) = fresh(docs, "row")
-    drop = _groups(docs, id_col, text_col, words, coordinates, bands, threshold).where("nth > 1").select(F.col("row").alias(row))
-    return numbered(docs, row).join(drop, row, "left_anti").drop(row)
+    drop = settled(_groups(docs, id_col, text_col, words, coordinates, bands, threshold).select(F.col("row").alias(row)))
+    return numbered(docs, row).join(if_small(drop, BROADCAST_ROWS), row, "left_anti").drop(row)

@@ -1,15 +1,16 @@
 import itertools
 import random
-import re
 
 import numpy as np
 import pytest
+import regex
+from pyspark.sql import functions as F
 
 from termlake.llm import minhash
 
 
 def pairs_of(text):
-    words = re.findall(r"(?:[a-z0-9]|[^\x00-\x7f])+", text.lower())
+    words = regex.findall(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}]|[\p{L}\p{M}\p{N}--[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}]]+", text.lower(), regex.V1)
     return {tuple(words[i : i + 2]) for i in range(max(1, len(words) - 1))} if words else set()
 
 
@@ -46,6 +47,69 @@ def test_sets_are_those_of_the_words():
     assert got[0] == got[4] and len(got[0] & got[6]) == 1 and not got[0] & got[2]
 
 
+@pytest.mark.parametrize("text", ["«Où est-il ?» — demanda-t-elle…", "¿Qué? ¡No! 10 ºC µm", "“curly” ‘quotes’ – dash", "nbsp\u00a0here", "日本語の文、です。終わり", "中文abc中文 def", "ราคาถูก now", "한국어 문장입니다", "ＡＢＣ　１２３！", "x", "。", "é", "naïve café", "end中"])
+def test_words_of_other_scripts(text):
+    owner, hashes = minhash.shingles([as_bytes(text), as_bytes(text + " ")])
+    got = [set(hashes[owner == i].tolist()) for i in range(2)]
+    assert got[0] == got[1] and len(got[0]) == len(pairs_of(text))
+    assert len(minhash.shingles([as_bytes(text)], 1)[1]) == len(regex.findall(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}]|[\p{L}\p{M}\p{N}--[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}]]+", text.lower(), regex.V1))
+
+
+def test_one_changed_character_in_a_text_without_spaces(spark):
+    text = "".join(chr(0x4E00 + (i * 7919) % 5000) for i in range(300))
+    df = spark.createDataFrame([(1, text), (2, text[:150] + "x" + text[151:]), (3, text[::-1])], "doc_id bigint, text string")
+    assert [(r.doc_id, r.duplicate_of) for r in minhash.near_copies(df).collect()] == [(2, 1)]
+
+
+def counted(monkeypatch):
+    seen = []
+    real = minhash._verified
+
+    def verified(pairs, texts, words, threshold):
+        seen.append(pairs.count())
+        return real(pairs, texts, words, threshold)
+
+    monkeypatch.setattr(minhash, "_verified", verified)
+    return seen
+
+
+def test_a_bucket_of_thousands_that_are_not_similar(spark, monkeypatch):
+    """All share a passage, and by it a band; most of the rest is their own. Three pairs are near copies."""
+    n = 3000
+    shared = " ".join(f"s{i}" for i in range(30))
+    own = lambda i: " ".join(f"w{i}x{k}" for k in range(60))
+    docs = [(i, f"{shared} {own(i)}") for i in range(n)] + [(n + k, f"{shared} {own(k)} more") for k in (5, 1500, 2999)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(4).checkpoint()
+    real, seen = minhash._signatures, counted(monkeypatch)
+    # every document in one bucket, as if all had the passage's elements in a band
+    monkeypatch.setattr(minhash, "_signatures", lambda *a: real(*a).withColumn("bands", F.array(F.lit(7).cast("bigint"))))
+    got = sorted((r.doc_id, r.duplicate_of) for r in minhash.near_copies(df).collect())
+    assert got == [(n + 5, 5), (n + 1500, 1500), (n + 2999, 2999)]
+    assert sum(seen) < 3 * n  # not the four and a half million pairs of the bucket
+
+
+def test_two_large_groups_in_a_bucket(spark, monkeypatch):
+    groups = [" ".join(f"{g}{i}" for i in range(80)) for g in "ab"]
+    docs = [(i, f"{groups[i % 2]} tail{i}") for i in range(600)] + [(600, " ".join(f"a{i}" for i in range(70)) + " other"), (601, "a word of its own here")]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(4).checkpoint()
+    real, seen = minhash._signatures, counted(monkeypatch)
+    monkeypatch.setattr(minhash, "_signatures", lambda *a: real(*a).withColumn("bands", F.array_append("bands", F.lit(7).cast("bigint"))))
+    got = {r.doc_id: r.duplicate_of for r in minhash.near_copies(df).collect()}
+    assert got == {i: i % 2 for i in range(2, 601)} | {600: 0} and sum(seen) < 4000
+
+
+def test_rare_elements_find_all_that_brute_force_finds(spark):
+    rng = random.Random(3)
+    words = [f"v{i}" for i in range(60)]
+    docs = [(i, " ".join(rng.choice(words) for _ in range(rng.choice([1, 2, 8, 20])))) for i in range(60)]
+    docs += [(60 + i, t + (" end" if i % 2 else "")) for i, (_, t) in enumerate(docs[:30])]
+    texts = spark.createDataFrame(docs, "row bigint, text string")
+    member = texts.select("row", F.col("row").alias("root"))
+    got = {(r.a, r.b) for r in minhash.by_rare_elements(member, texts, 2, 0.6).collect()}
+    sets = {i: pairs_of(t) for i, t in docs}
+    assert {(b, a) for a, b in itertools.combinations(sets, 2) if jaccard(sets[a], sets[b]) >= 0.6} <= got
+
+
 def test_long_text_in_pieces(monkeypatch):
     text = as_bytes(" ".join(f"w{i}" for i in range(3000)))
     whole = set(minhash.shingles([text])[1].tolist())
