@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termlake.llm.common import quoted
+from termlake.llm.common import fresh, quoted
 
 MIN_SCORE = 0.5
 #: Characters on either side in which context words count.
@@ -89,14 +89,14 @@ class Kind(NamedTuple):
 
 
 KINDS = [
-    Kind("email", re.compile(r"(?<![\w.+%-])\w[\w.+%-]{0,63}@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,24}(?![\w@])"), lambda s: ".." not in s, 0.9, ("mail", "contact", "kontakt", "correo", "courriel"), ()),
+    Kind("email", re.compile(r"(?<![\w.+%-])\w[\w.+%-]*+@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}(?![\w@])"), lambda s: ".." not in s, 0.9, ("mail", "contact", "kontakt", "correo", "courriel"), ()),
     Kind("card", re.compile(r"(?<![\w.,+-])(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{4}(?:\1\d{1,3})?|\d{4}([ -])\d{6}\2\d{4,5})(?![\w-])"), _card, 0.8, ("card", "visa", "credit", "karte", "tarjeta", "carte"), ("order", "invoice", "isbn", "tracking")),
     Kind("iban", re.compile(r"(?<!\w)[A-Za-z]{2}\d{2}(?: ?[A-Za-z0-9]){11,30}(?!\w)"), _iban, 0.9, ("iban", "account", "konto", "cuenta", "compte"), ()),
     Kind("ip", re.compile(r"(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?!\w|\.\d)"), _ip, 0.7, ("ip", "host", "server", "address", "login"), ("version", "release", "section", "kapitel")),
     Kind("phone", re.compile(r"(?<![\w.])\+\d{1,3}(?:[ .-]?\(\d{1,4}\))?(?:[ .-]?\d{2,5}){2,5}(?![\w-])|(?<![\w.])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\w)"), _phone, 0.8, ("phone", "tel", "call", "mobile", "fax", "telefon", "móvil", "portable"), ()),
     Kind("phone", re.compile(r"(?<![\w.+-])\d{3}[ .-]\d{3}[ .-]\d{4}(?![\w-])"), _phone, 0.45, ("phone", "tel", "call", "mobile", "fax", "telefon", "móvil", "portable"), ("isbn", "version", "order")),
     Kind("ssn", re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"), _ssn, 0.5, ("ssn", "social", "security"), ("isbn", "part", "order")),
-    Kind("credential", re.compile(r"(?<![A-Za-z0-9])(?=[A-Za-z_-]{0,63}[0-9])[A-Za-z0-9_-]{24,128}(?![A-Za-z0-9])"), lambda s: len(set(s)) > 8, 0.25, ("token", "key", "secret", "password", "passwd", "bearer"), ("sha", "commit", "checksum", "md5")),
+    Kind("credential", re.compile(r"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]*+[0-9])[A-Za-z0-9_-]{24,}+"), lambda s: len(set(s)) > 8, 0.25, ("token", "key", "secret", "password", "passwd", "bearer"), ("sha", "commit", "checksum", "md5")),
 ]
 
 
@@ -190,8 +190,10 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_sc
 def redact(docs: DataFrame, text_col: str = "text", min_score: float = MIN_SCORE, n_chars_col: str | None = "n_chars") -> DataFrame:
     """``docs`` with every span in the text replaced by its kind, as ``<EMAIL>``; all rows and columns stay.
 
-    Where there is a column for the length of the text (``n_chars_col``) it is set anew for texts that change. Null
-    texts stay null, and texts without spans as they are.
+    A column of the name ``n_chars_col``, if there is one, is taken for the length of the text: it is set anew for texts that change and
+    stays as it is for the others; None leaves any column alone. Null texts stay null, empty ones empty, and texts without spans as
+    they are; long texts are redacted to their ends. Repeated rows are redacted alike and all stay. Other columns stay whatever their
+    names. An empty table gives an empty result.
     """
 
     @F.arrow_udf("string")
@@ -200,8 +202,9 @@ def redact(docs: DataFrame, text_col: str = "text", min_score: float = MIN_SCORE
 
     text = quoted(text_col)
     candidate = F.when(text.rlike(NEEDED), text)
-    out = docs.withColumn(text_col, F.coalesce(clean(candidate), text))
+    (new,) = fresh(docs, "clean")
+    out = docs.withColumn(new, F.coalesce(clean(candidate), text))
     if n_chars_col and n_chars_col in docs.columns:
         kind = docs.schema[n_chars_col].dataType
-        out = out.withColumn(n_chars_col, F.when(quoted(text_col).isNotNull(), F.length(quoted(text_col))).otherwise(quoted(n_chars_col)).cast(kind))
-    return out
+        out = out.withColumn(n_chars_col, F.when(quoted(new) != text, F.length(quoted(new))).otherwise(quoted(n_chars_col)).cast(kind))
+    return out.withColumn(text_col, quoted(new)).drop(new)
