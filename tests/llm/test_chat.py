@@ -63,3 +63,19 @@ def test_turns_come_back(spark, sf_dir):
         want.setdefault(r.conv_id, []).append((r.role, r.text))
     got = {r.conv_id: r.rendered for r in chat.conversations(chat.log_of(turns)).collect()}
     assert got == {k: chat.render(v) for k, v in want.items()}
+
+
+def test_the_log_of_turns_has_all_that_must_be_undone(spark, sf_dir):
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    log = chat.log_of(turns)
+    kinds = {r.event: r["count"] for r in log.groupBy("event").count().collect()}
+    assert kinds.keys() == set(chat.EVENTS) and min(kinds.values()) > 20
+    assert log.count() > log.distinct().count() > turns.count()
+
+
+def test_log_of_empty_null_and_repeated_turns(spark):
+    schema = "conv_id bigint, turn bigint, role string, text string, lines int, seq int"
+    assert chat.log_of(spark.createDataFrame([], schema)).count() == 0
+    rows = [(1, t, "user", x, 1, 1) for t, x in enumerate([None, "", "a\n\nb", "c\n", "\n", None, "", "x"])]
+    (got,) = chat.conversations(chat.log_of(spark.createDataFrame(rows + rows[2:4], schema))).collect()
+    assert got.rendered == chat.render([("user", t or "") for _, _, _, t, *_ in rows])
