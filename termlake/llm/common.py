@@ -26,6 +26,13 @@ def scratch_dir(spark: SparkSession) -> str:
     return folder
 
 
+def qualified(spark: SparkSession, folder: str) -> str:
+    """The folder with the scheme of the file system that Hadoop takes it to be on, as libraries other than Spark need it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return "file://" + found[5:] if found.startswith("file:/") and not found.startswith("file://") else found
+
+
 def settled(df: DataFrame) -> DataFrame:
     """``df`` computed once and kept on shared storage, with its partitions and their order, so that it
     survives the loss of executors. The files stay, unless ``spark.cleaner.referenceTracking.cleanCheckpoints`` is on: then

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termlake.llm import chat, exact_dedup, lm_scoring, minhash, packing, pii, quality_model, quality_rules, sentencepiece_codec, warc
-from termlake.llm.common import scratch_dir
+from termlake.llm.common import qualified, scratch_dir
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,7 +37,7 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The turns, streamed as a log of events, folded into conversations again and rendered."""
+    """The turns as a log of events, with drafts, edits, regenerations and repeats, folded into conversations and rendered."""
     return chat.conversations(chat.log_of(table(spark, sf_dir, "conversations")))
 
 
@@ -55,8 +55,7 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pages, written as compressed archives to the shared folder, as the reader finds them there."""
-    folder = f"{scratch_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
-    folder = folder if ":" in folder else f"file://{folder}"
+    folder = qualified(spark, f"{scratch_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}")
     warc.write(table(spark, sf_dir, "pages"), folder)
     found = warc.read(spark, folder)
     return found.select(F.col("headers")["x-page-id"].cast("bigint").alias("page_id"), F.col("target_uri").alias("url"), F.col("content").cast("string").alias("html"), "error")

@@ -192,8 +192,9 @@ def train(pages: DataFrame, html_col: str = "html", sample: int = SAMPLE, size:
 def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", date: str = "2024-01-01T00:00:00Z") -> int:
     """An archive in ``folder`` (shared by all executors) for each partition of ``pages``; the number of records.
 
-    Each row becomes a resource record, with its id in the header X-Page-ID; a null text is an empty block, a null url or id
-    leaves its header out. Repeated rows give a record each. A file gets its name when it is whole, and a task that runs twice
+    Each row becomes a resource record, with its id in the header X-Page-ID; a null text is an empty block, like an empty one, a null url or id
+    leaves its header out. A page of any length is one record. Repeated rows give a record each. Other columns are ignored, whatever their
+    names. An empty table gives no records. A file gets its name when it is whole, and a task that runs twice
     puts the same content under the same name.
     """
     dictionary = train(pages, html_col)
@@ -229,7 +230,8 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str =
 def read(spark: SparkSession, folder: str) -> DataFrame:
     """The records of all ``*.warc.zst`` files in a folder, a task for each few files; see ``OUT``.
 
-    ``headers`` has lower-case names. A record that isn't valid has an ``error`` and no content. An empty file has no records.
+    ``headers`` has lower-case names; of several headers of a name the first counts. A record may be as long as memory allows; records that
+    agree are all there. A folder without such files gives an empty result. A record that isn't valid has an ``error`` and no content. An empty file has no records.
     """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
