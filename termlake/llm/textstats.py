@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,8 +16,10 @@ def _share(text: Column, keep: str) -> Column:
     return F.length(F.regexp_replace(text, f"[^{keep}]+", "")) / F.length(text)
 
 
-def measured(docs: DataFrame, text: Column) -> DataFrame:
-    """``docs`` with ``n_words`` and the measures; all measures are 0 for a text without words, or null.
+def measured(docs: DataFrame, text: Column, of_words: dict[str, Callable[[Column], Column]] | None = None) -> DataFrame:
+    """``docs`` with ``n_words``, ``size_chars``, ``size_lines`` and the measures; all measures are 0 for a text without words, or null.
+
+    ``of_words``: further columns, from the array of words.
 
     mean_word: characters a word. symbols, capitals (A to Z), digits: share of all characters. variety: logarithm of
     the number of distinct words over that of words. repeated_lines: share of lines that occurred before.
@@ -32,4 +36,6 @@ def measured(docs: DataFrame, text: Column) -> DataFrame:
         "repeated_lines": 1 - F.size(F.array_distinct(lines)) / F.size(lines),
     }
     held = docs.withColumn("__words", words)
-    return held.withColumns({"n_words": n} | {k: F.when(n > 0, v).otherwise(0.0) for k, v in raw.items()}).drop("__words")
+    more = {k: f(F.col("__words")) for k, f in (of_words or {}).items()}
+    sizes = {"n_words": n, "size_chars": F.coalesce(F.length(text), F.lit(0)), "size_lines": F.coalesce(F.size(lines), F.lit(0))}
+    return held.withColumns(sizes | {k: F.when(n > 0, v).otherwise(0.0) for k, v in raw.items()} | more).drop("__words")

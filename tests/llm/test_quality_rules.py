@@ -1,3 +1,4 @@
+import functools
 import math
 import re
 from collections import defaultdict
@@ -15,7 +16,7 @@ def measures(text):
     share = lambda keep: len(re.findall(f"[{keep}]", text)) / n
     return dict(
         mean_word=sum(map(len, words)) / len(words), symbols=share(SYMBOLS), capitals=share("A-Z"), digits=share("0-9"),
-        variety=math.log1p(len(set(words))) / math.log1p(len(words)), repeated_lines=1 - len(set(lines)) / len(lines),
+        n_words=len(words), size_chars=n, size_lines=len(lines), variety=math.log1p(len(set(words))) / math.log1p(len(words)), repeated_lines=1 - len(set(lines)) / len(lines),
     )
 
 
@@ -26,14 +27,25 @@ def brute(rows):
     for _, m, lang, src in found:
         groups[lang, src].append(m)
         langs[lang].append(m)
+    world = [m for _, m, _, _ in found]
+
+    def quartiles(pool, k, above=None):
+        xs = sorted(x[k] for x in pool)
+        own = [xs[math.ceil(p * len(xs)) - 1] for p in (0.25, 0.75)]
+        return own if above is None else [(len(xs) * o + q.PRIOR * a) / (len(xs) + q.PRIOR) for o, a in zip(own, above)]
+
+    @functools.cache
+    def limits(lang, src, k):
+        of_lang = quartiles(langs[lang], k, quartiles(world, k))
+        of_source = quartiles(groups[lang, src], k, of_lang)
+        span = q.REACH * (of_lang[1] - of_lang[0])
+        return max(of_lang[0], of_source[0]) - span, min(of_lang[1], of_source[1]) + span
 
     def fits(m, lang, src):
-        pool = groups[lang, src] if len(groups[lang, src]) >= q.LEAST else langs[lang]
         for k in MEASURES:
-            xs = sorted(x[k] for x in pool)
-            lo, hi = (xs[math.ceil(p * len(xs)) - 1] for p in (0.25, 0.75))
-            reach = q.REACH * max(hi - lo, q.SPREAD[k])
-            if not lo - reach - 1e-12 <= m[k] <= hi + reach + 1e-12:
+            low, high = limits(lang, src, k)
+            more = q.ALLOW[k][0] / m[q.ALLOW[k][1]]
+            if not low - more - 1e-12 <= m[k] <= high + more + 1e-12:
                 return False
         return True
 
@@ -56,15 +68,26 @@ def test_junk_goes_and_clean_documents_stay(spark):
     assert sum(good) >= 0.97 * len(good) and sum(junk) <= 0.05 * len(junk)
 
 
+def test_a_source_of_mostly_junk_keeps_little_of_it(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    bad = [r.text for r in docs.join(labels.where("quality = 0"), "doc_id").collect()]
+    docs = docs.select("doc_id", "text", "lang", "source")
+    for share in (0.5, 0.8):
+        good = [r for r in docs.where("lang = 'en' AND source = 'src5'").collect() if r.text not in bad]
+        rows = [(10_000 + i, bad[i % len(bad)], "en", "junk yard") for i in range(round(len(good) * share / (1 - share)))] + [(r.doc_id, r.text, "en", "junk yard") for r in good]
+        every = docs.where("source <> 'src5'").unionByName(spark.createDataFrame(rows, docs.schema))
+        kept = {r.doc_id for r in q.keep(every).where("source = 'junk yard'").collect()}
+        junk, fine = [i in kept for i, *_ in rows if i >= 10_000], [i in kept for i, *_ in rows if i < 10_000]
+        assert len(junk) > 20 and sum(junk) < 0.12 * len(junk) and sum(fine) > 0.75 * len(fine)
+
+
 def test_sketches_of_parts_merge(spark):
     rows = [(i, "word " * 20 + "x" * (i % 50), "en", "s") for i in range(5000)]
     one, many = (spark.createDataFrame(rows, "doc_id int, text string, lang string, source string").repartition(n) for n in (1, 12))
-    a, b = (q.ranges(d).first() for d in (one, many))
     exact = sorted(measures(t)["mean_word"] for _, t, _, _ in rows)
-    for r in (a, b):
-        low, high = r.mean_word_low, r.mean_word_high
-        q1, q3 = exact[1249], exact[3749]
-        assert abs(low - (q1 - q.REACH * max(q3 - q1, q.SPREAD["mean_word"]))) < 0.2 and abs(high - (q3 + q.REACH * max(q3 - q1, q.SPREAD["mean_word"]))) < 0.2
+    q1, q3 = exact[1249], exact[3749]
+    for r in (q.ranges(d).first() for d in (one, many)):
+        assert abs(r.mean_word_low - (q1 - q.REACH * (q3 - q1))) < 0.2 and abs(r.mean_word_high - (q3 + q.REACH * (q3 - q1))) < 0.2
 
 
 def test_edges(spark):
