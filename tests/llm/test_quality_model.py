@@ -1,9 +1,13 @@
 import math
+import re
+from urllib.parse import urlsplit
 
 import numpy as np
 import pytest
 
 from termlake.llm import quality_model as q
+from termlake.llm.textstats import MEASURES, SPACE
+from tests.llm.test_quality_rules import measures
 
 
 def brute_priors(rows):
@@ -90,3 +94,103 @@ def test_edges(spark, trained):
     labels = spark.createDataFrame([], "doc_id bigint, quality int")
     assert q.keep(df, q.train(df, labels)).count() == 4
     assert q.train(empty, spark.createDataFrame([(1, 1)], "doc_id bigint, quality int")).rate == pytest.approx(1, abs=1e-3)
+
+
+def test_names_that_clash(spark, trained):
+    _, _, model = trained
+    df = spark.createDataFrame([(1, "some text", "en", "s", 1)], "doc_id bigint, text string, lang string, source string, Quality int")
+    with pytest.raises(ValueError, match="quality"):
+        q.score(df, model)
+
+
+def xxhash(spark, words):
+    rows = spark.createDataFrame([(w,) for w in words], "w string").selectExpr("w", f"cast(pmod(xxhash64(w), {q.HASHES}) as int) AS h")
+    return {r.w: r.h for r in rows.collect()}
+
+
+def brute_features(text, odds, number):
+    words = re.findall(f"[^{SPACE}]+", text or "")
+    if not words:
+        return None
+    m = measures(text)
+    return [*(m[k] for k in MEASURES), math.log1p(len(words)), sum(odds[number[w]] for w in words) / len(words)]
+
+
+def brute_fit(rows, good):
+    """Logistic regression with a ridge by gradient descent: another way to the same minimum."""
+    x = np.array(rows)
+    center, scale = x.mean(0), np.maximum(x.std(0), 1e-9)
+    x = np.column_stack([np.ones(len(x)), np.clip((x - center) / scale, -8, 8)])
+    y, w = np.array(good, float), np.zeros(x.shape[1])
+    ridge = np.full(x.shape[1], q.RIDGE)
+    ridge[0] = 0
+    step = 1 / (0.25 * np.linalg.eigvalsh(x.T @ x).max() + q.RIDGE)
+    v, t = w.copy(), 1.0
+    for _ in range(60_000):
+        new = v - step * (x.T @ (1 / (1 + np.exp(-(x @ v))) - y) + ridge * v)
+        t2 = (1 + math.sqrt(1 + 4 * t * t)) / 2
+        v, w, t = new + (t - 1) / t2 * (new - w), new, t2
+    return w, center, scale
+
+
+def test_whole_score_on_pages_with_addresses_equals_brute_force(spark):
+    """Labels for pages follow from their numbers here; text, host and path are the pages' own."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()
+    rows = [(r.page_id, r.url, re.sub(r"<[^>]*>", " ", r.html)) for r in rows] + [(1000 + i, u, t) for i, (u, t) in enumerate([(None, "some words here"), ("not an address", "more words"), ("http://www.Ex.org", "x y z"), ("https://ex.org/a/b?c", ""), ("http://m.ex.org/a#d", None)])]
+    labels = [(i, int(len(t or "") % 3 > 0)) for i, _, t in rows if i % 4]
+    schema = "page_id bigint, url string, text string"
+    docs = spark.createDataFrame(rows, schema)
+    model = q.train(docs, spark.createDataFrame(labels, "doc_id bigint, quality int"), id_col="page_id")
+    got = {r.page_id: r for r in q.score(docs, model, url_col="url").collect()}
+
+    number = xxhash(spark, sorted({w for _, _, t in rows for w in re.findall(f"[^{SPACE}]+", t or "")}))
+    halves = {r.i: r.h for r in spark.createDataFrame([(i,) for i, *_ in rows], "i bigint").selectExpr("i", "pmod(xxhash64(i, 1), 2) AS h").collect()}
+    text, label = {i: t for i, _, t in rows}, {i: g for i, g in labels if dict((a, c) for a, _, c in rows)[i] is not None}
+
+    def odds(ids):
+        out = []
+        for h in range(q.HASHES):
+            out.append(0.0)
+        n = [sum(label[i] == g for i in ids) for g in (0, 1)]
+        has = [{}, {}]
+        for i in ids:
+            for h in {number[w] for w in re.findall(f"[^{SPACE}]+", text[i])}:
+                has[label[i]][h] = has[label[i]].get(h, 0) + 1
+        return [math.log((has[1].get(h, 0) + q.SMOOTH) / (n[1] + 2 * q.SMOOTH)) - math.log((has[0].get(h, 0) + q.SMOOTH) / (n[0] + 2 * q.SMOOTH)) for h in range(q.HASHES)]
+
+    by_half = [odds([i for i in label if halves[i] == h]) for h in (0, 1)]
+    none = [0.0] * len(q.FEATURES)
+    ids = sorted(label)
+    w, center, scale = brute_fit([brute_features(text[i], by_half[1 - halves[i]], number) or none for i in ids], [label[i] for i in ids])
+    rate, every = sum(label.values()) / len(label), odds(list(label))
+    own = {}
+    for i, _, t in rows:
+        f = brute_features(t, every, number)
+        if f:
+            z = w[0] + sum(np.clip((np.array(f) - center) / scale, -8, 8) * w[1:])
+            own[i] = min(max(1 / (1 + math.exp(-z)), q.FLOOR), 1 - q.FLOOR)
+
+    def place(url):
+        parts = urlsplit(url or "")
+        if not parts.hostname:
+            return None, None if url is None or " " in url else ""
+        return re.sub(r"^(www|m)\.", "", parts.hostname), parts.path.split("/")[1] if "/" in parts.path else ""
+
+    prior = brute_priors([(*place(u), own[i]) for i, u, _ in rows if i in own])
+    assert len(prior) > 100 and len({h for h, _ in prior}) > 50
+    logit = lambda p: math.log(p / (1 - p))
+    for i, u, _ in rows:
+        if i in own:
+            assert got[i].evidence == pytest.approx(own[i], abs=2e-3) and got[i].prior == pytest.approx(prior[place(u)], abs=2e-3)
+            assert got[i].quality == pytest.approx(1 / (1 + math.exp(-(logit(own[i]) - logit(rate) + logit(prior[place(u)])))), abs=5e-3)
+        else:
+            assert got[i].quality == 0
+
+
+def test_a_word_of_bad_documents_counts_against_a_text(spark):
+    fine = "The thing was on the road to the other and it is here for them"
+    rows = [(i, f"{fine} {'wrongword' if i % 3 == 0 else 'rightword'} {i}") for i in range(300)]
+    docs = spark.createDataFrame([(i, t, "en", f"s{i % 3}") for i, t in rows], "doc_id bigint, text string, lang string, source string")
+    model = q.train(docs, spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(0, 300, 2)], "doc_id bigint, quality int"))
+    got = q.score(docs, model).collect()
+    assert all((r.evidence > 0.5) == (r.doc_id % 3 > 0) for r in got)
