@@ -2,11 +2,13 @@
 
 The model file is parsed here, as the protobuf it is, and rebuilt: the normalizer (character map, white space, the marker
 that stands for a space), the pieces with their scores as a unigram model, or with merges in order of the scores as a BPE
-model, and bytes for what no piece covers. A worker splits texts at spaces, encodes the pieces that it hasn't seen yet as one
-batch on several threads, and puts documents together from a cache. Where a model has a piece that goes across a space, and
-for texts with runs of spaces, whole texts are encoded instead; the ids are the same either way.
+model, and bytes for what no piece covers. A worker splits texts at spaces, encodes the words that it hasn't seen yet as one
+batch on several threads, and puts documents together from a cache of numbered words, all texts of a batch at once. Where a model has a
+piece that goes across a space, and for texts with runs of spaces, whole texts are encoded instead; the ids are the same either way.
 
-Parity: whatever the library encodes is also encoded by SentencePiece itself. A document says whether all its parts agreed.
+Parity: whatever the library encodes is also encoded by SentencePiece itself. A document says whether all its parts agreed. Round trip: the
+ids of a whole document, not those of its words, are decoded and compared with its text, byte by byte, in one pass over the batch: each id
+stands for the bytes of its piece, with a space for the marker.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ import os
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -100,7 +103,7 @@ def rebuilt(model: Model):
     if model.kind == UNIGRAM:
         least = min((s for _, s, k in model.pieces if k == NORMAL), default=0.0)
         # Control pieces and bytes are never found in a text: their scores keep them out.
-        scored = [(p if k in (NORMAL, USER, BYTE, UNKNOWN) else p, s if k in (NORMAL, USER) else least - 1e6) for p, s, k in model.pieces]
+        scored = [(p, s if k in (NORMAL, USER) else least - 1e6) for p, s, k in model.pieces]
         core = models.Unigram(scored, unknown, model.byte_fallback)
     else:
         usable = {p: (-s, i) for i, (p, s, k) in enumerate(model.pieces) if k in (NORMAL, USER)}
@@ -133,6 +136,18 @@ def rebuilt(model: Model):
     return tokenizer, normalizers.Sequence(steps), space
 
 
+class _Numbers(dict):
+    """Numbers words as they come; new ones wait in ``new``."""
+
+    def __init__(self):
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self.new.append(word)
+        self[word] = n = len(self)
+        return n
+
+
 class Codec:
     """Encodes and decodes with one model file."""
 
@@ -148,7 +163,18 @@ class Codec:
         plain = self.model
         self.plain = not plain.charsmap and not plain.collapse and plain.dummy_prefix and plain.escape
         self.splits = plain.escape and plain.dummy_prefix and not any(MARK in p.lstrip(MARK) for p, _, k in plain.pieces if k in (NORMAL, USER))
-        self.cache: dict[str, tuple[bytes, bool, str]] = {}
+        self._forget()
+        # What each id gives when it is decoded; control pieces as they are written.
+        texts = [bytes([int(p[3:5], 16)]) if k == BYTE else p.replace(MARK, " ").encode() for p, _, k in plain.pieces]
+        self.sizes = np.array([len(t) for t in texts], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.bytes = np.frombuffer(b"".join(texts) or b" ", np.uint8)
+
+    def _forget(self) -> None:
+        """An empty cache: the number of each word, and by number its ids, one after the other, and whether SentencePiece agrees."""
+        self.number = _Numbers()
+        self.ids, self.n_ids = np.zeros(1 << 16, np.int32), 0
+        self.first, self.size, self.same = (np.zeros(1 << 14, k) for k in (np.int64, np.int64, bool))
 
     def _parts(self, text: str) -> list[str] | None:
         """Words that each stand for the marker and themselves, or None where the text can't be split so."""
@@ -162,43 +188,99 @@ class Codec:
     def _encode(self, normalized: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<i4").tobytes() for e in self.tokenizer.encode_batch_fast(normalized, add_special_tokens=False)]
 
-    def encode(self, texts: list[str]) -> list[tuple[bytes, bool]]:
-        """Ids of each text, as 32-bit numbers, and whether SentencePiece has the same."""
-        return [found[:2] for found in self.there_and_back(texts)]
-
-    def there_and_back(self, texts: list[str]) -> list[tuple[bytes, bool, str]]:
-        """As ``encode``, and the text that the ids give. That of words, each of which begins with the marker, is their
-        texts with blanks between, so words are decoded once too."""
+    def _learn(self, words: list[str]) -> None:
+        # a word that the normalizer already went over is the same after another time
+        want = self.peer.encode(words if self.plain else [w.replace(MARK, " ") for w in words], num_threads=1)
+        at = len(self.number) - len(words)
+        for word, ids, peer in zip(words, self._encode([MARK + w for w in words]), want):
+            own = np.frombuffer(ids, "<i4")
+            while self.n_ids + len(own) > len(self.ids):
+                self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+            if at == len(self.first):
+                self.first, self.size, self.same = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.size, self.same))
+            self.ids[self.n_ids : self.n_ids + len(own)] = own
+            self.first[at], self.size[at], self.same[at] = self.n_ids, len(own), not word or own.tolist() == peer
+            at, self.n_ids = at + 1, self.n_ids + len(own)
+
+    def encode_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, how many each has, and whether SentencePiece has the same."""
         split = [self._parts(t) for t in texts]
-        if len(self.cache) > CACHE_PIECES:
-            self.cache.clear()
-        new = list(set().union(*(p for p in split if p is not None)) - self.cache.keys())
-        if new:
-            # a word that the normalizer already went over is the same after another time
-            want = self.peer.encode(new if self.plain else [w.replace(MARK, " ") for w in new], num_threads=1)
-            own = self._encode([MARK + w for w in new])
-            back = self.decode([np.frombuffer(ids, "<i4").tolist() for ids in own])
-            for word, ids, peer, text in zip(new, own, want, back):
-                self.cache[word] = ids, (ids == np.array(peer, "<i4").tobytes()) if word else True, text
-        out: list = [None] * len(texts)
+        if len(self.number) > CACHE_PIECES:
+            self._forget()
+        n_words = np.array([0 if p is None else len(p) for p in split], np.int64)
+        words = np.fromiter(map(self.number.__getitem__, chain.from_iterable(p for p in split if p is not None)), np.int64, int(n_words.sum()))
+        if self.number.new:
+            self._learn(self.number.new)
+            self.number.new = []
         whole = [i for i, p in enumerate(split) if p is None]
+        alone: dict[int, np.ndarray] = {}
+        same = np.ones(len(texts), bool)
         if whole:
             own = self._encode([self.normalizer.normalize_str(texts[i]) if texts[i] else "" for i in whole])
-            back = self.decode([np.frombuffer(ids, "<i4").tolist() for ids in own])
-            for i, ids, peer, text in zip(whole, own, self.peer.encode([texts[i] for i in whole], num_threads=1), back):
-                out[i] = ids, ids == np.array(peer, "<i4").tobytes(), text
-        get = self.cache.__getitem__
-        for i, parts in enumerate(split):
-            if parts is not None:
-                ids, same, back = zip(*map(get, parts))
-                out[i] = b"".join(ids), all(same), " ".join(back)
-        return out
+            for i, ids, peer in zip(whole, own, self.peer.encode([texts[i] for i in whole], num_threads=1)):
+                alone[i] = np.frombuffer(ids, "<i4")
+                same[i] = alone[i].tolist() == peer
+        ids = _ragged(self.ids, self.first[words], self.size[words])
+        of = np.repeat(np.arange(len(texts)), n_words)
+        sizes = np.bincount(of, self.size[words], len(texts)).astype(np.int64)
+        same &= np.bincount(of, ~self.same[words], len(texts)) == 0
+        if alone:
+            edges, parts, at = np.cumsum(sizes), [], 0
+            for i, own in alone.items():
+                parts += [ids[at : edges[i]], own]
+                at, sizes[i] = edges[i], len(own)
+            ids = np.concatenate([*parts, ids[at:]])
+        return ids, sizes, same
+
+    def encode(self, texts: list[str]) -> list[tuple[bytes, bool]]:
+        """Ids of each text, as 32-bit numbers, and whether SentencePiece has the same."""
+        ids, sizes, same = self.encode_all(texts)
+        ends = np.cumsum(sizes)
+        return [(ids[e - n : e].astype("<i4").tobytes(), bool(k)) for e, n, k in zip(ends, sizes, same)]
+
+    def come_back(self, texts: list[str], ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Which texts are what their ids (all in a row, ``sizes`` for each) give when they are decoded."""
+        given = np.frombuffer(b"".join(t.encode() for t in texts), np.uint8)
+        lengths = np.array([len(t) if t.isascii() else len(t.encode()) for t in texts], np.int64)
+        out = _ragged(self.bytes, self.starts[ids], self.sizes[ids])
+        of = np.repeat(np.arange(len(texts)), sizes)
+        n = np.bincount(of, self.sizes[ids], len(texts)).astype(np.int64)
+        lead = ((n > 0) & self.model.dummy_prefix).astype(np.int64)  # the marker before the text
+        fits = n - lead == lengths
+        ends = np.cumsum(n)
+        if fits.all() and self.model.dummy_prefix:
+            firsts = (ends - n)[n > 0]
+            body = np.delete(out, firsts) if len(firsts) else out
+            wrong = np.flatnonzero(body != given)
+            fits[np.searchsorted(np.cumsum(lengths), wrong, "right")] = False
+            fits[n > 0] &= out[firsts] == 32
+            return fits
+        begin = np.cumsum(lengths) - lengths
+        for i in np.flatnonzero(fits):
+            own = out[ends[i] - n[i] : ends[i]]
+            fits[i] = bool((own[lead[i] :] == given[begin[i] : begin[i] + lengths[i]]).all()) and (not lead[i] or own[0] == 32)
+        return fits
 
     def decode(self, ids: list[list[int]]) -> list[str]:
         return self.tokenizer.decode_batch(ids, skip_special_tokens=False)
 
 
+def _ragged(values: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """For each place ``size`` values from ``first`` on, all in a row."""
+    ends = np.cumsum(size)
+    total = int(ends[-1]) if len(ends) else 0
+    step = np.ones(total, np.int64)
+    full = np.flatnonzero(size)
+    if not len(full):
+        return values[:0]
+    first, size = first[full], size[full]
+    step[0] = first[0]
+    step[np.cumsum(size)[:-1]] = first[1:] - first[:-1] - size[:-1] + 1
+    return values[np.cumsum(step, out=step)]
+
+
 def codec(path: str = MODEL, threads: int = THREADS) -> Codec:
+    """The codec of a file, once for each worker. How many threads encode is the same for all files of a worker: the first codec's."""
     if path not in _codecs:
         _codecs[path] = Codec(path, threads)
     return _codecs[path]
@@ -229,18 +311,17 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
             every = batch.column(1).to_pylist()
             for start, stop in _chunks([len(t or "") for t in every]):
                 texts = every[start:stop]
-                found = iter(one.there_and_back([t for t in texts if t is not None]))
-                rows = [None if t is None else next(found) for t in texts]
-                flat = np.frombuffer(b"".join(r[0] for r in rows if r), "<i4")
-                sizes = np.array([len(r[0]) // 4 if r else 0 for r in rows], np.int64)
+                some = [t or "" for t in texts]
+                flat, sizes, same = one.encode_all(some)
+                back = one.come_back(some, flat, sizes)
                 offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-                null = pa.array([r is None for r in rows])
+                missing = np.array([t is None for t in texts])
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(start, stop - start),
-                        pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat), mask=null),
-                        pa.array([r and r[1] for r in rows], pa.bool_()),
-                        pa.array([None if t is None else t == r[2] for t, r in zip(texts, rows)], pa.bool_()),
+                        pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat), mask=pa.array(missing)),
+                        pa.array(same, mask=missing),
+                        pa.array(back, mask=missing),
                     ],
                     ["doc_id", "ids", "parity", "round_trip"],
                 )
