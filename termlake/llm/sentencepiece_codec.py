@@ -6,9 +6,10 @@ model, and bytes for what no piece covers. A worker splits texts at spaces, enco
 batch on several threads, and puts documents together from a cache of numbered words, all texts of a batch at once. Where a model has a
 piece that goes across a space, and for texts with runs of spaces, whole texts are encoded instead; the ids are the same either way.
 
-Parity: whatever the library encodes is also encoded by SentencePiece itself. A document says whether all its parts agreed. Round trip: the
-ids of a whole document, not those of its words, are decoded and compared with its text, byte by byte, in one pass over the batch: each id
-stands for the bytes of its piece, with a space for the marker.
+Parity: SentencePiece itself encodes every document as a whole, and the ids must be the same. (Of a unigram model it adds scores in single
+precision, the library in double: where two ways to cut a word are equally good they may choose differently, and parity says so.) Round trip: the ids of a whole document are
+decoded and compared with its text, byte by byte, in one pass over the batch: each id stands for the bytes of its piece, with a space for
+the marker.
 """
 
 from __future__ import annotations
@@ -171,10 +172,10 @@ class Codec:
         self.bytes = np.frombuffer(b"".join(texts) or b" ", np.uint8)
 
     def _forget(self) -> None:
-        """An empty cache: the number of each word, and by number its ids, one after the other, and whether SentencePiece agrees."""
+        """An empty cache: the number of each word, and by number its ids, one after the other."""
         self.number = _Numbers()
         self.ids, self.n_ids = np.zeros(1 << 16, np.int32), 0
-        self.first, self.size, self.same = (np.zeros(1 << 14, k) for k in (np.int64, np.int64, bool))
+        self.first, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
 
     def _parts(self, text: str) -> list[str] | None:
         """Words that each stand for the marker and themselves, or None where the text can't be split so."""
@@ -189,17 +190,15 @@ class Codec:
         return [np.array(e.ids, "<i4").tobytes() for e in self.tokenizer.encode_batch_fast(normalized, add_special_tokens=False)]
 
     def _learn(self, words: list[str]) -> None:
-        # a word that the normalizer already went over is the same after another time
-        want = self.peer.encode(words if self.plain else [w.replace(MARK, " ") for w in words], num_threads=1)
         at = len(self.number) - len(words)
-        for word, ids, peer in zip(words, self._encode([MARK + w for w in words]), want):
+        for ids in self._encode([MARK + w for w in words]):
             own = np.frombuffer(ids, "<i4")
             while self.n_ids + len(own) > len(self.ids):
                 self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
             if at == len(self.first):
-                self.first, self.size, self.same = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.size, self.same))
+                self.first, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.size))
             self.ids[self.n_ids : self.n_ids + len(own)] = own
-            self.first[at], self.size[at], self.same[at] = self.n_ids, len(own), not word or own.tolist() == peer
+            self.first[at], self.size[at] = self.n_ids, len(own)
             at, self.n_ids = at + 1, self.n_ids + len(own)
 
     def encode_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -214,23 +213,33 @@ class Codec:
             self.number.new = []
         whole = [i for i, p in enumerate(split) if p is None]
         alone: dict[int, np.ndarray] = {}
-        same = np.ones(len(texts), bool)
         if whole:
             own = self._encode([self.normalizer.normalize_str(texts[i]) if texts[i] else "" for i in whole])
-            for i, ids, peer in zip(whole, own, self.peer.encode([texts[i] for i in whole], num_threads=1)):
-                alone[i] = np.frombuffer(ids, "<i4")
-                same[i] = alone[i].tolist() == peer
+            alone = {i: np.frombuffer(ids, "<i4") for i, ids in zip(whole, own)}
         ids = _ragged(self.ids, self.first[words], self.size[words])
         of = np.repeat(np.arange(len(texts)), n_words)
         sizes = np.bincount(of, self.size[words], len(texts)).astype(np.int64)
-        same &= np.bincount(of, ~self.same[words], len(texts)) == 0
         if alone:
             edges, parts, at = np.cumsum(sizes), [], 0
             for i, own in alone.items():
                 parts += [ids[at : edges[i]], own]
                 at, sizes[i] = edges[i], len(own)
             ids = np.concatenate([*parts, ids[at:]])
-        return ids, sizes, same
+        return ids, sizes, self._agrees(texts, ids, sizes)
+
+    def _agrees(self, texts: list[str], ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Whether SentencePiece has the same ids for each text."""
+        want = self.peer.encode(texts, num_threads=1)
+        n = np.array([len(w) for w in want], np.int64)
+        flat = np.fromiter(chain.from_iterable(want), np.int32, int(n.sum()))
+        same = n == sizes
+        if same.all():
+            same[np.searchsorted(np.cumsum(sizes), np.flatnonzero(flat != ids), "right")] = False
+            return same
+        a, b = np.cumsum(sizes), np.cumsum(n)
+        for i in np.flatnonzero(same):
+            same[i] = (ids[a[i] - n[i] : a[i]] == flat[b[i] - n[i] : b[i]]).all()
+        return same
 
     def encode(self, texts: list[str]) -> list[tuple[bytes, bool]]:
         """Ids of each text, as 32-bit numbers, and whether SentencePiece has the same."""

@@ -83,6 +83,53 @@ def test_unigram_models(tmp_path, collapse, byte):
     assert ids(found) == peer.encode(texts) and all(same for _, same in found)
 
 
+def full_unigram(path):
+    """A unigram model of full size with SentencePiece's own character map (NFKC): the pieces of the public vocabulary, scored by their rank.
+    Scores are multiples of 1/64, so that their sums are exact in single precision too, which SentencePiece uses."""
+
+    def varint(n):
+        out = b""
+        while n > 127:
+            out, n = out + bytes([n & 127 | 128]), n >> 7
+        return out + bytes([n])
+
+    put = lambda number, value: varint(number << 3 | 2) + varint(len(value)) + value
+    model = sp.codec().model
+    data = b"".join(put(1, put(1, p.encode()) + varint(2 << 3 | 5) + struct.pack("<f", -round(64 * np.log(i + 10.0)) / 64 if k == sp.NORMAL else 0.0) + varint(3 << 3) + varint(k)) for i, (p, _, k) in enumerate(model.pieces))
+    trainer = varint(3 << 3) + varint(sp.UNIGRAM) + varint(35 << 3) + varint(1)
+    normalizer = sentencepiece.SentencePieceNormalizer(rule_name="nmt_nfkc").serialized_model_proto()
+    charsmap = dict(sp._fields(dict(sp._fields(normalizer))[3]))[2]
+    assert len(charsmap) > 100_000
+    data += put(2, trainer) + put(3, put(1, b"nmt_nfkc") + put(2, charsmap) + varint(3 << 3) + varint(1) + varint(4 << 3) + varint(1) + varint(5 << 3) + varint(1))
+    path.write_bytes(data)
+    return str(path)
+
+
+def test_unigram_with_character_map_on_whole_table(spark, sf_dir, tmp_path):
+    path = full_unigram(tmp_path / "u.model")
+    peer = sentencepiece.SentencePieceProcessor(model_file=path)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    more = [(-1, "ﬁne ① Ｗｉｄｅ  spaces\u3000here\u00a0too"), (-2, "e\u0301 \u00bd \u2460"), (-3, " lead and trail "), (-4, "\t tab\n\nline \u200b zero"), (-5, "日本語 🙂 ｶﾅ")]
+    every = docs.select("doc_id", "text").unionByName(spark.createDataFrame(more, "doc_id bigint, text string"))
+    rows = sp.encode(every, path=path).collect()
+    want = {r.doc_id: peer.encode(r.text) for r in every.collect()}
+    assert {r.doc_id: list(r.ids) for r in rows} == want and all(r.parity for r in rows)
+    texts = {r.doc_id: r.text for r in every.collect()}
+    assert all(r.round_trip == (peer.decode(want[r.doc_id]) == texts[r.doc_id]) for r in rows)
+
+
+def test_what_disagrees_is_told(monkeypatch):
+    one = sp.Codec(sp.MODEL)
+    texts = ["some words", "", "other words here", "  spaces"]
+    ids, sizes, same = one.encode_all(texts)
+    assert same.all() and one.come_back(texts, ids, sizes).all()
+    wrong = ids.copy()
+    wrong[int(sizes[0])] += 1
+    assert one._agrees(texts, wrong, sizes).tolist() == [True, True, False, True] == one.come_back(texts, wrong, sizes).tolist()
+    assert one._agrees(texts, ids[:-1], sizes - [0, 0, 0, 1]).tolist() == [True, True, True, False]
+    assert one.come_back(["some wordz", "", "other words here!", "  spaces"], ids, sizes).tolist() == [False, True, False, True]
+
+
 def test_edges(spark):
     schema = "doc_id bigint, text string, ids string, parity int"
     assert sp.encode(spark.createDataFrame([], schema)).count() == 0
