@@ -7,18 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from termlake.engine import Engine
 from termlake.functions import text as T
-from termlake.operators import evaluate, index, maintain, search
+from termlake.operators import evaluate, index, maintain, report, search
 from termlake.params import BM25Params
 from termlake.plans import compose
 from termlake.sources import corpus
 from termlake.storage import new_folder
+from termlake.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 OTHER = BM25Params(k1=2.0, b=0.5)
-WORDS = ("system", "data")
+WORDS = ("worthless", "thre")
 UNKNOWN = "xyzzyq"
 
 
@@ -60,32 +62,33 @@ def _tokens(c: str) -> str:
     return f"list_filter(regexp_extract_all(lower({c}), '[\\p{{L}}\\p{{N}}_]+'), lambda x: regexp_full_match(x, '[a-z0-9]+'))"
 
 
-def _terms(c: str) -> str:
-    return f"list_filter({_tokens(c)}, lambda x: x NOT IN ({_STOP}))"
+def _terms(c: str, stop: bool = True, each: str = "") -> str:
+    found = f"list_filter({_tokens(c)}, lambda x: x NOT IN ({_STOP}))" if stop else _tokens(c)
+    return f"list_transform({found}, lambda x: {each})" if each else found
 
 
 _DOCS = "SELECT doc_id, text FROM documents"
 _BENCH = "SELECT item_id AS query_id, text AS query FROM benchmark"
 
 
-def _with(docs: str = _DOCS, queries: str = _BENCH, p: BM25Params = BM25Params()) -> str:
-    """Common tables: tok, st, post, df, idx, q, sc."""
+def _with(docs: str = _DOCS, queries: str = _BENCH, p: BM25Params = BM25Params(), stop: bool = True, each: str = "") -> str:
+    """Common tables: tok, st, post, df, idx, q, sc. What several of them use is computed once."""
     return f"""
     WITH d AS ({docs}),
-     tok AS (SELECT doc_id, {_terms("coalesce(text, '')")} AS t FROM d),
+     tok AS MATERIALIZED (SELECT doc_id, {_terms("coalesce(text, '')", stop, each)} AS t FROM d),
      st AS (SELECT count(*) AS n, sum(len(t)) AS total_len, avg(len(t)) AS avgdl FROM tok),
-     post AS (SELECT term, doc_id, dl, count(*) AS tf FROM (SELECT doc_id, len(t) AS dl, unnest(t) AS term FROM tok) GROUP BY ALL),
-     df AS (SELECT term, count(*) AS df, ln((n - count(*) + 0.5) / (count(*) + 0.5) + 1.0) AS idf FROM post, st GROUP BY term, n),
-     idx AS (SELECT term, doc_id, idf * (tf * ({p.k1} + 1)) / (tf + {p.k1} * (1 - {p.b} + {p.b} * (dl / avgdl))) AS impact FROM post JOIN df USING (term), st),
+     post AS MATERIALIZED (SELECT term, doc_id, dl, count(*) AS tf FROM (SELECT doc_id, len(t) AS dl, unnest(t) AS term FROM tok) GROUP BY ALL),
+     df AS MATERIALIZED (SELECT term, count(*) AS df, ln((n - count(*) + 0.5) / (count(*) + 0.5) + 1.0) AS idf FROM post, st GROUP BY term, n),
+     idx AS MATERIALIZED (SELECT term, doc_id, idf * (tf * ({p.k1} + 1)) / (tf + {p.k1} * (1 - {p.b} + {p.b} * (dl / avgdl))) AS impact FROM post JOIN df USING (term), st),
      qs AS ({queries}),
-     q AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT query_id, unnest({_terms("query")}) AS term FROM qs) GROUP BY ALL),
+     q AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT query_id, unnest({_terms("query", stop, each)}) AS term FROM qs) GROUP BY ALL),
      sc AS (SELECT query_id, doc_id, sum(qtf * impact) AS score FROM q JOIN idx USING (term) GROUP BY ALL),
      ranked AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank, doc_id, score FROM sc)"""
 
 
 _TOP = " SELECT query_id, rank, doc_id, round(score, 6) AS score FROM ranked WHERE rank <= 10"
 _ONE = " SELECT rank, doc_id, round(score, 6) AS score FROM ranked WHERE rank <= 10"
-FLAGSHIP = "distributed query planning and shuffle of large data in a storage system"
+FLAGSHIP = "thanedble and thintion in a licensed thre, the worthless erhation, thre"
 
 
 def _single(text: str) -> str:
@@ -167,10 +170,12 @@ SQL["lead_snippets"] = "SELECT doc_id, concat(trim(replace(substring(text, 1, 20
 
 @query
 def strip_markup(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", T.strip_markup(F.col("text")).alias("plain"))
+    """Of the texts between tags, with a tag before each space that follows a full stop."""
+    marked = F.concat(F.lit("[b]"), F.regexp_replace("text", r"\. ", ". [i x=1] "), F.lit("[/b][] [open"))
+    return table(spark, sf_dir, "documents").select("doc_id", T.strip_markup(marked).alias("plain"))
 
 
-SQL["strip_markup"] = r"SELECT doc_id, regexp_replace(text, '\[/?[^\]]+\]', '', 'g') AS plain FROM documents"
+SQL["strip_markup"] = r"SELECT doc_id, regexp_replace('[b]' || replace(text, '. ', '. [i x=1] ') || '[/b][] [open', '\[/?[^\]]+\]', '', 'g') AS plain FROM documents"
 
 
 @query
@@ -308,12 +313,12 @@ SQL["term_lookup"] = _with() + f""" SELECT w.term, coalesce(df, 0) AS df, round(
 def frequency_lookup(spark, sf_dir):
     """Counts of two terms in every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id")
-    pairs = docs.crossJoin(F.broadcast(spark.createDataFrame([("system",), (UNKNOWN,)], "term string")))  # two rows
+    pairs = docs.crossJoin(F.broadcast(spark.createDataFrame([(WORDS[1],), (UNKNOWN,)], "term string")))  # two rows
     return search.frequency_lookup(full_index(spark, sf_dir), pairs)
 
 
 SQL["frequency_lookup"] = _with() + f""" SELECT w.term, w.doc_id, coalesce(tf, 0) AS tf
-    FROM (SELECT doc_id, term FROM documents, (SELECT 'system' AS term UNION ALL SELECT '{UNKNOWN}')) w LEFT JOIN post ON post.term = w.term AND post.doc_id = w.doc_id"""
+    FROM (SELECT doc_id, term FROM documents, (SELECT '{WORDS[1]}' AS term UNION ALL SELECT '{UNKNOWN}')) w LEFT JOIN post ON post.term = w.term AND post.doc_id = w.doc_id"""
 
 
 @query
@@ -448,6 +453,115 @@ SQL["search_with_titles"] = _with(f"SELECT page_id AS doc_id, {_TITLE} || ' ' ||
     SELECT query_id, rank, page_id, {_TITLE} AS title, round(score, 6) AS score FROM ranked JOIN pages ON page_id = doc_id WHERE rank <= 10"""
 
 
+@query
+def search_keep_stop_words(spark, sf_dir):
+    """An index and queries that keep their stop words."""
+    held = index.build(documents(spark, sf_dir), analyzer=T.Analyzer(stop=False))
+    return search.search_batch(held, asked(spark, sf_dir))
+
+
+SQL["search_keep_stop_words"] = _with(stop=False) + _TOP
+
+
+@query
+def search_stemmed(spark, sf_dir):
+    """The first five letters of each word, in documents and queries; the index is saved and loaded."""
+    held = index.build(documents(spark, sf_dir), analyzer=T.Analyzer(normalize="prefix5")).save(new_folder(spark, "index"))
+    return search.search_batch(held, asked(spark, sf_dir))
+
+
+SQL["search_stemmed"] = _with(each="x[1:5]") + _TOP
+
+
+@query
+def normalized_terms(spark, sf_dir):
+    """Each document's words in their singular."""
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", F.posexplode(T.Analyzer(normalize="singular").terms(F.col("text"))).alias("position", "term")).withColumn("position", F.col("position").cast("bigint"))
+
+
+_SINGULAR = "CASE WHEN regexp_matches(x, '^.{2,}ies$') THEN regexp_replace(x, 'ies$', 'y') WHEN regexp_matches(x, '^.*[a-rt-z0-9]{2}s$') THEN regexp_replace(x, 's$', '') ELSE x END"
+SQL["normalized_terms"] = f"SELECT doc_id, unnest(range(len(t))) AS position, unnest(t) AS term FROM (SELECT doc_id, {_terms('text', True, _SINGULAR)} AS t FROM documents)"
+
+
+@query
+def search_cached_index(spark, sf_dir):
+    """The index that is kept by the corpus's fingerprint: the second time it is the stored one."""
+    folder = new_folder(spark, "indexes")
+    for _ in range(2):
+        held = index.cached(documents(spark, sf_dir), folder)
+    return search.search_batch(held, asked(spark, sf_dir))
+
+
+SQL["search_cached_index"] = SQL["search_batch_top10"]
+
+
+@query
+def search_cached_results(spark, sf_dir):
+    """A query asked twice: the second time its results come from the cache."""
+    engine = Engine(documents(spark, sf_dir))
+    found = [engine.results(FLAGSHIP) for _ in range(2)][1]
+    counts = engine.cache.stats()
+    return spark.createDataFrame([(r.rank, r.doc_id, r.score, counts["hits"], counts["misses"]) for r in found], "rank bigint, doc_id bigint, score double, hits int, misses int")
+
+
+SQL["search_cached_results"] = _with(queries=_single(FLAGSHIP)) + _ONE.replace(" FROM", ", 1::INTEGER AS hits, 1::INTEGER AS misses FROM")
+
+
+@query
+def search_streamed(spark, sf_dir):
+    """The documents arrive as a stream, in two parts with a compaction between them."""
+    folder = new_folder(spark, "stream")
+    docs = documents(spark, sf_dir).select("id", "title", "content")
+    source = spark.readStream.schema("id bigint, title string, content string")
+    for k in (0, 1):
+        docs.where(F.pmod("id", F.lit(2)) == k).write.mode("append").parquet(f"{folder}/in")
+        ingest.ingest(source.parquet(f"{folder}/in"), f"{folder}/out", f"{folder}/state").awaitTermination()
+        if k == 0:
+            ingest.compact(spark, f"{folder}/out")
+    return search.search_batch(ingest.arrived(spark, f"{folder}/out"), asked(spark, sf_dir))
+
+
+SQL["search_streamed"] = SQL["search_batch_top10"]
+
+
+@query
+def composed_steps(spark, sf_dir):
+    """Three steps as one: terms, their number, those with at least ten."""
+    steps = compose.chain(lambda d: d.select("doc_id", T.terms(F.col("text")).alias("t")), lambda d: d.select("doc_id", F.size("t").cast("bigint").alias("n")), lambda d: d.where("n >= 10"))
+    return (steps >> compose.identity)(table(spark, sf_dir, "documents"))
+
+
+SQL["composed_steps"] = f"SELECT doc_id, n FROM (SELECT doc_id, len({_terms('text')}) AS n FROM documents) WHERE n >= 10"
+
+
+@query
+def lifted_functions(spark, sf_dir):
+    """A function over the elements of an array, and over values that may be missing."""
+    docs = table(spark, sf_dir, "documents")
+    lengths = compose.over_list(F.length)(F.array_distinct(T.terms(F.col("text"))))
+    maybe = compose.over_optional(lambda v: F.coalesce(v + 1, F.lit(-1)))(F.nullif("n_chars", F.length(F.regexp_replace("text", "[0-9]", ""))))
+    return docs.select("doc_id", F.aggregate(lengths, F.lit(0), lambda s, x: s + x).cast("bigint").alias("total"), maybe.cast("bigint").alias("maybe"))
+
+
+SQL["lifted_functions"] = f"""
+    SELECT doc_id, coalesce(list_sum(list_transform(list_distinct({_terms("text")}), lambda x: length(x))), 0)::BIGINT AS total,
+           (CASE WHEN nullif(n_chars, length(regexp_replace(text, '[0-9]', '', 'g'))) IS NULL THEN NULL ELSE n_chars + 1 END)::BIGINT AS maybe FROM documents"""
+
+
+@query
+def lifted_over_tree(spark, sf_dir):
+    """A function over the values of the tree of regions and nations, whose shape stays."""
+    region = table(spark, sf_dir, "region").select(F.col("r_regionkey").cast("bigint").alias("node"), F.lit(None).cast("bigint").alias("parent"), F.lit(0).alias("depth"), F.col("r_name").alias("value"))
+    nation = table(spark, sf_dir, "nation").select((F.col("n_nationkey") + 100).cast("bigint").alias("node"), F.col("n_regionkey").cast("bigint").alias("parent"), F.lit(1).alias("depth"), F.col("n_name").alias("value"))
+    return compose.over_tree(region.unionByName(nation), F.lower)
+
+
+SQL["lifted_over_tree"] = """
+    SELECT r_regionkey::BIGINT AS node, NULL::BIGINT AS parent, 0::INTEGER AS depth, lower(r_name) AS value FROM region
+    UNION ALL SELECT n_nationkey + 100, n_regionkey::BIGINT, 1, lower(n_name) FROM nation"""
+
+
 # Maintenance
 
 
@@ -486,9 +600,9 @@ SQL["verbatim_judgments"] = "SELECT item_id AS query_id, doc_id FROM benchmark b
 
 @query
 def recall_ndcg_mrr(spark, sf_dir):
-    queries = asked(spark, sf_dir)
-    found = search.search_batch(full_index(spark, sf_dir), queries)
-    return evaluate.quality(found, evaluate.verbatim_judgments(table(spark, sf_dir, "documents"), queries), queries)
+    queries, held = asked(spark, sf_dir), full_index(spark, sf_dir)
+    judged = evaluate.verbatim_judgments(table(spark, sf_dir, "documents"), queries, index=held)
+    return evaluate.quality(search.search_batch(held, queries), judged, queries)
 
 
 _QUALITY = _with() + f""", judged AS ({SQL["verbatim_judgments"]}),
@@ -557,6 +671,94 @@ def jsonl_round_trip(spark, sf_dir):
 SQL["jsonl_round_trip"] = "SELECT doc_id, '' AS title, text AS content, lang, source FROM documents"
 
 
+@query
+def repeated_ids(spark, sf_dir):
+    """Conversations that have more than one turn: their ids wouldn't do for documents."""
+    return corpus.repeated_ids(table(spark, sf_dir, "conversations"), "conv_id").withColumnRenamed("count", "n")
+
+
+SQL["repeated_ids"] = "SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id HAVING count(*) > 1 OR conv_id IS NULL"
+
+
+@query
+def retrieval_set(spark, sf_dir):
+    """Documents, the benchmark's queries and graded judgments, written as a retrieval test set and read again: documents judged for a query."""
+    folder = new_folder(spark, "retrieval")
+    docs, queries = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    docs.select(F.col("doc_id").cast("string").alias("_id"), F.lit("").alias("title"), "text").write.json(f"{folder}/corpus.jsonl")
+    queries.select(F.col("item_id").cast("string").alias("_id"), "text").write.json(f"{folder}/queries.jsonl")
+    grades = table(spark, sf_dir, "labels").select((F.col("doc_id") % 7).cast("string").alias("query-id"), F.col("doc_id").cast("string").alias("corpus-id"), F.col("quality").alias("score"))
+    grades.unionByName(grades.limit(0)).write.option("sep", "\t").option("header", True).csv(f"{folder}/qrels/test.tsv")
+    held, asked_, judged = corpus.read_retrieval_set(spark, folder)
+    return judged.join(held.select(F.col("id").alias("doc_id"), F.length("content").alias("length")), "doc_id").join(asked_, "query_id", "left").select("query_id", "doc_id", "length", "query")
+
+
+SQL["retrieval_set"] = """
+    SELECT (l.doc_id % 7)::VARCHAR AS query_id, l.doc_id::VARCHAR AS doc_id, length(d.text)::INTEGER AS length, b.text AS query
+    FROM labels l JOIN documents d USING (doc_id) LEFT JOIN benchmark b ON b.item_id = l.doc_id % 7 WHERE l.quality > 0"""
+
+
+@query
+def query_file(spark, sf_dir):
+    """The benchmark's queries, each with documents that hold its text, as a file of queries that is read again."""
+    folder = new_folder(spark, "queries")
+    queries = asked(spark, sf_dir)
+    judged = evaluate.verbatim_judgments(table(spark, sf_dir, "documents"), queries).groupBy("query_id").agg(F.collect_list(F.col("doc_id").cast("string")).alias("relevant_docs"))
+    rows = queries.join(judged, "query_id").select(F.col("query_id").cast("string").alias("id"), F.col("query").alias("text"), "relevant_docs")
+    rows.write.json(folder)
+    read, relevant = corpus.read_queries(spark, folder)
+    return read.join(relevant, "query_id")
+
+
+SQL["query_file"] = f"SELECT query_id::VARCHAR AS query_id, text AS query, doc_id::VARCHAR AS doc_id FROM ({SQL['verbatim_judgments']}) JOIN benchmark ON item_id = query_id"
+
+
+@query
+def article_dump(spark, sf_dir):
+    """The pages as a dump of articles: the first 100 by id; the limit is the operator's."""
+    folder = new_folder(spark, "dump")
+    pages = table(spark, sf_dir, "pages")
+    pages.select(F.lpad(F.col("page_id").cast("string"), 9, "0").alias("id"), F.col("url").alias("title"), F.col("html").alias("text")).write.json(folder)
+    return corpus.read_dump(spark, folder, 100).select("id", "title", "content")
+
+
+SQL["article_dump"] = "SELECT lpad(page_id::VARCHAR, 9, '0') AS id, url AS title, html AS content FROM pages ORDER BY id LIMIT 100"
+
+
+@query
+def results_file(spark, sf_dir):
+    """Results as JSON lines, nulls too, read again."""
+    folder = new_folder(spark, "results")
+    found = search.search_batch(full_index(spark, sf_dir), asked(spark, sf_dir)).withColumn("note", F.when(F.col("rank") == 1, "best"))
+    report.save_results(found, folder)
+    return spark.read.schema("query_id bigint, rank bigint, doc_id bigint, score double, note string").json(folder)
+
+
+SQL["results_file"] = _with() + " SELECT query_id, rank, doc_id, round(score, 6) AS score, CASE WHEN rank = 1 THEN 'best' END AS note FROM ranked WHERE rank <= 10"
+
+
+@query
+def generated_corpus(spark, sf_dir):
+    """A generated document for each of the corpus's, and what all of them are made by: topic, number and length."""
+    made = corpus.generated(spark, table(spark, sf_dir, "documents").count())
+    words = F.split("content", " ")
+    return made.select("id", F.col("title") == F.concat(F.lit("Notes on "), F.variant_get("metadata", "$.topic", "string"), F.lit(" "), F.substring("id", 5, 20)), F.size(words), F.variant_get("metadata", "$.generated", "boolean")).toDF("id", "titled", "n_words", "generated")
+
+
+SQL["generated_corpus"] = "SELECT 'doc_' || (row_number() OVER () - 1) AS id, true AS titled, 40::INTEGER AS n_words, true AS generated FROM documents"
+
+
+@query
+def sample_documents(spark, sf_dir):
+    """The sample corpus, through dictionaries in memory and back."""
+    back = corpus.from_rows(spark, corpus.to_rows(corpus.sample_corpus(spark)))
+    return back.select("id", "title", F.variant_get("metadata", "$.position", "int").alias("position"), F.variant_get("metadata", "$.topic", "string").alias("topic"))
+
+
+SQL["sample_documents"] = """SELECT 'd' || position AS id, title, position::INTEGER AS position, topic FROM (VALUES (1, 'Inverted indexes', 'search'), (2, 'Ranking functions', 'search'), (3, 'Columnar files', 'engine'),
+    (4, 'Shuffle joins', 'engine'), (5, 'Broadcast joins', 'engine'), (6, 'Stop words', 'search'), (7, 'Recall and precision', 'search'), (8, 'Streams of documents', 'search'), (9, 'Query planning', 'engine'), (10, 'Tokenization', 'search')) v(position, title, topic)"""
+
+
 # Unfolding
 
 

@@ -7,21 +7,25 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from termlake.functions.text import highlight, snippet
+from termlake.functions.text import Analyzer, highlight, snippet
 from termlake.operators import index as I
 from termlake.operators import maintain
 from termlake.operators import search as S
+from termlake.operators.report import Phases
 from termlake.params import BM25Params, checked_k
 from termlake.plans.cache import ResultCache
 
 
 class Engine:
-    """Searches over a corpus ``id, title, content`` (further columns come back with results)."""
+    """Searches over a corpus ``id, title, content`` (further columns come back with results). ``phases`` has the seconds that building, saving
+    and searching took."""
 
-    def __init__(self, docs: DataFrame, params: BM25Params = BM25Params(), cache_size: int = 1000, index: I.LexicalIndex | None = None):
+    def __init__(self, docs: DataFrame, params: BM25Params = BM25Params(), cache_size: int = 1000, index: I.LexicalIndex | None = None, analyzer: Analyzer = Analyzer()):
         self.docs = docs
+        self.phases = Phases()
         self.params = params if index is None else index.params
-        self.index = index or I.build(docs, params=params)
+        with self.phases("build"):
+            self.index = index or I.build(docs, params=params, analyzer=analyzer)
         self.cache = ResultCache(cache_size)
 
     @property
@@ -35,7 +39,8 @@ class Engine:
 
     def save(self, path: str) -> None:
         """The index is stored, and used from there on; documents aren't part of it."""
-        self.index = self.index.save(path)
+        with self.phases("save"):
+            self.index = self.index.save(path)
 
     def search(self, query: str | None, k: int = 10, exclude: DataFrame | None = None) -> DataFrame:
         """``rank, doc_id, score`` and the documents' columns."""
@@ -47,7 +52,8 @@ class Engine:
         key = query, checked_k(k)
         found = self.cache.get(key)
         if found is None:
-            found = self.search(query, k).orderBy("rank").collect()
+            with self.phases("search"):
+                found = self.search(query, k).orderBy("rank").collect()
             if found and self.cache.capacity:
                 self.cache.put(key, found)
         return list(found)
@@ -72,7 +78,8 @@ class Engine:
         return self.search(query, k).withColumn("snippet", highlight(part, words, mark) if mark else part)
 
     def _renewed(self, docs: DataFrame) -> None:
-        self.docs, self.index = docs, I.build(docs, params=self.params)
+        with self.phases("build"):
+            self.docs, self.index = docs, I.build(docs, params=self.params, analyzer=self.index.analyzer)
         self.cache.clear()
 
     def add(self, more: DataFrame) -> None:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -41,6 +42,29 @@ def terms(text: Column, stop: bool = True, normalize: Callable[[Column], Column]
     return found if normalize is None else F.transform(found, normalize)
 
 
+#: Normalizers by name; an index that is saved keeps the name.
+NORMALIZERS: dict[str, Callable[[Column], Column]] = {
+    "singular": lambda word: F.regexp_replace(F.regexp_replace(word, r"(?<=[a-z0-9]{2})ies$", "y"), r"(?<=[a-rt-z0-9][a-rt-z0-9])s$", ""),
+    "prefix5": lambda word: F.substring(word, 1, 5),
+}
+
+
+@dataclass(frozen=True)
+class Analyzer:
+    """How texts become terms, documents and queries alike: whether stop words go, and what is made of each word (a name in
+    ``NORMALIZERS``, or a function of a column; an index with a function can't be saved)."""
+
+    stop: bool = True
+    normalize: str | Callable[[Column], Column] | None = None
+
+    def __post_init__(self) -> None:
+        if isinstance(self.normalize, str) and self.normalize not in NORMALIZERS:
+            raise ValueError(f"no normalizer has the name {self.normalize!r}")
+
+    def terms(self, text: Column) -> Column:
+        return terms(text, self.stop, NORMALIZERS[self.normalize] if isinstance(self.normalize, str) else self.normalize)
+
+
 def term_runs(found: Column) -> Column:
     """Array with a string for each distinct term, the term as often as it occurs: counts without a shuffle, in the row."""
     return F.regexp_extract_all(F.array_join(F.sort_array(found), " "), F.lit(_RUN), F.lit(0))

@@ -5,17 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from termlake.operators.index import LexicalIndex, build
 from termlake.params import checked_k
-from termlake.storage import if_small
+from termlake.storage import if_small, stored
 
 
-def verbatim_judgments(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def verbatim_judgments(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", text_col: str = "text", index: LexicalIndex | None = None) -> DataFrame:
     """``query_id, doc_id`` where the document holds the query's text as it is.
 
-    Queries are compared with every document where it lies, if a count finds them few enough to broadcast.
+    A document that does has all terms of the query but those at its two ends, which may be parts of words there. So the documents of the
+    rarest such term are compared with the query, and no others. A query without one (a word or two) is compared with all. ``index``:
+    of these documents, with any parameters and an analyzer without a normalizer; by default one is made.
     """
-    wanted = if_small(queries.where(F.length("query") > 0).select("query_id", "query"))
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(wanted, F.contains(F.col("text"), F.col("query"))).select("query_id", "doc_id")
+    wanted = queries.where(F.length("query") > 0).select("query_id", "query")
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    if index is None:
+        index = build(texts, "doc_id", None, "text", check_ids=False)
+    word = r"[\p{L}\p{N}_]+"
+    inner = wanted.withColumn("term", F.explode_outer(F.array_distinct(index.analyzer.terms(F.regexp_replace("query", f"^{word}|{word}$", " ")))))
+    known = inner.where("term IS NOT NULL").join(index.term_stats.select("term", "df"), "term", "left")
+    rarest = known.groupBy("query_id", "query").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "term")).alias("x")).where("x.df > 0").select("query_id", "query", F.col("x.term").alias("term"))
+    counts = index.weights if index.counts is None else index.counts
+    near = stored(counts.select("term", "doc_id").join(if_small(rarest), "term").select("doc_id", "query_id", "query"))
+    holds = F.contains(F.col("text"), F.col("query"))
+    found = texts.join(if_small(near), "doc_id").where(holds).select("query_id", "doc_id")
+    short = if_small(inner.where("term IS NULL").select("query_id", "query"))
+    return found.unionByName(texts.join(short, holds).select("query_id", "doc_id"))
 
 
 def quality(found: DataFrame, judged: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:

@@ -1,18 +1,17 @@
 """The inverted index, as DataFrames.
 
-postings      term, doc_id, tf, dl, impact
+postings      term, doc_id, tf, dl, impact; stored with ``weight``, the impact before idf
 doc_stats     doc_id, dl; documents without terms too
 term_stats    term, df, idf, max_impact
 corpus_stats  one row: num_docs, total_len, avgdl, num_terms, nnz
 
 A document's terms are counted in its own row (sorted, then taken run by run), so no shuffle is needed for term
 frequencies; document frequencies are counted with partial sums, so a term that most documents have is no hot
-partition; only the join of postings with them may shuffle postings, once.
+partition; a saved index shuffles postings once, by ranges, and no join with the terms' statistics ever does.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,15 +19,15 @@ from pyspark.sql import functions as F
 
 from termlake.functions import text as T
 from termlake.params import BM25Params
-from termlake.storage import if_small, new_folder, stored
+from termlake.storage import new_folder, stored
 
 TABLES = ("postings", "doc_stats", "term_stats", "corpus_stats")
 
 
-def doc_runs(docs: DataFrame, id_col: str = "id", title_col: str | None = "title", content_col: str = "content", stop: bool = True, normalize: Callable[[Column], Column] | None = None) -> DataFrame:
+def doc_runs(docs: DataFrame, id_col: str = "id", title_col: str | None = "title", content_col: str = "content", analyzer: T.Analyzer = T.Analyzer()) -> DataFrame:
     """``doc_id, dl, runs``: a row for each document; all else follows from it."""
     title = F.col(title_col) if title_col else F.lit("")
-    found = docs.select(F.col(id_col).alias("doc_id"), T.terms(T.indexed_text(title, F.col(content_col)), stop, normalize).alias("terms"))
+    found = docs.select(F.col(id_col).alias("doc_id"), analyzer.terms(T.indexed_text(title, F.col(content_col))).alias("terms"))
     return found.select("doc_id", F.size("terms").cast("bigint").alias("dl"), T.term_runs(F.col("terms")).alias("runs"))
 
 
@@ -46,9 +45,14 @@ def length_norm(dl: Column, avgdl: Column, b: float) -> Column:
     return F.lit(1.0) - b + b * F.coalesce(F.try_divide(dl, avgdl), F.lit(0.0))
 
 
+def weight(tf: Column, dl: Column, avgdl: Column, p: BM25Params) -> Column:
+    """What a term adds to a document's score, before its idf."""
+    return (tf * (p.k1 + 1)) / (tf + p.k1 * length_norm(dl, avgdl, p.b))
+
+
 def impact(tf: Column, dl: Column, idf_: Column, avgdl: Column, p: BM25Params) -> Column:
     """What a term adds to a document's score."""
-    return idf_ * (tf * (p.k1 + 1)) / (tf + p.k1 * length_norm(dl, avgdl, p.b))
+    return idf_ * weight(tf, dl, avgdl, p)
 
 
 def doc_totals(doc_stats: DataFrame) -> DataFrame:
@@ -58,7 +62,7 @@ def doc_totals(doc_stats: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class LexicalIndex:
-    """The four tables, and the parameters that their impacts have."""
+    """The four tables, the parameters that their impacts have, and how texts become terms."""
 
     postings: DataFrame
     doc_stats: DataFrame
@@ -66,34 +70,51 @@ class LexicalIndex:
     corpus_stats: DataFrame
     params: BM25Params = BM25Params()
     counts: DataFrame | None = None  #: postings without impacts, where those are computed on demand; None if they are stored
+    weights: DataFrame | None = None  #: postings as they are stored, with impacts before idf; None if they aren't stored
+    analyzer: T.Analyzer = T.Analyzer()
+    kept: bool = False  #: whether counts come from stored runs, so that using them again tokenizes nothing
 
     @property
     def eager(self) -> bool:
-        return self.counts is None
+        return self.weights is not None
 
     @property
     def spark(self) -> SparkSession:
         return self.postings.sparkSession
 
     def vocabulary_ids(self) -> DataFrame:
-        """``term, term_id`` in order of the terms, from 0; by ranges, without one task that sorts all."""
+        """``term, term_id`` in order of the terms, from 0: terms are sorted by ranges, and each range begins after what the ones before hold."""
         from pyspark.sql import Window
 
-        keyed = self.term_stats.select("term", F.substring("term", 1, 2).alias("head"))
-        before = keyed.groupBy("head").count().select("head", (F.sum("count").over(Window.orderBy("head")) - F.col("count")).alias("before"))  # at most 37² heads
-        nth = F.row_number().over(Window.partitionBy("head").orderBy("term"))
-        return keyed.join(if_small(before), "head").select("term", (F.col("before") + nth - 1).alias("term_id"))
+        ranged = self.term_stats.select("term").repartitionByRange("term").sortWithinPartitions("term")
+        place = F.monotonically_increasing_id()
+        held = stored(ranged.select("term", F.shiftright(place, 33).alias("part"), place.bitwiseAND((1 << 33) - 1).alias("nth")))
+        each = held.groupBy("part").agg(F.count(F.lit(1)).alias("n"))  # one row a partition
+        before = each.select("part", (F.coalesce(F.sum("n").over(Window.orderBy("part")), F.lit(0)) - F.col("n")).alias("before"))
+        return held.join(F.broadcast(before), "part").select("term", (F.col("before") + F.col("nth")).alias("term_id"))
 
     def save(self, path: str) -> LexicalIndex:
-        """The tables as Parquet under ``path``; postings by ranges of (term, doc_id), sorted, so that a search reads the
-        row groups of its terms only and a frequent term is spread over files. The stored index is returned."""
-        self.doc_stats.write.mode("overwrite").parquet(f"{path}/doc_stats")
-        self.corpus_stats.write.mode("overwrite").parquet(f"{path}/corpus_stats")
-        by_term = self.postings.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id")
-        by_term.write.mode("overwrite").parquet(f"{path}/postings")
-        self.term_stats.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/term_stats")
-        params = [(self.params.k1, self.params.b)]
-        self.spark.createDataFrame(params, "k1 double, b double").coalesce(1).write.mode("overwrite").parquet(f"{path}/params")
+        """The tables as Parquet under ``path``; the stored index is returned.
+
+        Texts are tokenized once, if they weren't yet: counts are stored, and all tables follow from them. Postings are shuffled once, by ranges
+        of (term, doc_id), and sorted, so that a search reads the row groups of its terms only and a frequent term is spread over files. They
+        hold impacts before idf, which needs no join; idf comes from the terms of a query.
+        """
+        if callable(self.analyzer.normalize):
+            raise ValueError("only an index with a normalizer from NORMALIZERS can be saved")
+        held = self
+        if self.counts is not None and not self.kept:
+            held = _complete(stored(self.counts), stored(self.doc_stats), self.params, analyzer=self.analyzer)
+        held.doc_stats.write.mode("overwrite").parquet(f"{path}/doc_stats")
+        held.term_stats.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/term_stats")
+        held.corpus_stats.write.mode("overwrite").parquet(f"{path}/corpus_stats")
+        rows = held.weights
+        if rows is None:
+            totals = F.broadcast(held.corpus_stats.select("avgdl"))  # one row
+            rows = held.counts.crossJoin(totals).select("term", "doc_id", "tf", "dl", weight(F.col("tf"), F.col("dl"), F.col("avgdl"), held.params).alias("weight"))
+        rows.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
+        how = [(self.params.k1, self.params.b, self.analyzer.stop, self.analyzer.normalize)]
+        self.spark.createDataFrame(how, "k1 double, b double, stop boolean, normalize string").coalesce(1).write.mode("overwrite").parquet(f"{path}/params")
         return load(self.spark, path)
 
 
@@ -102,15 +123,31 @@ def load(spark: SparkSession, path: str) -> LexicalIndex:
     from pyspark.errors import AnalysisException
 
     try:
-        k1, b = spark.read.parquet(f"{path}/params").first()
-        return LexicalIndex(*(spark.read.parquet(f"{path}/{t}") for t in TABLES), params=BM25Params(k1, b))
+        how = spark.read.parquet(f"{path}/params").first()
+        weights, docs, terms, corpus = (spark.read.parquet(f"{path}/{t}") for t in TABLES)
     except AnalysisException as e:
         if "PATH_NOT_FOUND" in (e.getCondition() or ""):
             raise FileNotFoundError(path) from e
         raise
+    postings = weights.join(terms.select("term", "idf"), "term").select("term", "doc_id", "tf", "dl", (F.col("idf") * F.col("weight")).alias("impact"))
+    return LexicalIndex(postings, docs, terms, corpus, BM25Params(how.k1, how.b), weights=weights, analyzer=T.Analyzer(how.stop, how.normalize))
+
+
+def cached(docs: DataFrame, folder: str, id_col: str = "id", params: BM25Params = BM25Params(), analyzer: T.Analyzer = T.Analyzer(), **options) -> LexicalIndex:
+    """The index of a corpus from ``folder``, where one is kept for each corpus (by its fingerprint), parameters and analyzer; it is built and
+    saved there if it isn't yet."""
+    from termlake.operators.evaluate import fingerprint
+
+    text = T.indexed_text(F.col(options.get("title_col", "title")) if options.get("title_col", "title") else F.lit(""), F.col(options.get("content_col", "content")))
+    mark = fingerprint(docs.select(F.col(id_col).alias("id"), text.alias("text")), "id", "text").first()
+    path = f"{folder.rstrip('/')}/{mark.n}-{mark.fingerprint:x}-k{params.k1}-b{params.b}-{'stop' if analyzer.stop else 'all'}-{analyzer.normalize or 'plain'}"
+    try:
+        return load(docs.sparkSession, path)
+    except FileNotFoundError:
+        return build(docs, id_col, params=params, analyzer=analyzer, **options).save(path)
 
 
-def _complete(counts: DataFrame, doc_stats: DataFrame, params: BM25Params, terms_at: str | None = None) -> LexicalIndex:
+def _complete(counts: DataFrame, doc_stats: DataFrame, params: BM25Params, terms_at: str | None = None, analyzer: T.Analyzer = T.Analyzer(), kept: bool = False) -> LexicalIndex:
     totals = F.broadcast(doc_totals(doc_stats))  # one row
     one = impact(F.col("tf"), F.col("dl"), F.lit(1.0), F.col("avgdl"), params)
     best = counts.crossJoin(totals).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.max(one).alias("most"), F.max("num_docs").alias("n"))
@@ -120,11 +157,11 @@ def _complete(counts: DataFrame, doc_stats: DataFrame, params: BM25Params, terms
     stats = totals.crossJoin(terms.agg(F.count(F.lit(1)).alias("num_terms"), F.coalesce(F.sum("df"), F.lit(0)).alias("nnz")))
     joined = counts.join(terms.select("term", "idf"), "term").crossJoin(totals)
     postings = joined.select("term", "doc_id", "tf", "dl", impact(F.col("tf"), F.col("dl"), F.col("idf"), F.col("avgdl"), params).alias("impact"))
-    return LexicalIndex(postings, doc_stats, terms, stats, params, counts)
+    return LexicalIndex(postings, doc_stats, terms, stats, params, counts, analyzer=analyzer, kept=kept)
 
 
-def build(docs: DataFrame, id_col: str = "id", title_col: str | None = "title", content_col: str = "content", params: BM25Params = BM25Params(), keep: bool = True, check_ids: bool = True, **options) -> LexicalIndex:
-    """The index of a corpus.
+def build(docs: DataFrame, id_col: str = "id", title_col: str | None = "title", content_col: str = "content", params: BM25Params = BM25Params(), keep: bool = True, check_ids: bool = True, analyzer: T.Analyzer = T.Analyzer()) -> LexicalIndex:
+    """The index of a corpus. Its analyzer makes terms of documents, and later of queries.
 
     With ``keep``, texts are tokenized once: counts go to the shared folder, and everything else is computed from there, so
     neither a lost executor nor a second use of the index tokenizes again. Without, the tables are plans over ``docs``.
@@ -132,12 +169,12 @@ def build(docs: DataFrame, id_col: str = "id", title_col: str | None = "title",
     """
     from termlake.sources.corpus import distinct_ids
 
-    runs = doc_runs(docs, id_col, title_col, content_col, **options)
+    runs = doc_runs(docs, id_col, title_col, content_col, analyzer)
     if not keep:
-        return _complete(term_counts(runs), runs.select("doc_id", "dl"), params)
+        return _complete(term_counts(runs), runs.select("doc_id", "dl"), params, analyzer=analyzer)
     folder = new_folder(docs.sparkSession, "index")
     runs = stored(runs, f"{folder}/runs")
     doc_stats = runs.select("doc_id", "dl")
     if check_ids:
         distinct_ids(doc_stats, "doc_id")
-    return _complete(term_counts(runs), doc_stats, params, f"{folder}/term_stats")
+    return _complete(term_counts(runs), doc_stats, params, f"{folder}/term_stats", analyzer, True)

@@ -5,12 +5,14 @@ ordered by score (rounded to 9 digits, so that the order of a sum's parts doesn'
 
 The terms of all queries, with their statistics, are the small side: they are broadcast where a count finds them small, and
 postings of other terms are never shuffled. What is shuffled are partial sums of candidates, and for the ranking at most k
-rows a query from each partition. With stored impacts (an index that was saved) scoring is a sum of a column; otherwise,
-and for other parameters than the index has, the same score is computed from counts and lengths.
+rows a query from each partition. With stored impacts (an index that was saved) scoring is a sum of a column, times the idf that a query's
+term brings; otherwise, and for other parameters than the index has, the same score is computed from counts and lengths.
 """
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,9 +24,9 @@ from termlake.storage import if_small
 DIGITS = 6
 
 
-def query_terms(queries: DataFrame, stop: bool = True) -> DataFrame:
+def query_terms(queries: DataFrame, analyzer: T.Analyzer = T.Analyzer()) -> DataFrame:
     """``query_id, term, qtf`` from ``query_id, query``; nothing for queries that are null, empty or all stop words."""
-    runs = queries.select("query_id", F.explode(T.term_runs(T.terms(F.col("query"), stop))).alias("run"))
+    runs = queries.select("query_id", F.explode(T.term_runs(analyzer.terms(F.col("query")))).alias("run"))
     each = runs.select("query_id", T.run_term(F.col("run")).alias("term"), T.run_count(F.col("run")).alias("qtf"))
     return each.groupBy("query_id", "term").agg(F.sum("qtf").alias("qtf"))
 
@@ -32,17 +34,19 @@ def query_terms(queries: DataFrame, stop: bool = True) -> DataFrame:
 def matches(index: LexicalIndex, asked: DataFrame, params: BM25Params | None = None) -> DataFrame:
     """``query_id, doc_id, term, qtf, impact``: the postings that queries touch."""
     if index.eager and params in (None, index.params):
-        return index.postings.select("term", "doc_id", "impact").join(if_small(asked), "term")
+        known = asked.join(index.term_stats.select("term", "idf"), "term")
+        found = index.weights.select("term", "doc_id", "weight").join(if_small(known), "term")
+        return found.select("query_id", "doc_id", "term", "qtf", (F.col("idf") * F.col("weight")).alias("impact"))
     p = params or index.params
     known = asked.join(index.term_stats.select("term", "idf"), "term").crossJoin(F.broadcast(index.corpus_stats.select("avgdl")))  # one row
-    counts = index.counts if index.counts is not None else index.postings.select("term", "doc_id", "tf", "dl")
+    counts = index.counts if index.counts is not None else index.weights.select("term", "doc_id", "tf", "dl")
     joined = counts.join(if_small(known), "term")
     return joined.select("query_id", "doc_id", "term", "qtf", impact(F.col("tf"), F.col("dl"), F.col("idf"), F.col("avgdl"), p).alias("impact"))
 
 
 def candidates(index: LexicalIndex, asked: DataFrame) -> DataFrame:
     """``query_id, doc_id`` of the documents with any of the terms."""
-    source = index.postings if index.counts is None else index.counts
+    source = index.weights if index.counts is None else index.counts
     return source.select("term", "doc_id").join(if_small(asked.select("query_id", "term")), "term").select("query_id", "doc_id").distinct()
 
 
@@ -67,7 +71,7 @@ def search_batch(index: LexicalIndex, queries: DataFrame, k: int = 10, exclude:
     ``exclude`` (query_id, doc_id): pairs that were seen and don't come again. A query without terms has no rows.
     """
     checked_k(k)
-    scored = scores(index, query_terms(queries), params)
+    scored = scores(index, query_terms(queries, index.analyzer), params)
     if exclude is not None:
         scored = scored.join(exclude.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti")
     return top(scored, k)
@@ -77,10 +81,11 @@ def search(index: LexicalIndex, query: str | None, k: int = 10, exclude: DataFra
     """``rank, doc_id, score`` for one query. Its terms go to the scan as a filter; ``exclude`` has ``doc_id``."""
     checked_k(k)
     spark = index.spark
-    weights = {r.term: r.qtf for r in query_terms(spark.range(1).select(F.lit(0).alias("query_id"), F.lit(query).alias("query"))).collect()}
+    weights = {r.term: r.qtf for r in query_terms(spark.range(1).select(F.lit(0).alias("query_id"), F.lit(query).alias("query")), index.analyzer).collect()}
     listed = F.col("term").isin(*weights)
     asked = spark.createDataFrame([(0, t, q) for t, q in weights.items()], "query_id int, term string, qtf bigint")
-    narrow = LexicalIndex(index.postings.where(listed), index.doc_stats, index.term_stats.where(listed), index.corpus_stats, index.params, None if index.counts is None else index.counts.where(listed))
+    some = lambda df: None if df is None else df.where(listed)
+    narrow = replace(index, postings=some(index.postings), term_stats=some(index.term_stats), counts=some(index.counts), weights=some(index.weights))
     scored = scores(narrow, asked, params).select("doc_id", "score")
     if exclude is not None:
         scored = scored.join(exclude.select("doc_id"), "doc_id", "left_anti")
@@ -97,7 +102,7 @@ def with_documents(found: DataFrame, docs: DataFrame, id_col: str = "id") -> Dat
 def rank_documents(index: LexicalIndex, queries: DataFrame, pairs: DataFrame, params: BM25Params | None = None) -> DataFrame:
     """``query_id, rank, doc_id, score`` of the given pairs (query_id, doc_id), all of them: without any term the score is 0."""
     wanted = pairs.select("query_id", "doc_id").distinct()
-    scored = wanted.join(scores(index, query_terms(queries), params), ["query_id", "doc_id"], "left").fillna(0.0, ["score"])
+    scored = wanted.join(scores(index, query_terms(queries, index.analyzer), params), ["query_id", "doc_id"], "left").fillna(0.0, ["score"])
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(*best_first()))
     return scored.select("query_id", place.cast("bigint").alias("rank"), "doc_id", F.round("score", DIGITS).alias("score"))
 
@@ -105,7 +110,7 @@ def rank_documents(index: LexicalIndex, queries: DataFrame, pairs: DataFrame, pa
 def explain(index: LexicalIndex, queries: DataFrame, pairs: DataFrame, params: BM25Params | None = None) -> DataFrame:
     """``query_id, doc_id, term, term_score``: what each distinct term of the query adds once to the document's score, 0 for terms
     that the document hasn't or nobody knows."""
-    asked = query_terms(queries)
+    asked = query_terms(queries, index.analyzer)
     wanted = pairs.select("query_id", "doc_id").distinct().join(asked.select("query_id", "term"), "query_id")
     parts = matches(index, asked, params).select("query_id", "doc_id", "term", "impact")
     joined = wanted.join(parts, ["query_id", "doc_id", "term"], "left")
@@ -114,7 +119,7 @@ def explain(index: LexicalIndex, queries: DataFrame, pairs: DataFrame, params: B
 
 def posting_list(index: LexicalIndex, terms: DataFrame) -> DataFrame:
     """``term, doc_id, tf`` of the given terms; nothing for unknown ones."""
-    source = index.postings if index.counts is None else index.counts
+    source = index.weights if index.counts is None else index.counts
     return source.select("term", "doc_id", "tf").join(if_small(terms.select("term").distinct()), "term", "left_semi")
 
 

@@ -75,9 +75,14 @@ def from_pages(pages: DataFrame) -> DataFrame:
     return pages.select(F.col("page_id").alias("id"), page_title(F.col("html")).alias("title"), page_text(F.col("html")).alias("content"), F.to_variant_object(F.struct("url")).alias("metadata"))
 
 
+def repeated_ids(docs: DataFrame, id_col: str = "id") -> DataFrame:
+    """The id and ``count`` of ids that occur twice or more, or are null."""
+    return docs.groupBy(id_col).count().where(F.col(id_col).isNull() | (F.col("count") > 1))
+
+
 def distinct_ids(docs: DataFrame, id_col: str = "id") -> DataFrame:
     """``docs``; an id that occurs twice, or null, is an error, raised here."""
-    bad = docs.groupBy(id_col).count().where(F.col(id_col).isNull() | (F.col("count") > 1)).first()
+    bad = repeated_ids(docs, id_col).first()
     if bad is not None:
         raise ValueError(f"document ids must be distinct and not null; {bad[0]!r} occurs {bad[1]} times")
     return docs
@@ -120,10 +125,10 @@ def first(docs: DataFrame, n: int, order: str = "id") -> DataFrame:
 
 
 def read_dump(spark: SparkSession, path: str, max_docs: int | None = None) -> DataFrame:
-    """A dump of articles, JSON lines of ``id, title, text`` (or ``content``), from a local or shared path; its first ``max_docs`` lines."""
+    """A dump of articles, JSON lines of ``id, title, text`` (or ``content``), from a local or shared path; the first ``max_docs`` by id."""
     raw = spark.read.schema("id string, title string, text string, content string").json(path)
     docs = raw.select("id", F.coalesce("title", F.lit("")).alias("title"), F.coalesce("content", "text").alias("content"), F.lit(None).cast("variant").alias("metadata"))
-    return docs if max_docs is None else docs.limit(max_docs)
+    return docs if max_docs is None else first(docs, max_docs)
 
 
 _TOPICS = {

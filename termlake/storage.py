@@ -29,8 +29,22 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+_made: list[str] = []
+
+
 def new_folder(spark: SparkSession, kind: str) -> str:
-    return f"{shared_folder(spark)}/{kind}-{uuid.uuid4().hex}"
+    """A name for a folder in the shared one. It stays there until ``clean``: tables that are read from it may be used at any time."""
+    _made.append(f"{shared_folder(spark)}/{kind}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def clean(spark: SparkSession) -> int:
+    """Deletes the folders that ``new_folder`` named in this process, when nothing that was computed in them is needed any more; their number."""
+    gone = 0
+    while _made:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_made.pop())
+        gone += bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
+    return gone
 
 
 def stored(df: DataFrame, path: str | None = None) -> DataFrame:

@@ -7,10 +7,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from termlake import BM25Params, Engine
+from termlake.functions import text as T
 from termlake.functions.text import STOP_WORDS
 from termlake.operators import evaluate, index, maintain, search
 from termlake.sources import corpus
-from termlake.streaming.ingest import arrived, ingest
+from termlake.streaming.ingest import arrived, compact, ingest
 from tests.test_text import plain_tokens
 
 FOUR = [("d1", "red apple red", ""), ("d2", "green apple", "pie"), ("d3", "blue sky", "over a green hill and a red barn"), ("d4", "", "the of and")]
@@ -174,7 +175,7 @@ def test_plans_push_terms_to_the_scan_and_prune_columns(spark, tmp_path):
     saved = index.build(docs(spark), keep=False).save(str(tmp_path / "p"))
     plan = search.search(saved, "red apple")._jdf.queryExecution().executedPlan().toString()
     assert "In(term, [" in plan or "PushedFilters: [In(term" in plan or "EqualTo(term" in plan
-    assert "ReadSchema: struct<term:string,doc_id:string,impact:double>" in plan
+    assert "ReadSchema: struct<term:string,doc_id:string,weight:double>" in plan
 
 
 def test_quality_metrics(spark):
@@ -217,3 +218,81 @@ def test_sampled_queries_and_generated(spark):
     asked = corpus.sampled_queries(made, 7)
     assert asked.count() == 7 and asked.collect() == corpus.sampled_queries(made, 7).collect()
     assert evaluate.topic_distribution(made).agg(F.sum("n")).first()[0] == 50
+
+
+TALK = [("t1", "", "To be or not to be, that is the question"), ("t2", "", "Running and walking"), ("t3", "", "She runs; he walked to it")]
+
+
+def test_one_analyzer_for_documents_and_queries(spark, tmp_path):
+    keep = index.build(docs(spark, TALK), analyzer=T.Analyzer(stop=False))
+    assert [d for _, d, _ in pairs(search.search(keep, "to be"))] == ["t1", "t3"]
+    assert pairs(search.search(index.build(docs(spark, TALK)), "to be")) == []
+    for held in (lambda i: i, lambda i: i.save(str(tmp_path / "stem"))):
+        three = held(index.build(docs(spark, TALK), analyzer=T.Analyzer(normalize="prefix5")))
+        assert [d for _, d, _ in pairs(search.search(three, "walking"))] == ["t2"] and three.analyzer == T.Analyzer(normalize="prefix5")
+    own = index.build(docs(spark, TALK), analyzer=T.Analyzer(normalize=lambda w: F.substring(w, 1, 3)))
+    assert {d for _, d, _ in pairs(search.search(own, "runner"))} == {"t2", "t3"}
+    with pytest.raises(ValueError, match="NORMALIZERS"):
+        own.save(str(tmp_path / "own"))
+    with pytest.raises(ValueError, match="no normalizer"):
+        T.Analyzer(normalize="nope")
+    saved = keep.save(str(tmp_path / "keep"))
+    assert saved.analyzer == T.Analyzer(stop=False) and [d for _, d, _ in pairs(search.search(saved, "to be"))] == ["t1", "t3"]
+    engine = Engine(docs(spark, TALK), analyzer=T.Analyzer(stop=False))
+    engine.remove(["t3"])
+    assert [r.doc_id for r in engine.results("to be")] == ["t1"] and set(engine.phases.seconds) == {"build", "search"}
+
+
+def test_saving_tokenizes_once_and_shuffles_postings_once(spark, tmp_path, monkeypatch):
+    seen = spark.sparkContext.accumulator(0)
+    lazy = index.build(docs(spark), keep=False)
+    scans, real = [], index.stored
+
+    def stored(df, path=None):
+        scans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return real(df, path)
+
+    monkeypatch.setattr(index, "stored", stored)
+    saved = lazy.save(str(tmp_path / "once"))
+    assert sum("regexp_extract_all" in plan for plan in scans) == 2 and seen.value == 0  # counts, and lengths for documents without terms
+    assert pairs(search.search(saved, "red apple")) == expected(brute(FOUR, "red apple"))
+
+
+def test_cached_index_is_built_once_for_a_corpus(spark, tmp_path, monkeypatch):
+    built, real = [], index.build
+    monkeypatch.setattr(index, "build", lambda *a, **k: built.append(1) or real(*a, **k))
+    for rows in (FOUR, FOUR, FOUR[:3]):
+        held = index.cached(docs(spark, rows), str(tmp_path))
+        assert pairs(search.search(held, "red apple")) == expected(brute(rows, "red apple"))
+    assert len(built) == 2
+
+
+def test_judgments_by_the_rarest_term_are_those_of_every_pair(spark):
+    texts = [(i, t) for i, t in enumerate(["the red barn door", "a redbarn doors of it", "Red Barn", "red", "", None, "of the", "x red-barn. y", "café barn é", "say: the red barn doorway is"])]
+    queries = [(i, q) for i, q in enumerate(["red barn door", "e red barn d", "red", "of the", "", None, "barn", "red-barn.", "é barn é", "absent words of mine", " red "])]
+    got = evaluate.verbatim_judgments(spark.createDataFrame(texts, "doc_id int, text string"), spark.createDataFrame(queries, "query_id int, query string"))
+    assert sorted(tuple(r) for r in got.collect()) == sorted((q, d) for q, w in queries if w for d, t in texts if t and w in t)
+
+
+def test_stream_before_the_first_batch_and_compacted(spark, tmp_path):
+    folder, source = str(tmp_path / "index"), tmp_path / "in"
+    assert pairs(search.search(arrived(spark, folder), "red")) == [] and compact(spark, folder) == 0
+    for k, part in enumerate((FOUR[:2], FOUR[2:], [("d1", "nothing", "")])):
+        docs(spark, part).coalesce(1).write.mode("append").parquet(str(source))
+        stream = spark.readStream.schema("id string, title string, content string").parquet(str(source))
+        ingest(stream, folder, str(tmp_path / "state")).awaitTermination()
+        assert k == 1 or compact(spark, folder) > 0
+        left = len(list((tmp_path / "index" / "runs").glob("batch=*")))
+        assert left == (k == 1)
+    assert "d1" not in [d for _, d, _ in pairs(search.search(arrived(spark, folder), "red apple"))]
+    assert arrived(spark, folder).doc_stats.count() == 4
+
+
+def test_scratch_folders_are_deleted(spark):
+    from pathlib import Path
+
+    from termlake import storage
+
+    held = index.build(docs(spark))
+    assert held.counts.count() and storage._made and storage.clean(spark) > 0
+    assert not storage._made and not list(Path(storage.shared_folder(spark)).glob("index-*"))
