@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termlake.llm import chat, exact_dedup, lm_scoring, minhash, packing, pii, quality_model, quality_rules, sentencepiece_codec, warc
-from termlake.llm.common import qualified, scratch_dir
+from termlake.llm.common import qualified
+from termlake.storage import new_folder
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,7 +55,7 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pages, written as compressed archives to the shared folder, as the reader finds them there."""
-    folder = qualified(spark, f"{scratch_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}")
+    folder = qualified(spark, new_folder(spark, "warc"))
     warc.write(table(spark, sf_dir, "pages"), folder)
     found = warc.read(spark, folder)
     return found.select(F.col("headers")["x-page-id"].cast("bigint").alias("page_id"), F.col("target_uri").alias("url"), F.col("content").cast("string").alias("html"), "error")

@@ -42,3 +42,42 @@ def test_run_applies_the_stages(spark, sf_dir):
     got = corpus_pipeline.run(spark, sf_dir).collect()
     assert [len(r.tokens) for r in sorted(got, key=lambda r: r.seq_id)][:-1] == [packing.WINDOW] * (len(got) - 1)
     assert sorted(r.seq_id for r in got) == list(range(len(got)))
+
+
+FINE = "The thing was on the road to the other and it is here for them, as it was before the rain came down. "
+
+
+def test_nulls_empties_long_texts_repeats_and_extra_columns(spark, sf_dir, tmp_path):
+    more = ["row", "own", "p", "quality", "prior", "n_words", "clean", "block", "root"]
+    long = " ".join(f"the way {i} was long and on it were those {i * 7}" for i in range(12_000))
+    texts = [(1, FINE * 3), (2, None), (3, ""), (4, " \n"), (None, FINE * 3), (5, FINE * 3), (5, FINE * 3), (6, long), (7, FINE * 3 + "end"), (8, "mail to ann.lee@mail7.example.org for the other one of these things, as it was here"), (9, "mail to bob.ray@mail7.example.org for the other one of these things, as it was here")]
+    rows = [(i, t, None if i == 8 else "en", "s", len(t or ""), *range(len(more))) for i, t in texts]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint, " + ", ".join(f"{c} int" for c in more)).repartition(3).checkpoint()
+    (tmp_path / "labels.parquet").mkdir()
+    spark.createDataFrame([(1, 1), (6, 1)], "doc_id bigint, quality int").write.mode("overwrite").parquet(str(tmp_path / "labels.parquet"))
+    left = []
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        stage(spark, docs, str(tmp_path)).write.parquet(str(tmp_path / f"s{k}"))
+        out = spark.read.parquet(str(tmp_path / f"s{k}"))
+        assert out.columns == docs.columns
+        docs = out
+        left.append(sorted(r.doc_id if r.doc_id is not None else 99 for r in docs.collect()))
+    assert left == [[1, 5, 5, 6, 7, 8, 9, 99], [1, 6, 7, 8, 9], [1, 6, 8], [1, 6, 8]]
+    by = {r.doc_id: r for r in docs.collect()}
+    assert by[8].text.startswith("mail to <EMAIL> for") and by[8].n_chars == len(by[8].text) and by[6].text == long and by[1].row == 0
+    assert spread(corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()) == brute([(r.doc_id, r.text) for r in docs.collect()], packing.WINDOW)
+
+
+def test_empty_tables(spark, tmp_path):
+    spark.createDataFrame([], "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_partitions_that_a_stage_left_empty(spark, sf_dir):
+    """All texts in one of eight partitions, the first, a middle or the last one."""
+    from pyspark.sql import functions as F
+
+    for full in (0, 3, 7):
+        docs = spark.range(0, 80, 1, 8).where(F.floor(F.col("id") / 10) == full).select(F.col("id").alias("doc_id"), F.concat(F.lit(FINE), F.col("id").cast("string")).alias("text"))
+        assert spread(corpus_pipeline.packed(spark, docs, sf_dir).collect()) == brute([(r.doc_id, r.text) for r in docs.collect()], packing.WINDOW)
