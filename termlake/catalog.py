@@ -90,6 +90,8 @@ _TOP = " SELECT query_id, rank, doc_id, round(score, 6) AS score FROM ranked WHE
 _ONE = " SELECT rank, doc_id, round(score, 6) AS score FROM ranked WHERE rank <= 10"
 FLAGSHIP = "thanedble and thintion in a licensed thre, the worthless erhation, thre"
 
+PRUNED = "worthless en er re th es"
+
 
 def _single(text: str) -> str:
     return f"SELECT 0::BIGINT AS query_id, '{text}' AS query"
@@ -358,6 +360,15 @@ def search_top10(spark, sf_dir):
 SQL["search_top10"] = _with(queries=_single(FLAGSHIP)) + _ONE
 
 
+@query
+def search_pruned(spark, sf_dir):
+    """By upper bounds: a rare term and frequent ones."""
+    return search.search_pruned(full_index(spark, sf_dir), PRUNED)
+
+
+SQL["search_pruned"] = _with(queries=_single(PRUNED)) + _ONE
+
+
 @query
 def search_batch_top10(spark, sf_dir):
     return search.search_batch(full_index(spark, sf_dir), asked(spark, sf_dir))

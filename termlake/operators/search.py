@@ -94,6 +94,36 @@ def search(index: LexicalIndex, query: str | None, k: int = 10, exclude: DataFra
     return found.select(place.cast("bigint").alias("rank"), "doc_id", F.round("score", DIGITS).alias("score"))
 
 
+def search_pruned(index: LexicalIndex, query: str | None, k: int = 10) -> DataFrame:
+    """As ``search``, with upper bounds: postings of terms that can't bring a document among the ``k`` best by themselves are read only for
+    documents that have another term.
+
+    The k-th best impact of the term with the highest bound is a score that k documents reach. Terms whose bounds add up to less are not
+    essential: a document without any other term stays below it. The results are the same; what is saved is the shuffle of the
+    frequent terms' postings.
+    """
+    checked_k(k)
+    spark = index.spark
+    asked = query_terms(spark.range(1).select(F.lit(0).alias("query_id"), F.lit(query).alias("query")), index.analyzer)
+    bounds = sorted((r.bound, r.term, r.qtf) for r in asked.join(index.term_stats, "term").select("term", "qtf", (F.col("qtf") * F.col("max_impact")).alias("bound")).collect())
+    if len(bounds) < 2:
+        return search(index, query, k)
+    schema = "query_id int, term string, qtf bigint"
+    part = lambda rows: matches(index, spark.createDataFrame([(0, t, q) for _, t, q in rows], schema)).where(F.col("term").isin(*[t for _, t, _ in rows])).select("doc_id", (F.col("qtf") * F.col("impact")).alias("score"))
+    best = part(bounds[-1:]).orderBy(F.desc("score")).limit(k).agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("least")).first()
+    reached = best.least - 1e-8 if best.n == k else 0.0
+    idle, total = 0, 0.0
+    while idle < len(bounds) - 1 and (total := total + bounds[idle][0]) < reached:
+        idle += 1
+    rows = part(bounds[idle:])
+    if idle:
+        wanted = rows.select("doc_id").distinct()
+        rows = rows.unionByName(part(bounds[:idle]).join(if_small(wanted), "doc_id", "left_semi"))
+    found = rows.groupBy("doc_id").agg(F.sum("score").alias("score")).orderBy(*best_first()).limit(k)
+    place = F.row_number().over(Window.orderBy(*best_first()))  # over at most k rows
+    return found.select(place.cast("bigint").alias("rank"), "doc_id", F.round("score", DIGITS).alias("score"))
+
+
 def with_documents(found: DataFrame, docs: DataFrame, id_col: str = "id") -> DataFrame:
     """Results with the documents' columns, fetched for the results only; results whose document is gone drop out."""
     return docs.withColumnRenamed(id_col, "doc_id").join(if_small(found), "doc_id")

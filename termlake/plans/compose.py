@@ -7,6 +7,7 @@ twice is there twice, so a depth must be given.
 
 from __future__ import annotations
 
+from abc import ABC, abstractmethod
 from collections.abc import Callable
 from functools import reduce
 
@@ -46,6 +47,34 @@ def over_optional(f: Callable[[Column], Column]) -> Callable[[Column], Column]:
     return lambda value: F.when(value.isNotNull(), f(value))
 
 
+class Lift(ABC):
+    """Takes a function of values to one of structures of them; lifting keeps identity and composition."""
+
+    @abstractmethod
+    def __call__(self, f: Callable) -> Callable: ...
+
+
+class ListLift(Lift):
+    """To array columns."""
+
+    def __call__(self, f):
+        return over_list(f)
+
+
+class OptionalLift(Lift):
+    """To columns that may be null."""
+
+    def __call__(self, f):
+        return over_optional(f)
+
+
+class TreeLift(Lift):
+    """To trees kept as rows."""
+
+    def __call__(self, f):
+        return lambda tree: over_tree(tree, f)
+
+
 def over_tree(tree: DataFrame, f: Callable[[Column], Column], value: str = "value") -> DataFrame:
     """``f`` on the values of a tree's nodes, kept as rows (node, parent, depth, value); its shape stays."""
     return tree.withColumn(value, f(F.col(value)))

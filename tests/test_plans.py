@@ -103,3 +103,18 @@ def test_exit_codes(spark, monkeypatch, capsys, tmp_path):
 
     monkeypatch.setattr("builtins.input", stop)
     assert cli.main([]) == 130
+
+
+def test_lifts_keep_identity_and_composition(spark):
+    f, g = (lambda v: v + 1), (lambda v: v * 2)
+    rows = spark.createDataFrame([([1, 2, 3], 4), ([], None)], "many array<int>, one int")
+    for lift, column in ((compose.ListLift(), "many"), (compose.OptionalLift(), "one")):
+        assert isinstance(lift, compose.Lift)
+        got = rows.select(lift(lambda v: v)(F.col(column)), lift(lambda v: g(f(v)))(F.col(column)), lift(g)(lift(f)(F.col(column)))).collect()
+        assert [r[0] for r in got] == [r[0] for r in rows.select(column).collect()] and all(r[1] == r[2] for r in got)
+    tree = spark.createDataFrame([(1, None, 0, 5), (2, 1, 1, 6)], "node int, parent int, depth int, value int")
+    lift = compose.TreeLift()
+    assert lift(lambda v: v)(tree).collect() == tree.collect()
+    assert lift(g)(lift(f)(tree)).collect() == lift(lambda v: g(f(v)))(tree).collect()
+    with pytest.raises(TypeError):
+        compose.Lift()

@@ -288,6 +288,20 @@ def test_stream_before_the_first_batch_and_compacted(spark, tmp_path):
     assert arrived(spark, folder).doc_stats.count() == 4
 
 
+def test_pruning_by_upper_bounds_changes_no_result(spark, tmp_path):
+    import random
+
+    rng = random.Random(4)
+    rows = [(f"d{i:03}", "", " ".join(rng.choice(["red", "green", "apple"]) for _ in range(rng.randrange(1, 9))) + (" rare" * rng.randrange(1, 3) if i % 9 == 0 else "")) for i in range(120)]
+    held = index.build(docs(spark, rows))
+    saved = held.save(str(tmp_path / "bounds"))
+    for i in (held, saved):
+        for query, k in (("rare red apple green", 5), ("red rare rare", 1), ("rare apple", 40), ("red", 3), ("absent", 3), ("", 2)):
+            assert pairs(search.search_pruned(i, query, k)) == pairs(search.search(i, query, k)) == expected(brute(rows, query), k)
+    plan = search.search_pruned(saved, "rare red apple green", 5)._jdf.queryExecution().executedPlan().toString()
+    assert "LeftSemi" in plan  # frequent terms' postings only for documents of the rare one
+
+
 def test_scratch_folders_are_deleted(spark):
     from pathlib import Path
 
