@@ -36,7 +36,7 @@ COORDINATES = 128
 BANDS = 32
 THRESHOLD = 0.6
 #: Bytes of text worked on at once in a Python worker. A longer document is taken in pieces, and the set is the union.
-CHUNK = 1 << 21
+CHUNK = 1 << 19
 #: Candidates are broadcast to filter the documents up to this number of rows, and joined by shuffle beyond it.
 BROADCAST_ROWS = 2_000_000
 #: Pairs to be compared for each document of a bucket up to which a bucket's pairs are all compared; beyond, by rare elements.

@@ -21,6 +21,14 @@ from termlake.llm import tokens
 from termlake.llm.common import quoted, settled
 
 WINDOW = 2048
+ROWS = 1024
+
+
+def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows, ROWS at a time: what a worker holds at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            yield batch.slice(at, ROWS)
 
 
 def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str = tokens.VOCABULARY, end: int | None = tokens.END) -> DataFrame:
@@ -29,7 +37,7 @@ def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pat
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = tokens.encoder(path).encode
         tail = b"" if end is None else np.array([end], "<u2").tobytes()
-        for batch in batches:
+        for batch in _small(batches):
             ids = pa.array((one(text) + tail for text in batch.column(1).to_pylist()), pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), ids], ["doc_id", "ids"])
 
@@ -94,7 +102,7 @@ def pack(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col
         """A partition's total, and the tokens and documents within less than a window of its start and its end."""
         total, head, tail = 0, [], []
         have = 0
-        for batch in batches:
+        for batch in _small(batches):
             ids, lengths, doc = _joined(batch)
             piece = (ids, lengths, doc)
             total += len(ids)
@@ -119,7 +127,7 @@ def pack(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col
         base = _before(*offset.value, TaskContext.get().partitionId())
         skip, seq = -base % window, -(-base // window)
         ids, lengths, doc = np.zeros(0, "<u2"), np.zeros(0, np.int64), pa.array([], pa.int64())
-        for batch in batches:
+        for batch in _small(batches):
             more, n, d = _joined(batch)
             ids, lengths, doc = np.concatenate([ids, more]), np.concatenate([lengths, n]), pa.concat_arrays([doc, d])
             if skip:
