@@ -1,7 +1,7 @@
 """Ranked search as joins, sums and a ranking.
 
 A query is a bag of terms: one that it repeats counts again. Candidates are the documents with any of its terms. Results are
-ordered by score (rounded to 9 digits, so that the order of a sum's parts doesn't matter), then by document id.
+ordered by score (rounded to 9 digits), then by document id. Scores are summed exactly (``exact_sum``), so the order of a sum's parts doesn't matter.
 
 The terms of all queries, with their statistics, are the small side: they are broadcast where a count finds them small, and
 postings of other terms are never shuffled. What is shuffled are partial sums of candidates, and for the ranking at most k
@@ -50,8 +50,17 @@ def candidates(index: LexicalIndex, asked: DataFrame) -> DataFrame:
     return source.select("term", "doc_id").join(if_small(asked.select("query_id", "term")), "term").select("query_id", "doc_id").distinct()
 
 
+def exact_sum(x: Column) -> Column:
+    """Sum that is the same in any order: of whole 2**-20 and of 2**-60 parts, both as whole numbers. A sum of doubles differs in its last bit
+    with the order in which parts arrive, and where it lies between two roundings, equal documents would change places."""
+    scaled = x * 2.0**20
+    whole = F.floor(scaled)
+    rest = F.rint((scaled - whole) * 2.0**40).cast("bigint")
+    return F.sum(whole) / F.lit(2.0**20) + F.sum(rest) / F.lit(2.0**60)
+
+
 def scores(index: LexicalIndex, asked: DataFrame, params: BM25Params | None = None) -> DataFrame:
-    return matches(index, asked, params).groupBy("query_id", "doc_id").agg(F.sum(F.col("qtf") * F.col("impact")).alias("score"))
+    return matches(index, asked, params).groupBy("query_id", "doc_id").agg(exact_sum(F.col("qtf") * F.col("impact")).alias("score"))
 
 
 def best_first(*more: str) -> list[Column]:
@@ -119,7 +128,7 @@ def search_pruned(index: LexicalIndex, query: str | None, k: int = 10) -> DataFr
     if idle:
         wanted = rows.select("doc_id").distinct()
         rows = rows.unionByName(part(bounds[:idle]).join(if_small(wanted), "doc_id", "left_semi"))
-    found = rows.groupBy("doc_id").agg(F.sum("score").alias("score")).orderBy(*best_first()).limit(k)
+    found = rows.groupBy("doc_id").agg(exact_sum(F.col("score")).alias("score")).orderBy(*best_first()).limit(k)
     place = F.row_number().over(Window.orderBy(*best_first()))  # over at most k rows
     return found.select(place.cast("bigint").alias("rank"), "doc_id", F.round("score", DIGITS).alias("score"))
 
