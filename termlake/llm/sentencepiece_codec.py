@@ -3,7 +3,7 @@
 The model file is parsed here, as the protobuf it is, and rebuilt: the normalizer (character map, white space, the marker
 that stands for a space), the pieces with their scores as a unigram model, or with merges in order of the scores as a BPE
 model, and bytes for what no piece covers. A worker splits texts at spaces, encodes the words that it hasn't seen yet as one
-batch on several threads, and puts documents together from a cache of numbered words, all texts of a batch at once. Where a model has a
+batch on several threads (of a BPE model many words as one text, whose ids are cut again at the words' ends), and puts documents together from a cache of numbered words, all texts of a batch at once. Where a model has a
 piece that goes across a space, and for texts with runs of spaces, whole texts are encoded instead; the ids are the same either way.
 
 Parity: SentencePiece itself encodes every document as a whole, and the ids must be the same. (Of a unigram model it adds scores in single
@@ -33,6 +33,8 @@ UNIGRAM, BPE = 1, 2
 THREADS = 2
 #: Bounds on a worker's memory only: characters worked on at once, and pieces remembered.
 CHUNK, CACHE_PIECES = 1 << 21, 300_000
+#: New words that are encoded as one text, where that gives the same ids.
+JOINED = 1000
 _codecs: dict[str, "Codec"] = {}
 
 
@@ -164,6 +166,8 @@ class Codec:
         plain = self.model
         self.plain = not plain.charsmap and not plain.collapse and plain.dummy_prefix and plain.escape
         self.splits = plain.escape and plain.dummy_prefix and not any(MARK in p.lstrip(MARK) for p, _, k in plain.pieces if k in (NORMAL, USER))
+        self.unknown = next((i for i, p in enumerate(plain.pieces) if p[2] == UNKNOWN), -1)
+        self.joins = self.splits and plain.kind == BPE and plain.byte_fallback and not any(k == USER for _, _, k in plain.pieces)
         self._forget()
         # What each id gives when it is decoded; control pieces as they are written.
         texts = [bytes([int(p[3:5], 16)]) if k == BYTE else p.replace(MARK, " ").encode() for p, _, k in plain.pieces]
@@ -189,17 +193,35 @@ class Codec:
     def _encode(self, normalized: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<i4").tobytes() for e in self.tokenizer.encode_batch_fast(normalized, add_special_tokens=False)]
 
+    def _encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words, each behind the marker, in a row, and how many each has.
+
+        Where no merge crosses a marker, words of a BPE model are encoded JOINED at a time, as a text is; the ids are cut where the bytes
+        that they stand for reach the end of a word.
+        """
+        if self.joins and all(words):
+            texts = ["".join(MARK + w for w in words[i : i + JOINED]) for i in range(0, len(words), JOINED)]
+            ids = np.concatenate([np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
+            given = np.cumsum([len(w) + 1 if w.isascii() else len(w.encode()) + 1 for w in words])
+            reached = np.cumsum(self.sizes[ids])
+            last = np.searchsorted(reached, given)
+            if not (ids == self.unknown).any() and reached[-1] == given[-1] and (reached[last] == given).all():
+                return ids, np.diff(last, prepend=-1)
+        each = [e.ids for e in self.tokenizer.encode_batch_fast([MARK + w for w in words], add_special_tokens=False)]
+        size = np.fromiter(map(len, each), np.int64, len(each))
+        return np.fromiter(chain.from_iterable(each), np.int32, int(size.sum())), size
+
     def _learn(self, words: list[str]) -> None:
-        at = len(self.number) - len(words)
-        for ids in self._encode([MARK + w for w in words]):
-            own = np.frombuffer(ids, "<i4")
-            while self.n_ids + len(own) > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-            if at == len(self.first):
-                self.first, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.size))
-            self.ids[self.n_ids : self.n_ids + len(own)] = own
-            self.first[at], self.size[at] = self.n_ids, len(own)
-            at, self.n_ids = at + 1, self.n_ids + len(own)
+        ids, size = self._encode_words(words)
+        at, end = len(self.number) - len(words), self.n_ids + len(ids)
+        while end > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        while len(self.number) > len(self.first):
+            self.first, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.size))
+        self.ids[self.n_ids : end] = ids
+        self.first[at : at + len(words)] = self.n_ids + np.cumsum(size) - size
+        self.size[at : at + len(words)] = size
+        self.n_ids = end
 
     def encode_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of all texts in a row, how many each has, and whether SentencePiece has the same."""
@@ -229,9 +251,9 @@ class Codec:
 
     def _agrees(self, texts: list[str], ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """Whether SentencePiece has the same ids for each text."""
-        want = self.peer.encode(texts, num_threads=1)
+        want = self.peer.encode(texts, num_threads=1, return_type="numpy")
         n = np.array([len(w) for w in want], np.int64)
-        flat = np.fromiter(chain.from_iterable(want), np.int32, int(n.sum()))
+        flat = np.concatenate(want) if want else np.zeros(0, np.int32)
         same = n == sizes
         if same.all():
             same[np.searchsorted(np.cumsum(sizes), np.flatnonzero(flat != ids), "right")] = False
@@ -249,8 +271,8 @@ class Codec:
 
     def come_back(self, texts: list[str], ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """Which texts are what their ids (all in a row, ``sizes`` for each) give when they are decoded."""
-        given = np.frombuffer(b"".join(t.encode() for t in texts), np.uint8)
-        lengths = np.array([len(t) if t.isascii() else len(t.encode()) for t in texts], np.int64)
+        coded = [t.encode() for t in texts]
+        given, lengths = np.frombuffer(b"".join(coded), np.uint8), np.array([len(t) for t in coded], np.int64)
         out = _ragged(self.bytes, self.starts[ids], self.sizes[ids])
         of = np.repeat(np.arange(len(texts)), sizes)
         n = np.bincount(of, self.sizes[ids], len(texts)).astype(np.int64)

@@ -140,3 +140,25 @@ def test_edges(spark):
     assert got[3].ids == PEER.encode(long) and all(r.parity and r.round_trip for r in got[1:])
     back = sp.decode(spark.createDataFrame([(1, None), (2, []), (3, [None, 10**6, -1, 263])], "doc_id int, ids array<int>")).collect()
     assert [r.text for r in back][:2] == [None, ""] and back[2].text == PEER.decode([263])
+
+
+def test_new_words_are_encoded_in_few_texts():
+    """One call of the library for each word took most of an executor's time next to the parity check."""
+    one, sent = sp.Codec(sp.MODEL), []
+
+    class Counted:
+        def __init__(self, tokenizer):
+            self.tokenizer = tokenizer
+
+        def encode_batch_fast(self, texts, **options):
+            sent.append(len(texts))
+            return self.tokenizer.encode_batch_fast(texts, **options)
+
+    one.tokenizer = Counted(one.tokenizer)
+    odd = ["<s>", "<0x0A>", "</s>", "<unk>", "a\nb\tc", "é", "é", "🙂🙂", "अ", "日本語", "x" * 3000, " ", "﻿", "'", "a"]
+    texts = [" ".join(f"{w}{i * 7919 % 1000}{w}" for i in range(k, k + 300)) for k, w in enumerate(odd)] + odd
+    found = one.encode(texts)
+    assert ids(found) == [PEER.encode(t) for t in texts] and all(k for _, k in found)
+    assert sum(sent) < 10
+    again = ["some words and one space at the end ", "", "other new words"]  # the empty word goes alone
+    assert ids(one.encode(again)) == [PEER.encode(t) for t in again]
