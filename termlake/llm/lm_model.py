@@ -26,6 +26,7 @@ CORE = ("wq", "wk", "wv", "far", "head", "tops", "groups")
 ROWS = ("emb", "leaves")
 _SEEN = np.arange(PLACES)[None, :] <= np.arange(CONTEXT, PLACES)[:, None]
 _FAR = np.where(_SEEN, np.arange(CONTEXT, PLACES)[:, None] - np.arange(PLACES)[None, :], 0)
+_FAR_SEEN = _FAR[_SEEN]
 
 
 def shapes(symbols: int) -> dict[str, tuple[int, ...]]:
@@ -115,8 +116,9 @@ class Tree:
                 firsts = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
                 runs = list(zip(node[firsts].tolist(), firsts.tolist(), [*firsts[1:].tolist(), len(node)]))
                 logits = np.empty((len(node), w[name].shape[1]), z.dtype)
+                below, turned = self.below, w[name].transpose(0, 2, 1)
                 for g, a, b in runs:
-                    np.matmul(self.below[a:b], w[name][g].T, out=logits[a:b])
+                    np.matmul(below[a:b], turned[g], out=logits[a:b])
                 e, total, logs = self._softmax(logits, pick)
                 self.logs[self.far] += logs
                 self.levels.append((name, pick, e, total, node[firsts], runs))
@@ -127,9 +129,10 @@ class Tree:
         rows = np.arange(len(logits))
         if not len(logits):
             return logits, np.ones(0, logits.dtype), np.zeros(0, logits.dtype)
-        if logits.max() > 60 or logits[rows, pick].min() < -60:  # else neither the sum nor a part of it leaves the range
-            logits -= logits.max(-1, keepdims=True)
         at = logits[rows, pick]
+        if logits.max() > 60 or at.min() < -60:  # else neither the sum nor a part of it leaves the range
+            logits -= logits.max(-1, keepdims=True)
+            at = logits[rows, pick]
         np.exp(logits, out=logits)
         total = logits @ np.ones(logits.shape[1], logits.dtype)
         return logits, total, at - np.log(total)
@@ -145,14 +148,14 @@ class Tree:
 
         pick, e, total, _ = self.head
         d = errors(e, total, pick, scale)
-        dz, grad = d @ self.w["head"], {"head": d.T @ self.z}
+        dz, grad = d @ self.w["head"][:, :-1], {"head": d.T @ self.z}
         grad |= {"tops": np.zeros_like(self.w["tops"]), "groups": np.zeros_like(self.w["groups"]), "leaves": (np.zeros(0, np.int64), np.zeros((0, SIZE, WIDTH + 1), self.z.dtype))}
         if self.levels:
             scale = scale[self.far]
-            more = np.zeros_like(self.below)
+            more = np.zeros_like(self.below[:, :-1])
             for name, pick, e, total, nodes, runs in self.levels:
-                d, w = errors(e, total, pick, scale), self.w[name]
-                rows = np.empty((len(runs), *w.shape[1:]), self.z.dtype)
+                d, w = errors(e, total, pick, scale), self.w[name][..., :-1]
+                rows = np.empty((len(runs), *self.w[name].shape[1:]), self.z.dtype)
                 for i, (g, a, b) in enumerate(runs):
                     np.matmul(d[a:b].T, self.below[a:b], out=rows[i])
                     more[a:b] += d[a:b] @ w[g]
@@ -161,7 +164,7 @@ class Tree:
                 else:
                     grad[name][nodes] = rows
             dz[self.far] += more
-        return dz[:, :-1], grad
+        return dz, grad
 
 
 def _attention(w: Weights) -> np.ndarray:
@@ -211,7 +214,7 @@ def loss_and_gradient(w: Weights, inputs: np.ndarray, before: np.ndarray, target
     q, own, k, v = late[..., :WIDTH], late[..., WIDTH:], every[..., :WIDTH], every[..., WIDTH:]
     mask = _attention(w)
     p = _weighed(q, k, mask, before, _bounded(of_late, of_every))
-    total = p.sum(-1, keepdims=True)
+    total = (p.reshape(-1, PLACES) @ np.ones(PLACES, kind)).reshape(n_windows, STRIDE, 1)
     p /= np.maximum(total, kind(1e-30))
     m = p @ v
     h = (own + m).reshape(-1, WIDTH)
@@ -226,10 +229,12 @@ def loss_and_gradient(w: Weights, inputs: np.ndarray, before: np.ndarray, target
     ds = dm @ v.transpose(0, 2, 1)
     ds -= np.einsum("nij,nij->ni", dm, m)[..., None]
     ds *= p
-    grad["far"] = np.bincount(_FAR[_SEEN], ds.sum(0)[_SEEN], PLACES).astype(kind)
+    grad["far"] = np.bincount(_FAR_SEEN, ds.sum(0)[_SEEN], PLACES).astype(kind)
     for_late, for_every = np.empty_like(late), np.empty_like(every)
-    for_late[..., :WIDTH], for_late[..., WIDTH:] = ds @ k, dm
-    for_every[..., :WIDTH], for_every[..., WIDTH:] = ds.transpose(0, 2, 1) @ q, p.transpose(0, 2, 1) @ dm
+    np.matmul(ds, k, out=for_late[..., :WIDTH])
+    for_late[..., WIDTH:] = dm
+    np.matmul(ds.transpose(0, 2, 1), q, out=for_every[..., :WIDTH])
+    np.matmul(p.transpose(0, 2, 1), dm, out=for_every[..., WIDTH:])
     dqx, dkv = _summed(at[:, CONTEXT:], for_late, len(symbols)), _summed(at, for_every, len(symbols))
     dq, dx, dk, dv = dqx[:, :WIDTH] * kind(WIDTH**-0.5), dqx[:, WIDTH:], dkv[:, :WIDTH], dkv[:, WIDTH:]
     grad["wq"], grad["wk"], grad["wv"] = a.T @ dq, a.T @ dk, a.T @ dv
@@ -246,7 +251,7 @@ def _summed(number: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
     firsts = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
     out = np.zeros((n, rows.shape[1]), rows.dtype)
     pairs = np.complex64 if rows.dtype == np.float32 else np.complex128  # two numbers are added at once
-    out[of[firsts]] = np.add.reduceat(rows[order].view(pairs), firsts, axis=0).view(rows.dtype)
+    out[of[firsts]] = np.add.reduceat(np.take(rows, order, 0).view(pairs), firsts, axis=0).view(rows.dtype)
     return out
 
 
