@@ -100,7 +100,7 @@ class Tree:
 
     def __init__(self, w: Weights, z: np.ndarray, symbols: np.ndarray):
         self.w, self.z = w, z
-        own = np.minimum(symbols, HEAD)
+        own = self._flat(np.minimum(symbols, HEAD), HEAD + 1)
         logits = z @ w["head"].T
         self.head = (own, *self._softmax(logits, own))
         self.logs = self.head[3]
@@ -115,7 +115,7 @@ class Tree:
             for name, node, pick in (("tops", np.zeros_like(top), top), ("groups", top, turn), ("leaves", group, place)):
                 firsts = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
                 runs = list(zip(node[firsts].tolist(), firsts.tolist(), [*firsts[1:].tolist(), len(node)]))
-                logits = np.empty((len(node), w[name].shape[1]), z.dtype)
+                logits, pick = np.empty((len(node), w[name].shape[1]), z.dtype), self._flat(pick, w[name].shape[1])
                 below, turned = self.below, w[name].transpose(0, 2, 1)
                 for g, a, b in runs:
                     np.matmul(below[a:b], turned[g], out=logits[a:b])
@@ -126,39 +126,48 @@ class Tree:
     @staticmethod
     def _softmax(logits: np.ndarray, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Exponentials (in place), their sums, log probabilities of the children picked."""
-        rows = np.arange(len(logits))
         if not len(logits):
             return logits, np.ones(0, logits.dtype), np.zeros(0, logits.dtype)
-        at = logits[rows, pick]
+        flat = logits.reshape(-1)
+        at = flat[pick]
         if logits.max() > 60 or at.min() < -60:  # else neither the sum nor a part of it leaves the range
             logits -= logits.max(-1, keepdims=True)
-            at = logits[rows, pick]
+            at = flat[pick]
         np.exp(logits, out=logits)
         total = logits @ np.ones(logits.shape[1], logits.dtype)
         return logits, total, at - np.log(total)
 
+    @staticmethod
+    def _flat(pick: np.ndarray, children: int) -> np.ndarray:
+        """Where in logits of so many children, row by row, those picked are."""
+        return np.arange(0, len(pick) * children, children) + pick
+
     def gradient(self, valid: np.ndarray, n: int) -> tuple[np.ndarray, Weights]:
         """Of the mean over ``n`` valid targets: by the states, and by the weights (of ``leaves`` as nodes met and what they have)."""
         scale = valid / self.z.dtype.type(n)
 
-        def errors(e: np.ndarray, total: np.ndarray, pick: np.ndarray, scale: np.ndarray) -> np.ndarray:
-            e *= (scale / total)[:, None]
-            e[np.arange(len(e)), pick] -= scale
-            return e
+        def errors(e: np.ndarray, total: np.ndarray, pick: np.ndarray, scale: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """Errors of the logits, and what each row of them is yet to be multiplied by: what they meet has fewer columns."""
+            e.reshape(-1)[pick] -= total
+            return e, (scale / total)[:, None]
 
         pick, e, total, _ = self.head
-        d = errors(e, total, pick, scale)
-        dz, grad = d @ self.w["head"][:, :-1], {"head": d.T @ self.z}
+        d, size = errors(e, total, pick, scale)
+        dz, grad = d @ self.w["head"][:, :-1], {"head": d.T @ (self.z * size)}
+        dz *= size
         grad |= {"tops": np.zeros_like(self.w["tops"]), "groups": np.zeros_like(self.w["groups"]), "leaves": (np.zeros(0, np.int64), np.zeros((0, SIZE, WIDTH + 1), self.z.dtype))}
         if self.levels:
             scale = scale[self.far]
-            more = np.zeros_like(self.below[:, :-1])
+            more, part = np.zeros((2, len(self.far), WIDTH), self.z.dtype)
             for name, pick, e, total, nodes, runs in self.levels:
-                d, w = errors(e, total, pick, scale), self.w[name][..., :-1]
-                rows = np.empty((len(runs), *self.w[name].shape[1:]), self.z.dtype)
+                (d, size), w = errors(e, total, pick, scale), self.w[name][..., :-1]
+                rows, below = np.empty((len(runs), *self.w[name].shape[1:]), self.z.dtype), self.below * size
                 for i, (g, a, b) in enumerate(runs):
-                    np.matmul(d[a:b].T, self.below[a:b], out=rows[i])
-                    more[a:b] += d[a:b] @ w[g]
+                    own = d[a:b]
+                    np.matmul(own.T, below[a:b], out=rows[i])
+                    np.matmul(own, w[g], out=part[a:b])
+                part *= size
+                more += part
                 if name == "leaves":
                     grad[name] = nodes, rows
                 else:
@@ -259,9 +268,12 @@ class Adam:
     """For what all batches have; embeddings and leaves go by Adagrad, one size for each row."""
 
     def __init__(self, w: Weights):
-        self.w, self.t = w, 0
         self.rows = {k: np.zeros(w[k].shape[:2], np.float32) for k in ROWS}
-        self.m, self.v = ({k: np.zeros_like(w[k]) for k in CORE} for _ in range(2))
+        self.core, self.w, self.t = np.concatenate([w[k].reshape(-1) for k in CORE]), dict(w), 0
+        at = 0
+        for k in CORE:
+            self.w[k], at = self.core[at : at + w[k].size].reshape(w[k].shape), at + w[k].size
+        self.m, self.v = np.zeros((2, at), np.float32)
 
     def step(self, grad: Weights, rate: float = RATE) -> None:
         self.t += 1
@@ -274,12 +286,11 @@ class Adam:
         v = self.rows["leaves"]
         v[at] += np.einsum("ijk,ijk->ij", g, g) / np.float32(WIDTH + 1)
         self.w["leaves"][at] -= np.float32(ROW_RATE) * g / (np.sqrt(v[at]) + np.float32(1e-8))[..., None]
-        size = np.sqrt(sum(float((grad[k] * grad[k]).sum()) for k in CORE))
-        for k in CORE:
-            g = grad[k] * np.float32(min(1.0, 1 / max(size, 1e-9)))
-            self.m[k] += np.float32(0.1) * (g - self.m[k])
-            self.v[k] += np.float32(0.01) * (g * g - self.v[k])
-            self.w[k] -= np.float32(rate / (1 - 0.9**self.t)) * self.m[k] / (np.sqrt(self.v[k] / np.float32(1 - 0.99**self.t)) + np.float32(1e-8))
+        g = np.concatenate([grad[k].reshape(-1) for k in CORE])
+        g *= np.float32(min(1.0, 1 / max(float(np.sqrt(g @ g)), 1e-9)))
+        self.m += np.float32(0.1) * (g - self.m)
+        self.v += np.float32(0.01) * (g * g - self.v)
+        self.core -= np.float32(rate / (1 - 0.9**self.t)) * self.m / (np.sqrt(self.v / np.float32(1 - 0.99**self.t)) + np.float32(1e-8))
 
 
 def windows(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

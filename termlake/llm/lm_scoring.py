@@ -238,7 +238,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
     row, are trained on, and remember each other; null ids stay null. A long text is scored to its end, in windows like any other.
     Other columns are ignored, whatever their names. An empty table gives an empty result.
     """
-    stream = settled(encoded(docs, id_col, text_col, path, end))
+    stream = settled(encoded(docs, id_col, text_col, path, end, together=True))
     found = counts(stream, end + 1)
     size = len(found)
     shared = docs.sparkSession.sparkContext.broadcast((M.packed(train(stream, found, end)), symbols(found)))  # a few MB, whatever the corpus

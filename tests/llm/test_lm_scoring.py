@@ -242,3 +242,36 @@ def test_all_of_a_long_text_is_trained_on(spark):
     found = lm.counts(stream, tokens.END + 1)
     start, trained = held_out([text], M.Scorer(M.initial(-np.sort(-found))), M.Scorer(lm.train(stream, found)), lm.symbols(found))
     assert trained > start + 1  # nats a token
+
+
+def test_texts_encoded_together_are_those_encoded_alone():
+    pick = np.random.default_rng(5)
+    parts = np.array(["a", "ab", " ", " ", "\n", "'s", ".", "9", "é", " ", "字", "\U0001f642"])
+    texts = ["", " ", "  ", " a ", "a  b", "a\n b", "\n x", "x \n", "it's 'tis"] + ["".join(pick.choice(parts, n)) for n in pick.integers(0, 30, 3000)]
+    one = tokens.Encoder(tokens.VOCABULARY)
+    for some in (texts, texts[:1], [], ["plain words", "and plain words"]):
+        assert one.encode_all(some, b"zz").to_pylist() == [one.whole(t) + b"zz" for t in some]
+
+
+def test_new_words_of_many_texts_are_encoded_as_one(monkeypatch):
+    one, calls = tokens.Encoder(tokens.VOCABULARY), []
+    whole = one.whole
+    monkeypatch.setattr(one, "whole", lambda text: calls.append(text) or whole(text))
+    texts = [" ".join(f"w{i * j}x" for j in range(50)) for i in range(40)]
+    for cached in (False, True):
+        assert one.encode_all(texts).to_pylist() == [whole(t) for t in texts]
+        assert len(calls) == len(texts) + (not cached)  # the first word of each, which follows no space, and all new ones
+        calls.clear()
+    monkeypatch.setattr(tokens, "CACHE_PIECES", 0)
+    more = [t.replace("x", "y") for t in texts]
+    assert one.encode_all(more).to_pylist() == [whole(t) for t in more] and not any("y" in p for p in one.pieces)
+
+
+def test_first_step_moves_each_shared_weight_by_the_rate():
+    w = weights()
+    model, grad = M.Adam({k: v.copy() for k, v in w.items()}), M.loss_and_gradient(w, *batch())[1]
+    model.step(grad)
+    for k in M.CORE:
+        sure = np.abs(grad[k]) > 1e-5
+        assert sure.any() and (w[k] - model.w[k])[sure] == pytest.approx(M.RATE * np.sign(grad[k][sure]), rel=0.02)
+    assert M.packed(model.w) != M.packed(w) and all(model.w[k].base is model.core for k in M.CORE)
