@@ -13,7 +13,7 @@ from termlake.operators import evaluate, index, maintain, report, search
 from termlake.params import BM25Params
 from termlake.plans import compose
 from termlake.sources import corpus
-from termlake.storage import new_folder
+from termlake.storage import if_small, new_folder, parts
 from termlake.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -428,9 +428,9 @@ SQL["search_conversations"] = _with("SELECT conv_id || '-' || turn AS doc_id, te
 @query
 def rank_documents(spark, sf_dir):
     """All labelled documents, ranked for each text of the benchmark."""
-    labelled = table(spark, sf_dir, "labels").select("doc_id").distinct()
-    queries = asked(spark, sf_dir)
-    return search.rank_documents(full_index(spark, sf_dir), queries, queries.select("query_id").crossJoin(labelled))
+    labels, queries = table(spark, sf_dir, "labels").select("doc_id"), asked(spark, sf_dir)
+    labelled = labels.repartition(parts(spark, labels.count() * queries.count()), "doc_id").distinct()  # parts that are small with every query too
+    return search.rank_documents(full_index(spark, sf_dir), queries, labelled.crossJoin(if_small(queries.select("query_id"))))
 
 
 SQL["rank_documents"] = _with() + """ SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, doc_id) AS rank, doc_id, round(s, 6) AS score

@@ -4,8 +4,9 @@ A query is a bag of terms: one that it repeats counts again. Candidates are the
 ordered by score (rounded to 9 digits), then by document id. Scores are summed exactly (``exact_sum``), so the order of a sum's parts doesn't matter.
 
 The terms of all queries, with their statistics, are the small side: they are broadcast where a count finds them small, and
-postings of other terms are never shuffled. What is shuffled are partial sums of candidates, and for the ranking at most k
-rows a query from each partition. With stored impacts (an index that was saved) scoring is a sum of a column, times the idf that a query's
+postings of other terms are never shuffled. Those of their terms are shuffled once, by document and before each becomes a row for every query
+that asks for it, into as many partitions as the terms' document frequencies call for: so what a task sums up and sorts doesn't grow with the
+corpus. For the ranking at most k rows a query come from each partition. With stored impacts (an index that was saved) scoring is a sum of a column, times the idf that a query's
 term brings; otherwise, and for other parameters than the index has, the same score is computed from counts and lengths.
 """
 
@@ -17,9 +18,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from termlake.functions import text as T
-from termlake.operators.index import LexicalIndex, impact
+from termlake.operators.index import LexicalIndex, doc_totals, idf, impact
 from termlake.params import BM25Params, checked_k
-from termlake.storage import if_small
+from termlake.storage import BROADCAST_ROWS, if_small, parts, stored
 
 DIGITS = 6
 
@@ -44,10 +45,43 @@ def matches(index: LexicalIndex, asked: DataFrame, params: BM25Params | None = N
     return joined.select("query_id", "doc_id", "term", "qtf", impact(F.col("tf"), F.col("dl"), F.col("idf"), F.col("avgdl"), p).alias("impact"))
 
 
+def known_terms(index: LexicalIndex, asked: DataFrame) -> DataFrame:
+    """``query_id, term, qtf, df, idf`` of those terms of queries that the index has. Where an index has no stored statistics, only these terms are counted."""
+    if index.counts is None or index.kept:
+        stats = index.term_stats.select("term", "df", "idf")
+    else:
+        held = index.counts.select("term").join(if_small(asked.select("term").distinct()), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+        n = F.broadcast(doc_totals(index.doc_stats).select("num_docs"))  # one row
+        stats = held.crossJoin(n).select("term", "df", idf(F.col("num_docs"), F.col("df")).alias("idf"))
+    return asked.join(stats, "term").select("query_id", "term", "qtf", "df", "idf")
+
+
+def touched(index: LexicalIndex, known: DataFrame, columns: list[str], pairs: DataFrame | None = None) -> DataFrame:
+    """``query_id, doc_id, qtf, idf`` and ``columns`` of the postings that queries touch, all rows of a document in one partition.
+
+    ``known``: from ``known_terms``; it is used several times. With ``pairs`` (query_id, doc_id), each of them is a row too, with ``given`` = 1 and no posting.
+    """
+    size = known.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("df"), F.lit(0)).alias("rows")).first()
+    rows = size.rows + (0 if pairs is None else pairs.count())
+    source = (index.weights if index.counts is None else index.counts).select("term", "doc_id", *columns)
+    small = size.n <= BROADCAST_ROWS
+    terms = known.select("query_id", "term", "qtf", "idf")
+    if small:  # a row for each query only after the shuffle
+        found = source.join(F.broadcast(terms.select("term").distinct()), "term", "left_semi").withColumn("query", F.lit(None).cast(known.schema["query_id"].dataType))
+    else:
+        found = source.join(terms.withColumnRenamed("query_id", "query"), "term")
+    if pairs is not None:
+        found = found.unionByName(pairs.select(F.col("query_id").alias("query"), "doc_id", F.lit(1).alias("given")), allowMissingColumns=True)
+    found = found.repartition(parts(index.spark, rows), "doc_id")
+    if not small:
+        return found.withColumnRenamed("query", "query_id").drop("term")
+    joined = found.join(F.broadcast(terms), "term", "inner" if pairs is None else "left")
+    return joined.withColumn("query_id", F.coalesce("query_id", "query")).drop("query", "term")
+
+
 def candidates(index: LexicalIndex, asked: DataFrame) -> DataFrame:
     """``query_id, doc_id`` of the documents with any of the terms."""
-    source = index.weights if index.counts is None else index.counts
-    return source.select("term", "doc_id").join(if_small(asked.select("query_id", "term")), "term").select("query_id", "doc_id").distinct()
+    return touched(index, stored(known_terms(index, asked)), []).select("query_id", "doc_id").distinct()
 
 
 def exact_sum(x: Column) -> Column:
@@ -60,7 +94,23 @@ def exact_sum(x: Column) -> Column:
 
 
 def scores(index: LexicalIndex, asked: DataFrame, params: BM25Params | None = None) -> DataFrame:
-    return matches(index, asked, params).groupBy("query_id", "doc_id").agg(exact_sum(F.col("qtf") * F.col("impact")).alias("score"))
+    """``query_id, doc_id, score`` of all candidates."""
+    return known_scores(index, stored(known_terms(index, asked)), params)
+
+
+def known_scores(index: LexicalIndex, known: DataFrame, params: BM25Params | None = None, pairs: DataFrame | None = None) -> DataFrame:
+    """As ``scores``, of terms from ``known_terms``; with ``pairs``, of just these, 0 where a document has no term."""
+    if index.eager and params in (None, index.params):
+        rows, part = touched(index, known, ["weight"], pairs), F.col("idf") * F.col("weight")
+    else:
+        stats = index.corpus_stats if index.counts is None else doc_totals(index.doc_stats)
+        rows = touched(index, known, ["tf", "dl"], pairs).crossJoin(F.broadcast(stats.select("avgdl")))  # one row
+        part = impact(F.col("tf"), F.col("dl"), F.col("idf"), F.col("avgdl"), params or index.params)
+    score = exact_sum(F.col("qtf") * part)
+    grouped = rows.groupBy("query_id", "doc_id")
+    if pairs is None:
+        return grouped.agg(score.alias("score"))
+    return grouped.agg(F.coalesce(score, F.lit(0.0)).alias("score"), F.max("given").alias("given")).where("given = 1").drop("given")
 
 
 def best_first(*more: str) -> list[Column]:
@@ -95,7 +145,9 @@ def search(index: LexicalIndex, query: str | None, k: int = 10, exclude: DataFra
     asked = spark.createDataFrame([(0, t, q) for t, q in weights.items()], "query_id int, term string, qtf bigint")
     some = lambda df: None if df is None else df.where(listed)
     narrow = replace(index, postings=some(index.postings), term_stats=some(index.term_stats), counts=some(index.counts), weights=some(index.weights))
-    scored = scores(narrow, asked, params).select("doc_id", "score")
+    known = known_terms(narrow, asked)
+    known = spark.createDataFrame(known.collect(), known.schema)  # at most the terms of one query
+    scored = known_scores(narrow, known, params).select("doc_id", "score")
     if exclude is not None:
         scored = scored.join(exclude.select("doc_id"), "doc_id", "left_anti")
     found = scored.orderBy(*best_first()).limit(k)
@@ -138,12 +190,28 @@ def with_documents(found: DataFrame, docs: DataFrame, id_col: str = "id") -> Dat
     return docs.withColumnRenamed(id_col, "doc_id").join(if_small(found), "doc_id")
 
 
+def ranked(scored: DataFrame) -> DataFrame:
+    """``query_id, rank, doc_id, score``: all rows of each query in order.
+
+    All rows are sorted by ranges of (query, order), and the rows that a query has in the ranges before are added to a row's place: so a query
+    with however many rows is no single task.
+    """
+    held = stored(scored.withColumn("rounded", F.round("score", 9)))  # else each comparison of a sort rounds again
+    order = [F.col("query_id"), F.desc("rounded"), F.col("doc_id")]
+    spread = held.repartitionByRange(parts(held.sparkSession, held.count()), *order).sortWithinPartitions(*order)
+    place = F.monotonically_increasing_id()
+    placed = stored(spread.select("query_id", "doc_id", "score", F.shiftright(place, 33).alias("part"), place.bitwiseAND((1 << 33) - 1).alias("nth")))
+    each = placed.groupBy("query_id", "part").agg(F.count(F.lit(1)).alias("n"), F.min("nth").alias("first"))  # a row for each query and part
+    sums = F.sum("n").over(Window.partitionBy("query_id").orderBy("part"))
+    before = stored(each.select(F.col("query_id").alias("of"), F.col("part").alias("at"), (sums - F.col("n") - F.col("first") + 1).alias("shift")))
+    joined = placed.join(if_small(before), F.col("query_id").eqNullSafe(F.col("of")) & (F.col("part") == F.col("at")))
+    return joined.select("query_id", (F.col("nth") + F.col("shift")).alias("rank"), "doc_id", F.round("score", DIGITS).alias("score"))
+
+
 def rank_documents(index: LexicalIndex, queries: DataFrame, pairs: DataFrame, params: BM25Params | None = None) -> DataFrame:
     """``query_id, rank, doc_id, score`` of the given pairs (query_id, doc_id), all of them: without any term the score is 0."""
-    wanted = pairs.select("query_id", "doc_id").distinct()
-    scored = wanted.join(scores(index, query_terms(queries, index.analyzer), params), ["query_id", "doc_id"], "left").fillna(0.0, ["score"])
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(*best_first()))
-    return scored.select("query_id", place.cast("bigint").alias("rank"), "doc_id", F.round("score", DIGITS).alias("score"))
+    known = stored(known_terms(index, query_terms(queries, index.analyzer)).where("query_id IS NOT NULL"))
+    return ranked(known_scores(index, known, params, pairs.select("query_id", "doc_id")))
 
 
 def explain(index: LexicalIndex, queries: DataFrame, pairs: DataFrame, params: BM25Params | None = None) -> DataFrame:

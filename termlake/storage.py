@@ -10,6 +10,14 @@ from pyspark.sql import functions as F
 
 #: A side of a join is broadcast up to this number of rows, and joined by shuffle beyond it.
 BROADCAST_ROWS = 500_000
+#: About as many rows are sorted or summed up in one task; a step over more of them takes more partitions, not larger ones.
+TASK_ROWS = 1_000_000
+
+
+def parts(spark: SparkSession, rows: int) -> int:
+    """Partitions for a step over so many rows: at most ``TASK_ROWS`` each, and the session's number unless that makes tiny ones."""
+    usual = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, -(-rows // TASK_ROWS), min(usual, -(-rows // max(1, TASK_ROWS // 50))))
 
 
 def shared_folder(spark: SparkSession) -> str:

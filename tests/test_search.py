@@ -326,3 +326,39 @@ def test_scratch_folders_are_deleted(spark):
     held = index.build(docs(spark))
     assert held.counts.count() and storage._made and storage.clean(spark) > 0
     assert not storage._made and not list(Path(storage.shared_folder(spark)).glob("index-*"))
+
+
+def largest(df):
+    """Rows of the largest partition."""
+    return max(r[0] for r in df.groupBy(F.spark_partition_id()).count().select("count").collect())
+
+
+def test_no_task_holds_all_candidates_or_a_whole_ranking(spark, tmp_path, monkeypatch):
+    from termlake import storage
+
+    monkeypatch.setattr(storage, "TASK_ROWS", 20)
+    rows = [(f"d{i:03}", "", "red " * (i % 7) + "apple " * (i % 3)) for i in range(200)]
+    asked = spark.createDataFrame([(0, "red"), (1, "red apple"), (2, "none")], "query_id int, query string")
+    held = index.build(docs(spark, rows))
+    for i in (held, held.save(str(tmp_path / "parts"))):
+        assert largest(search.scores(i, search.query_terms(asked))) < 60  # of 342 candidates, in 4 partitions otherwise
+        wanted = asked.select("query_id").crossJoin(spark.createDataFrame([(r[0],) for r in rows] + [("other",)], "doc_id string"))
+        found = search.rank_documents(i, asked, wanted.unionByName(wanted))
+        got = sorted((r.query_id, r["rank"], r.doc_id, r.score) for r in found.collect())
+        for q, text in enumerate(("red", "red apple", "none")):
+            scores = {d: 0.0 for d, *_ in [*rows, ("other",)]} | brute(rows, text)
+            assert [r[1:] for r in got if r[0] == q] == expected(scores, len(scores))
+    seen, real = [], search.stored
+    monkeypatch.setattr(search, "stored", lambda df, path=None: seen.append(real(df, path)) or seen[-1])
+    search.rank_documents(held, asked, wanted)
+    placed = next(t for t in seen if "nth" in t.columns)
+    assert placed.agg(F.max("nth")).first()[0] < 60 and placed.select("part").distinct().count() > 20  # 603 rows to be ordered
+
+
+def test_rankings_have_queries_without_an_id_and_no_pairs(spark):
+    held = index.build(docs(spark))
+    asked = spark.createDataFrame([(None, "red"), (1, "red")], "query_id int, query string")
+    wanted = spark.createDataFrame([(None, "d1"), (1, "d1"), (1, "d3")], "query_id int, doc_id string")
+    got = search.rank_documents(held, asked, wanted).collect()
+    assert {(r.query_id, r["rank"], r.doc_id, r.score > 0) for r in got} == {(None, 1, "d1", False), (1, 1, "d1", True), (1, 2, "d3", True)}
+    assert search.rank_documents(held, asked, wanted.where("false")).collect() == []
