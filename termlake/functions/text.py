@@ -78,22 +78,38 @@ def run_count(run: Column) -> Column:
     return ((F.length(run) + 1) / (F.length(run_term(run)) + 1)).cast("bigint")
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, with the value computed once a row however often it is used; nested expressions would compute it each time."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def snippet(content: Column, query_terms: Sequence[str], size: int = 200) -> Column:
     """About ``size`` characters around the first query term that occurs, cut at blanks, with ellipses.
 
     Terms are tried in their order, as parts of words too. Null and empty contents give an empty snippet.
     """
-    low = F.lower(content)
-    hits = [F.nullif(F.instr(low, t.lower()), F.lit(0)) for t in query_terms if t]
-    start = F.greatest(F.coalesce(*hits, F.lit(1)) - 41, F.lit(0))
-    body = F.substring(content, start + 1, F.lit(size))
-    blank = F.instr(body, " ")
-    headed = F.when(start > 0, F.concat(F.lit("..."), F.when(blank.between(2, 20), F.substring(body, blank + 1, F.length(body))).otherwise(body))).otherwise(body)
-    last = F.when(F.instr(headed, " ") == 0, -1).otherwise(F.length(headed) - F.instr(F.reverse(headed), " "))
-    # a short cut without any blank loses its last character, as a slice up to -1 does
-    until = F.when(last >= 0, last).otherwise(F.greatest(F.length(headed) - 1, F.lit(0)))
-    tailed = F.concat(F.when(last > F.length(headed) - 20, F.substring(headed, F.lit(1), until)).otherwise(headed), F.lit("..."))
-    return F.when(F.coalesce(content, F.lit("")) == "", F.lit("")).otherwise(F.when(F.length(content) > start + size, tailed).otherwise(headed))
+
+    def begin(low: Column) -> Column:
+        hits = [once(F.instr(low, t.lower()), lambda at: F.when(at > 0, at)) for t in query_terms if t]
+        return F.greatest(F.coalesce(*hits, F.lit(1)) - 41, F.lit(0))
+
+    def head(body: Column, start: Column) -> Column:
+        blank = F.instr(body, " ")
+        return F.when(start > 0, F.concat(F.lit("..."), F.when(blank.between(2, 20), F.substring(body, blank + 1, F.length(body))).otherwise(body))).otherwise(body)
+
+    def tail(headed: Column, last: Column) -> Column:
+        # a short cut without any blank loses its last character, as a slice up to -1 does
+        until = F.when(last >= 0, last).otherwise(F.greatest(F.length(headed) - 1, F.lit(0)))
+        return F.concat(F.when(last > F.length(headed) - 20, F.substring(headed, F.lit(1), until)).otherwise(headed), F.lit("..."))
+
+    def close(headed: Column, start: Column) -> Column:
+        last = F.when(F.instr(headed, " ") == 0, -1).otherwise(F.length(headed) - F.instr(F.reverse(headed), " "))
+        return F.when(F.length(content) > start + size, once(last, lambda z: tail(headed, z))).otherwise(headed)
+
+    def cut(start: Column) -> Column:
+        return once(F.substring(content, start + 1, F.lit(size)), lambda body: once(head(body, start), lambda headed: close(headed, start)))
+
+    return F.when(F.coalesce(content, F.lit("")) == "", F.lit("")).otherwise(once(once(F.lower(content), begin), cut))
 
 
 def highlight(text: Column, query_terms: Sequence[str], mark: str = "**") -> Column:

@@ -70,6 +70,11 @@ def test_snippets(spark, terms):
         assert values(spark, T.snippet(F.col("s"), terms, size), *rows) == [plain_snippet(r, terms, size) for r in rows]
 
 
+def test_a_snippet_reads_its_text_once(spark):
+    rows = spark.createDataFrame([("a Target b",)], "s string").select(T.snippet(F.col("s"), ["none", "target"]).alias("part"))
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("lower(") == 1
+
+
 def test_highlight_strip_lead_fragment(spark):
     assert values(spark, T.highlight(F.col("s"), ["cat"]), "cat Cat CAT cAt concat") == ["**cat** **Cat** **CAT** cAt con**cat**"]
     assert values(spark, T.highlight(F.col("s"), []), "cat") == ["cat"]
