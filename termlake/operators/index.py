@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from termlake.functions import text as T
 from termlake.params import BM25Params
-from termlake.storage import new_folder, stored
+from termlake.storage import BROADCAST_ROWS, new_folder, parts, stored
 
 TABLES = ("postings", "doc_stats", "term_stats", "corpus_stats")
 
@@ -60,6 +60,10 @@ def doc_totals(doc_stats: DataFrame) -> DataFrame:
     return doc_stats.agg(F.count(F.lit(1)).alias("num_docs"), F.coalesce(F.sum("dl"), F.lit(0)).alias("total_len"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl"))
 
 
+def _corpus_stats(totals: DataFrame, terms: DataFrame) -> DataFrame:
+    return totals.crossJoin(terms.agg(F.count(F.lit(1)).alias("num_terms"), F.coalesce(F.sum("df"), F.lit(0)).alias("nnz")))
+
+
 @dataclass(frozen=True)
 class LexicalIndex:
     """The four tables, the parameters that their impacts have, and how texts become terms."""
@@ -97,8 +101,8 @@ class LexicalIndex:
         """The tables as Parquet under ``path``; the stored index is returned.
 
         Texts are tokenized once, if they weren't yet: counts are stored, and all tables follow from them. Postings are shuffled once, by ranges
-        of (term, doc_id), and sorted, so that a search reads the row groups of its terms only and a frequent term is spread over files. They
-        hold impacts before idf, which needs no join; idf comes from the terms of a query.
+        of (term, doc_id), and sorted, so that a search reads the row groups of its terms only and a frequent term is spread over files; there are
+        as many ranges as the number of postings calls for. They hold impacts before idf, which needs no join; idf comes from the terms of a query.
         """
         if callable(self.analyzer.normalize):
             raise ValueError("only an index with a normalizer from NORMALIZERS can be saved")
@@ -107,12 +111,13 @@ class LexicalIndex:
             held = _complete(stored(self.counts), stored(self.doc_stats), self.params, analyzer=self.analyzer)
         held.doc_stats.write.mode("overwrite").parquet(f"{path}/doc_stats")
         held.term_stats.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/term_stats")
-        held.corpus_stats.write.mode("overwrite").parquet(f"{path}/corpus_stats")
-        rows = held.weights
-        if rows is None:
-            totals = F.broadcast(held.corpus_stats.select("avgdl"))  # one row
-            rows = held.counts.crossJoin(totals).select("term", "doc_id", "tf", "dl", weight(F.col("tf"), F.col("dl"), F.col("avgdl"), held.params).alias("weight"))
-        rows.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
+        terms = self.spark.read.parquet(f"{path}/term_stats")
+        _corpus_stats(doc_totals(held.doc_stats), terms).write.mode("overwrite").parquet(f"{path}/corpus_stats")
+        corpus = self.spark.read.parquet(f"{path}/corpus_stats").first()
+        rows = (held.counts if held.weights is None else held.weights).repartitionByRange(parts(self.spark, corpus.nnz), "term", "doc_id").sortWithinPartitions("term", "doc_id")
+        if held.weights is None:  # after the shuffle, which has less to move so
+            rows = rows.select("term", "doc_id", "tf", "dl", weight(F.col("tf"), F.col("dl"), F.lit(corpus.avgdl), held.params).alias("weight"))
+        rows.write.mode("overwrite").parquet(f"{path}/postings")
         how = [(self.params.k1, self.params.b, self.analyzer.stop, self.analyzer.normalize)]
         self.spark.createDataFrame(how, "k1 double, b double, stop boolean, normalize string").coalesce(1).write.mode("overwrite").parquet(f"{path}/params")
         return load(self.spark, path)
@@ -154,7 +159,7 @@ def _complete(counts: DataFrame, doc_stats: DataFrame, params: BM25Params, terms
     terms = best.withColumn("idf", idf(F.col("n"), F.col("df"))).select("term", "df", "idf", (F.col("idf") * F.col("most")).alias("max_impact"))
     if terms_at:
         terms = stored(terms, terms_at)
-    stats = totals.crossJoin(terms.agg(F.count(F.lit(1)).alias("num_terms"), F.coalesce(F.sum("df"), F.lit(0)).alias("nnz")))
+    stats = _corpus_stats(totals, terms)
     joined = counts.join(terms.select("term", "idf"), "term").crossJoin(totals)
     postings = joined.select("term", "doc_id", "tf", "dl", impact(F.col("tf"), F.col("dl"), F.col("idf"), F.col("avgdl"), params).alias("impact"))
     return LexicalIndex(postings, doc_stats, terms, stats, params, counts, analyzer=analyzer, kept=kept)

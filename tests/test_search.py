@@ -362,3 +362,18 @@ def test_rankings_have_queries_without_an_id_and_no_pairs(spark):
     got = search.rank_documents(held, asked, wanted).collect()
     assert {(r.query_id, r["rank"], r.doc_id, r.score > 0) for r in got} == {(None, 1, "d1", False), (1, 1, "d1", True), (1, 2, "d3", True)}
     assert search.rank_documents(held, asked, wanted.where("false")).collect() == []
+
+
+def test_saved_postings_are_sorted_in_parts_of_bounded_size(spark, tmp_path, monkeypatch):
+    from termlake import storage
+
+    monkeypatch.setattr(storage, "TASK_ROWS", 20)
+    rows = [(f"d{i:03}", "", f"same w{i} v{i % 7}") for i in range(200)]
+    saved = index.build(docs(spark, rows), keep=False).save(str(tmp_path / "many"))
+    files = saved.weights.groupBy(F.input_file_name()).count().collect()
+    assert len(files) > 20 and max(r["count"] for r in files) < 80  # of 600 postings, in 4 files otherwise
+    again = saved.save(str(tmp_path / "again"))
+    for i in (saved, again):
+        assert sorted(map(tuple, i.weights.select("term", "doc_id", "tf", "dl").collect())) == sorted((w, d, 1, 3) for d, _, c in rows for w in c.split())
+        assert i.corpus_stats.first().asDict() == {"num_docs": 200, "total_len": 600, "avgdl": 3.0, "num_terms": 208, "nnz": 600}
+        assert pairs(search.search(i, "same v3")) == expected(brute(rows, "same v3"))
