@@ -17,6 +17,7 @@ from pyspark.sql.streaming import StreamingQuery
 from termlake.functions.text import Analyzer
 from termlake.operators.index import LexicalIndex, _complete, doc_runs, term_counts
 from termlake.params import BM25Params
+from termlake.storage import if_small, stored
 
 
 def ingest(stream: DataFrame, folder: str, checkpoint: str, id_col: str = "id", title_col: str | None = "title", content_col: str = "content", watermark: tuple[str, str] | None = None, analyzer: Analyzer = Analyzer(), **trigger) -> StreamingQuery:
@@ -54,8 +55,17 @@ def _latest(spark: SparkSession, folder: str) -> tuple[DataFrame | None, list[in
     if not parts:
         return None, [], -1
     rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    latest = rows.groupBy("doc_id").agg(F.max_by(F.struct("dl", "runs"), "batch").alias("x"), F.max("batch").alias("batch")).select("doc_id", "x.*", "batch") if newer else rows
-    return latest, newer, max([upto, *newer])
+    return _last_of_each(rows) if newer else rows, newer, max([upto, *newer])
+
+
+def _last_of_each(rows: DataFrame) -> DataFrame:
+    """The row of the last batch for each document. Only ids are compared, and only documents that came several times are shuffled."""
+    several = stored(rows.groupBy(F.col("doc_id").alias("twice")).count().where("count > 1").select("twice"))
+    if several.isEmpty():
+        return rows
+    same, several = F.col("doc_id").eqNullSafe(F.col("twice")), if_small(several)
+    last = rows.join(several, same, "left_semi").groupBy("doc_id").agg(F.max_by(F.struct("dl", "runs"), "batch").alias("x"), F.max("batch").alias("batch"))
+    return rows.join(several, same, "left_anti").unionByName(last.select("doc_id", "x.*", "batch"))
 
 
 def compact(spark: SparkSession, folder: str) -> int:

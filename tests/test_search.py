@@ -377,3 +377,16 @@ def test_saved_postings_are_sorted_in_parts_of_bounded_size(spark, tmp_path, mon
         assert sorted(map(tuple, i.weights.select("term", "doc_id", "tf", "dl").collect())) == sorted((w, d, 1, 3) for d, _, c in rows for w in c.split())
         assert i.corpus_stats.first().asDict() == {"num_docs": 200, "total_len": 600, "avgdl": 3.0, "num_terms": 208, "nnz": 600}
         assert pairs(search.search(i, "same v3")) == expected(brute(rows, "same v3"))
+
+
+def test_a_stream_shuffles_only_documents_that_came_again(spark, tmp_path):
+    folder, source = str(tmp_path / "index"), tmp_path / "in"
+    plan = lambda: arrived(spark, folder).counts._jdf.queryExecution().optimizedPlan().toString()
+    for part, again in ((FOUR[:2], False), (FOUR[2:], False), ([("d1", "nothing", ""), ("d5", "red", "")], True)):
+        docs(spark, part).coalesce(1).write.mode("append").parquet(str(source))
+        stream = spark.readStream.schema("id string, title string, content string").parquet(str(source))
+        ingest(stream, folder, str(tmp_path / "state")).awaitTermination()
+        assert ("max_by" in plan()) == again
+    now = [("d1", "nothing", ""), ("d5", "red", ""), *FOUR[1:]]
+    assert pairs(search.search(arrived(spark, folder), "red apple")) == expected(brute(now, "red apple"))
+    assert compact(spark, folder) == 3 and pairs(search.search(arrived(spark, folder), "red apple")) == expected(brute(now, "red apple"))
