@@ -118,11 +118,32 @@ class LexicalIndex:
         if held.weights is None:  # after the shuffle, which has less to move so
             rows = rows.select("term", "doc_id", "tf", "dl", weight(F.col("tf"), F.col("dl"), F.lit(corpus.avgdl), held.params).alias("weight"))
         rows.write.mode("overwrite").parquet(f"{path}/postings")
-        how = [(self.params.k1, self.params.b, self.analyzer.stop, self.analyzer.normalize)]
-        self.spark.createDataFrame(how, "k1 double, b double, stop boolean, normalize string").coalesce(1).write.mode("overwrite").parquet(f"{path}/params")
+        how = [(self.params.k1, self.params.b, self.analyzer.stop, self.analyzer.normalize, _rare(terms))]
+        self.spark.createDataFrame(how, "k1 double, b double, stop boolean, normalize string, rare bigint").coalesce(1).write.mode("overwrite").parquet(f"{path}/params")
         return load(self.spark, path)
 
 
+def _rare(terms: DataFrame) -> int:
+    """A document frequency that at most ``BROADCAST_ROWS`` terms exceed, the least one; 0 if there are no more terms."""
+    seen = 0
+    for r in terms.groupBy("df").count().orderBy(F.desc("df")).collect():  # frequencies that differ: fewer than the root of twice the postings
+        seen += r["count"]
+        if seen > BROADCAST_ROWS:
+            return r.df
+    return 0
+
+
+def _with_idf(weights: DataFrame, terms: DataFrame, rare: int, nnz: int) -> DataFrame:
+    """Stored postings with ``idf``: terms in more than ``rare`` documents are broadcast, and only postings of the others are shuffled."""
+    common = F.broadcast(terms.where(F.col("df") > rare).select("term", "idf"))
+    found = weights.join(common, "term")
+    if not rare:
+        return found
+    n = parts(weights.sparkSession, nnz)
+    rest = weights.join(common, "term", "left_anti").repartition(n, "term")
+    return found.unionByName(rest.join(terms.where(F.col("df") <= rare).select("term", "idf").repartition(n, "term"), "term"))
+
+
 def load(spark: SparkSession, path: str) -> LexicalIndex:
     """A saved index, ready to be searched; FileNotFoundError if there is none."""
     from pyspark.errors import AnalysisException
@@ -134,7 +155,9 @@ def load(spark: SparkSession, path: str) -> LexicalIndex:
         if "PATH_NOT_FOUND" in (e.getCondition() or ""):
             raise FileNotFoundError(path) from e
         raise
-    postings = weights.join(terms.select("term", "idf"), "term").select("term", "doc_id", "tf", "dl", (F.col("idf") * F.col("weight")).alias("impact"))
+    nnz = corpus.first().nnz
+    rare = how.rare if "rare" in how else nnz // BROADCAST_ROWS  # that few terms are in more documents, whatever the corpus
+    postings = _with_idf(weights, terms, rare, nnz).select("term", "doc_id", "tf", "dl", (F.col("idf") * F.col("weight")).alias("impact"))
     return LexicalIndex(postings, docs, terms, corpus, BM25Params(how.k1, how.b), weights=weights, analyzer=T.Analyzer(how.stop, how.normalize))
 
 

@@ -390,3 +390,21 @@ def test_a_stream_shuffles_only_documents_that_came_again(spark, tmp_path):
     now = [("d1", "nothing", ""), ("d5", "red", ""), *FOUR[1:]]
     assert pairs(search.search(arrived(spark, folder), "red apple")) == expected(brute(now, "red apple"))
     assert compact(spark, folder) == 3 and pairs(search.search(arrived(spark, folder), "red apple")) == expected(brute(now, "red apple"))
+
+
+def test_postings_of_a_saved_index_get_their_idf_without_a_shuffle_of_frequent_terms(spark, tmp_path, monkeypatch):
+    rows = [(f"d{i:02}", "", f"same w{i} v{i % 7}") for i in range(40)]
+    want = {(t, d): s for t in ("same", "w7", "v2") for d, s in brute(rows, t).items()}
+    usual = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for terms beyond it
+    try:
+        for limit, rare in ((100, 0), (8, 1), (3, 6)):
+            monkeypatch.setattr(index, "BROADCAST_ROWS", limit)
+            saved = index.build(docs(spark, rows), keep=False).save(str(tmp_path / f"at{limit}"))
+            assert spark.read.parquet(str(tmp_path / f"at{limit}/params")).first().rare == rare
+            got = {(r.term, r.doc_id): r.impact for r in saved.postings.collect()}
+            assert len(got) == 120 and all(abs(got[k] - s) < 1e-12 for k, s in want.items())
+            plan = saved.postings._jdf.queryExecution().executedPlan().toString()
+            assert "BroadcastHashJoin" in plan and ("REPARTITION_BY_NUM" in plan) == (rare > 0)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", usual)
